@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, orc_ids, packing, warc
+from . import decontam, langid, lz, orc_ids, packing, warc
 from .common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(found).drop("longest")
 
 
+def op8_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out())
+    model = langid.fit(docs.where(~F.col("held_out")))
+    return langid.identify(docs.drop("lang"), model, "doc_id", "held_out")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
 
@@ -39,6 +49,8 @@ def queries() -> dict[str, Query]:
         "op1_warc": op1_warc,
         "op3_orc_ids": op3_orc_ids,
         "op5_decontamination": op5_decontamination,
+        "op8_lz_fingerprints": op8_lz_fingerprints,
+        "op9_language_id": op9_language_id,
         "op10_packing": op10_packing,
     }
 

@@ -54,12 +54,16 @@ def encoded(text) -> bytes:
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
 
 
-def _hash_slice(parts: list[bytes], between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_slice(parts: list[bytes], between: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
     buf = b" ".join(parts) + b" "
     a = np.frombuffer(buf.translate(LOWER), np.uint8)
     sep = between[a]
     edges = np.flatnonzero(np.diff(sep, prepend=True))
     starts, ends = edges[0::2], edges[1::2]
+    if longest and len(starts) and int((ends - starts).max()) > longest:
+        n = -(-(ends - starts) // longest)
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        starts, ends = np.repeat(starts, n) + nth * longest, np.minimum(np.repeat(starts, n) + (nth + 1) * longest, np.repeat(ends, n))
     powers, inverse = _tables(len(a) + 1)
     run = np.zeros(len(a) + 1, np.uint64)
     np.cumsum(_VALUES[a] * powers[: len(a)], out=run[1:])
@@ -69,10 +73,11 @@ def _hash_slice(parts: list[bytes], between: np.ndarray) -> tuple[np.ndarray, np
     return h, np.searchsorted(starts, at[:-1])
 
 
-def word_hashes(texts, kind: str = "space") -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts, kind: str = "space", longest: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words in order, offsets: words of text i are hashes[offsets[i]:offsets[i + 1]]).
 
-    A-Z count as a-z. Null and empty texts have no words.
+    A-Z count as a-z. Null and empty texts have no words. With longest, words of more bytes are cut into
+    pieces of so many.
     """
     between = SEPARATORS[kind]
     hashes, offsets, total = [], [], 0
@@ -82,7 +87,7 @@ def word_hashes(texts, kind: str = "space") -> tuple[np.ndarray, np.ndarray]:
     def flush():
         nonlocal part, size, total
         if part:
-            h, o = _hash_slice(part, between)
+            h, o = _hash_slice(part, between, longest)
             hashes.append(h)
             offsets.append(o + total)
             total += len(h)
