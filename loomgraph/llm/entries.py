@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lz, orc_ids, packing, warc
+from . import decontam, host_text, langid, lz, orc_ids, packing, pii, warc
 from .common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,11 +25,20 @@ def op3_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_ids.digest(orc_ids.read_ids(spark, path))
 
 
+def op4_host_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontam.digest(found).drop("longest")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
 def op8_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -48,7 +57,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_warc": op1_warc,
         "op3_orc_ids": op3_orc_ids,
+        "op4_host_text": op4_host_text,
         "op5_decontamination": op5_decontamination,
+        "op6_personal_data": op6_personal_data,
         "op8_lz_fingerprints": op8_lz_fingerprints,
         "op9_language_id": op9_language_id,
         "op10_packing": op10_packing,
