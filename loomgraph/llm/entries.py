@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, host_text, langid, lz, orc_ids, packing, pii, warc
+from . import backoff_lm, decontam, host_text, langid, lz, orc_ids, packing, pii, warc
 from .common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score(table(spark, sf_dir, "documents").withColumn("held_out", backoff_lm.held_out()))
+
+
 def op3_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "orc")
     orc_ids.write_ids(table(spark, sf_dir, "documents"), path)
@@ -56,6 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_warc": op1_warc,
+        "op2_backoff_lm": op2_backoff_lm,
         "op3_orc_ids": op3_orc_ids,
         "op4_host_text": op4_host_text,
         "op5_decontamination": op5_decontamination,
