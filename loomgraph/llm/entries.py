@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, decontam, host_text, langid, lz, orc_ids, packing, pii, warc
+from . import backoff_lm, decontam, host_text, langid, lz, orc_ids, packing, pii, set_join, warc
 from .common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.fit(docs))
 
 
+def op7_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.components(table(spark, sf_dir, "documents"))
+
+
 def op8_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ def queries() -> dict[str, Query]:
         "op4_host_text": op4_host_text,
         "op5_decontamination": op5_decontamination,
         "op6_personal_data": op6_personal_data,
+        "op7_set_join": op7_set_join,
         "op8_lz_fingerprints": op8_lz_fingerprints,
         "op9_language_id": op9_language_id,
         "op10_packing": op10_packing,
@@ -100,5 +105,20 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN it USING (r)
 """
 
 
+_SPACE_WORDS = r"list_filter(string_split_regex(" + _LOWER + r", '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+OP7_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_SPACE_WORDS.format("text")}, []) AS w FROM documents),
+     s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, CAST(len(w) - 1 AS BIGINT)), lambda i: array_to_string(w[i:i + 2], ' '))) END AS g FROM d),
+     e AS (SELECT r, len(g) AS n, unnest(g) AS h FROM s),
+     pr AS (SELECT a.r AS ra, b.r AS rb, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.h = b.h AND a.r <> b.r AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL),
+     l AS (SELECT ra, rb FROM pr WHERE 100 * c >= 90 * (na + nb - c)),
+     reach AS (SELECT r AS root, r AS at FROM d UNION SELECT reach.root, l.rb FROM reach JOIN l ON reach.at = l.ra)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, min(t.doc_id) AS component_id
+FROM s JOIN reach ON s.r = reach.root JOIN d t ON t.r = reach.at GROUP BY s.r, s.doc_id, s.g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op5_decontamination": OP5_SQL}
+    return {"op1_warc": OP1_SQL, "op5_decontamination": OP5_SQL, "op7_set_join": OP7_SQL}
