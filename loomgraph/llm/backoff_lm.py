@@ -33,7 +33,7 @@ ORDER = 2
 #: Pseudo-counts of the shorter history.
 M = 4.0
 #: Text bytes of one block.
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 6 << 20
 #: Tokens whose arcs are in memory at once.
 PLACES = 300_000
 #: Last bit of a hash: 1 for single tokens, 0 for longer n-grams.

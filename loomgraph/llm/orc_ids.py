@@ -23,6 +23,8 @@ from .tokens import DEFAULT, encoder, vocabulary_path
 
 #: Text bytes that go to one file, and bytes of one stripe.
 FILE_BYTES, STRIPE_BYTES = 24 << 20, 8 << 20
+#: Rows that a task encodes at once.
+ROWS = 500
 SCHEMA = "part int, row long, doc_id long, n_tokens long, ids array<int>"
 
 
@@ -33,7 +35,7 @@ def encode_batches(path: str, end_id: int):
         from pyspark import TaskContext
 
         part, row, enc = TaskContext.get().partitionId(), 0, encoder(path)
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             ids, offsets = enc.encode_all(batch.column(1).to_pylist())
             n = batch.num_rows
             # one end id behind each document

@@ -28,6 +28,8 @@ from .tokens import DEFAULT, encoder, vocabulary_path
 GROUP_ROWS = 40_000
 #: A bin with more than this share free takes part in the exchange.
 OPEN_SHARE = 0.02
+#: Rows that a task encodes at once.
+ROWS = 500
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long, free int"
 
@@ -38,7 +40,7 @@ def pieces(docs: DataFrame, capacity: int = 4096, tokenizer: str = DEFAULT, end_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             ids, offsets = enc.encode_all(batch.column(1).to_pylist())
             ids = np.insert(ids, offsets[1:], end_id).astype("<u4")
             offsets = (offsets + np.arange(len(offsets))).tolist()

@@ -36,7 +36,7 @@ from .textvec import shingle_sets
 WORDS = 3
 #: Least similarity in hundredths.
 PERCENT = 90
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 6 << 20
 #: Rounds in which lists compare with one pivot each.
 PIVOT_ROUNDS = 2
 
