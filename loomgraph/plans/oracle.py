@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..vocab import CATEGORY_OF_LABEL, CATEGORY_OF_RELATIONSHIP, INTENTS, METADATA_WORDS, ONTOLOGY, RELATIONSHIP_REMAP, RELATIONSHIPS, RISK_SIGNALS, STOP_WORDS, TAG_WORDS
-from .queries import AS_OF, QUERY, SEED_ID, SEED_NAME
+from .queries import AS_OF, PATH_ENDS, QUERY, SEED_NAME
 
 _q = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
 _TAG = f"(list_extract([{_q(TAG_WORDS)}], CAST(p_partkey % 7 + 1 AS BIGINT)) || '-' || CAST(10 + p_partkey // 7 AS VARCHAR))"
@@ -94,9 +94,9 @@ hops AS (SELECT node_id, min(h) AS hops FROM (SELECT node_id, 0 AS h FROM seed U
 """
 
 
-def _path(step: str, target: str, k: int, depth: int = 5) -> str:
+def _path(step: str, source: str, target: str, k: int, depth: int = 5) -> str:
     return f""",
-walk AS (SELECT '{SEED_ID}' AS pos, ['{SEED_ID}'] AS path UNION ALL SELECT s.b, list_append(w.path, s.b) FROM walk w JOIN ({step}) s ON s.a = w.pos WHERE w.pos <> '{target}' AND len(w.path) <= {depth} AND NOT list_contains(w.path, s.b))
+walk AS (SELECT '{source}' AS pos, ['{source}'] AS path UNION ALL SELECT s.b, list_append(w.path, s.b) FROM walk w JOIN ({step}) s ON s.a = w.pos WHERE w.pos <> '{target}' AND len(w.path) <= {depth} AND NOT list_contains(w.path, s.b))
 SELECT CAST(len(path) - 1 AS BIGINT) AS hops, array_to_string(path, '>') AS path FROM walk WHERE pos = '{target}' ORDER BY 1, 2 LIMIT {k}"""
 
 
@@ -150,7 +150,7 @@ SQL: dict[str, str] = {
     "graph_density": GRAPH + ", c AS (SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM nodes WHERE node_id NOT IN (SELECT a FROM und)) AS o, (SELECT count(*) FROM edges WHERE rel_type = 'IS_A') AS isa) SELECT n_nodes, n_edges, round(n_edges / CAST(n_nodes * (n_nodes - 1) AS DOUBLE), 8) AS density, round(2 * n_edges / CAST(n_nodes AS DOUBLE), 6) AS avg_degree, round(o / CAST(n_nodes AS DOUBLE), 6) AS orphan_ratio, round(isa / CAST(n_edges AS DOUBLE), 6) AS isa_ratio FROM c",
     "tenant_counts": GRAPH + "SELECT 't1' AS tenant_id, label, count(*) AS n FROM nodes WHERE length(node_id) % 2 = 1 GROUP BY 2",
     "graph_view": GRAPH + "SELECT src_label, rel_type, dst_label, count(*) AS n, count(DISTINCT src_name) AS sources, count(DISTINCT dst_name) AS targets FROM full_e GROUP BY 1, 2, 3",
-    "k_shortest_paths": GRAPH + _path("SELECT src AS a, dst AS b FROM feeds", "E:77", 3),
+    "k_shortest_paths": GRAPH + _path("SELECT src AS a, dst AS b FROM feeds", *PATH_ENDS, 3),
     "pagerank_20": GRAPH + _pagerank() + "SELECT node_id, round(rank, 9) AS rank FROM pr",
     "node_similarity": GRAPH + ", sz AS (SELECT src, count(*) AS n FROM feeds GROUP BY 1) SELECT x.src AS a, y.src AS b, round(count(*) / CAST(any_value(sx.n) + any_value(sy.n) - count(*) AS DOUBLE), 6) AS jaccard FROM feeds x JOIN feeds y ON x.dst = y.dst AND x.src < y.src JOIN sz sx ON sx.src = x.src JOIN sz sy ON sy.src = y.src GROUP BY 1, 2",
     "components_small": GRAPH + ", fu AS (SELECT src AS a, dst AS b FROM feeds UNION SELECT dst, src FROM feeds), reach AS (SELECT node_id AS r, node_id AS pos FROM fnodes UNION SELECT reach.r, fu.b FROM reach JOIN fu ON fu.a = reach.pos) SELECT component, count(*) AS n FROM (SELECT pos, min(r) AS component FROM reach GROUP BY 1) GROUP BY 1",

@@ -21,6 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
 
 SEED_ID, SEED_NAME = "E:15", "Pump P-12"
+PATH_ENDS = ("E:0", "E:112")
 QUERY = "the of and with"
 AS_OF = "2000-01-01 00:00:00"
 
@@ -130,7 +131,7 @@ def shortest_path(t):
 
 @query
 def k_shortest_paths(t):
-    return G.paths(FX.edges(t).where("rel_type = 'FEEDS'"), SEED_ID, "E:77", 5, directed=True, k=3)
+    return G.paths(FX.edges(t).where("rel_type = 'FEEDS'"), *PATH_ENDS, 5, directed=True, k=3)
 
 
 def feeds(t):
