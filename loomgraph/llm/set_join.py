@@ -6,11 +6,11 @@
    document has can't be shared and are left out, so that most documents without a partner send nothing.
 3. The index lists (shingle, size band) are blocks of sets whose sizes allow a link; within a block, the
    places of the shingle in both sets bound the overlap, and pairs under the bound are skipped.
-4. Answers are derived from those of similar sets: in each of a few rounds every list compares its sets only
-   with one pivot, so a family of near copies of any size takes a row for each member, not a pair for each
-   two; members of one component need no further comparison. What is left between different components, and
-   can't be ruled out by the distances to a common pivot (the Jaccard distance is a metric), is then compared
-   pair by pair. So no link between components is lost.
+4. Answers are derived from those of similar sets: every list compares its sets only with a few pivots, so a
+   family of near copies of any size takes some rows for each member, not one for each two; members of one
+   component need no further comparison. What is left between different components is compared pair by pair,
+   unless the sets' parity bitmaps, which bound the symmetric difference from below, rule a link out within
+   the join itself. So no link between components is lost.
 
 Null, empty and white-space texts have an empty set, linked with nothing. Equal ids are kept as rows of their
 own. A null id is never a component's smallest; a component of null ids only has a null one. Empty tables
@@ -37,8 +37,10 @@ WORDS = 3
 #: Least similarity in hundredths.
 PERCENT = 90
 BLOCK_BYTES = 6 << 20
-#: Rounds in which lists compare with one pivot each.
-PIVOT_ROUNDS = 2
+#: Pivots of each list.
+PIVOTS = 6
+#: Longs of a set's parity bitmap.
+LONGS = 16
 
 
 def shortened(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -50,6 +52,15 @@ def set_digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """For each of the bitmap's places, whether an odd number of shingles falls there.
+
+    Two sets' bitmaps differ in at most as many places as the sets differ in elements.
+    """
+    odd = np.bincount((shingles & np.uint64(64 * LONGS - 1)).astype(np.int64), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefix_size(n: int, percent: int) -> int:
     """Shingles of which one is shared with every set that is similar enough; 0 if only an equal set is."""
     if n * 100 // percent == n:
@@ -57,7 +68,7 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-PREPARED = "doc_id long, n long, node binary, tokens array<long>, places array<int>, z binary"
+PREPARED = "doc_id long, n long, node binary, tokens array<long>, places array<int>, parity array<long>, z binary"
 
 
 def prepare(docs: DataFrame, words: int, percent: int, block_bytes: int) -> DataFrame:
@@ -86,7 +97,7 @@ def prepare(docs: DataFrame, words: int, percent: int, block_bytes: int) -> Data
         made = []
         for doc_id, z, s in zip(rows["doc_id"], rows["z"], sets, strict=True):
             node = set_digest(s)
-            n, row = len(s), (None, None, None)
+            n, row = len(s), (None, None, None, None)
             p = prefix_size(n, percent)
             if p and node not in seen:
                 seen.add(node)
@@ -98,7 +109,7 @@ def prepare(docs: DataFrame, words: int, percent: int, block_bytes: int) -> Data
                 order = near[np.lexsort((s[near], often[near]))][:p]
                 shared = np.flatnonzero(often[order] > 1)
                 if len(shared):
-                    row = (s[order[shared]].view(np.int64), shared.astype(np.int32), z)
+                    row = (s[order[shared]].view(np.int64), shared.astype(np.int32), parity(s), z)
             made.append((doc_id, n, node, *row))
         out = pd.DataFrame(made, columns=[x.split()[0] for x in PREPARED.split(", ")])
         return out.assign(doc_id=out["doc_id"].astype("Int64"))
@@ -162,56 +173,37 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def links(prepared: DataFrame, words: int = WORDS, percent: int = PERCENT, rounds: int = PIVOT_ROUNDS) -> tuple[DataFrame, DataFrame]:
+def links(prepared: DataFrame, words: int = WORDS, percent: int = PERCENT, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
     """(compared pairs of nodes with distance and linked, labels of the components of the linked ones)."""
-    own = prepared.where(F.col("z").isNotNull()).groupBy("node").agg(F.min_by(F.struct("n", "tokens", "places", "z"), F.xxhash64("doc_id")).alias("s"))
+    own = prepared.where(F.col("z").isNotNull()).groupBy("node").agg(F.min_by(F.struct("n", "tokens", "places", "parity", "z"), F.xxhash64("doc_id")).alias("s"))
     sets = cut(own.select("node", "s.*"))
     lists = _lists(sets, percent)
     crowded = lists.groupBy("token", "band").agg(F.count("*").alias("c")).where("c > 1").select("token", "band")
     lists = cut(lists.join(crowded, ["token", "band"], "left_semi"))
-    schema = "a binary, b binary, distance double, linked boolean"
-    done = prepared.sparkSession.createDataFrame([], schema)
-    labels = prepared.sparkSession.createDataFrame([], "node binary, label binary")
-    for r in range(rounds):
-        pivot = F.min(F.struct(F.xxhash64(F.lit(r), "node").alias("h"), "node", "n", "place")).alias("p")
-        # one row for each list, whatever its length; the join with the list itself is split where it's skewed
-        pivots = lists.groupBy("token", "band").agg(pivot)
-        met = lists.join(pivots, ["token", "band"]).where((F.col("node") != F.col("p.node")) & _can_link(F.col("n"), F.col("p.n"), F.col("place"), F.col("p.place"), percent))
-        pairs = met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-        pairs = _apart(pairs, labels) if r else pairs
-        done = cut(done.unionByName(_compare(pairs, sets, words, percent)))
-        labels = connected(done.where("linked"))
-    # the rest: pairs of one list in different components
+    # one row for each list, whatever its length; the join with the list itself is split where it's skewed
+    chosen = lists.groupBy("token", "band").agg(F.array(*(F.min(F.struct(F.xxhash64(F.lit(r), "node").alias("h"), "node", "n", "place")) for r in range(pivots))).alias("ps"))
+    met = lists.join(chosen, ["token", "band"])
+    able = F.filter(F.array_distinct("ps"), lambda p: (p["node"] != F.col("node")) & _can_link(F.col("n"), p["n"], F.col("place"), p["place"], percent))
+    pairs = met.select("node", F.explode(able).alias("p")).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+    done = _compare(pairs, sets, words, percent)
+    labels = connected(done.where("linked"))
+    # the rest: pairs of one list in different components, unless their bitmaps differ too much
     left = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = left.groupBy("token", "band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token", "band")
-    left = cut(left.join(mixed, ["token", "band"], "left_semi"))
+    bits = sets.select("node", *(F.element_at("parity", i + 1).alias(f"w{i}") for i in range(LONGS)))
+    left = cut(left.join(mixed, ["token", "band"], "left_semi").join(bits, "node"))
     x, y = left.alias("x"), left.alias("y")
-    near = x.join(y, [F.col("x.token") == F.col("y.token"), F.col("x.band") == F.col("y.band"), F.col("x.node") < F.col("y.node"), F.col("x.label") != F.col("y.label"), _can_link(F.col("x.n"), F.col("y.n"), F.col("x.place"), F.col("y.place"), percent)])
-    pairs = cut(near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(done, ["a", "b"], "left_anti"))
-    far = _far_by_pivot(pairs, done, percent)
-    last = _compare(pairs.join(far, ["a", "b"], "left_anti"), sets, words, percent)
+    apart = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(LONGS)), F.lit(0))
+    close = (100 + percent) * apart <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    near = x.join(y, [F.col("x.token") == F.col("y.token"), F.col("x.band") == F.col("y.band"), F.col("x.node") < F.col("y.node"), F.col("x.label") != F.col("y.label"), _can_link(F.col("x.n"), F.col("y.n"), F.col("x.place"), F.col("y.place"), percent), close])
+    rest = near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+    last = _compare(rest, sets, words, percent)
     done = done.unionByName(last)
     if last.where("linked").limit(1).count():
         labels = connected(done.where("linked"))
     return done, labels
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose nodes aren't in one component yet: the others' answers follow from what is known."""
-    la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    return pairs.join(la, "a", "left").join(lb, "b", "left").where(~(F.col("la").isNotNull() & F.col("la").eqNullSafe(F.col("lb")))).select("a", "b")
-
-
-def _far_by_pivot(pairs: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """Pairs that a common pivot rules out: |d(p, x) - d(p, y)| <= d(x, y), which must be at most 1 - t."""
-    known = done.select(F.col("a").alias("x"), F.col("b").alias("p"), "distance").union(done.select(F.col("b").alias("x"), F.col("a").alias("p"), "distance"))
-    # each set's nearest pivot is enough
-    best = known.groupBy("x").agg(F.min(F.struct("distance", "p")).alias("k")).select("x", "k.p", "k.distance")
-    a = pairs.join(best.select(F.col("x").alias("a"), "p", F.col("distance").alias("da")), "a")
-    both = a.join(known.select(F.col("x").alias("b"), "p", F.col("distance").alias("db")), ["b", "p"])
-    return both.where(F.abs(F.col("da") - F.col("db")) > (100 - percent) / 100 + 1e-9).select("a", "b").distinct()
-
-
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach."""
     prepared = prepare(docs, words, percent, block_bytes)
