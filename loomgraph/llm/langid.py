@@ -165,4 +165,5 @@ def identify(docs: DataFrame, model: Model, *columns: str) -> DataFrame:
     def predicted(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([sent.value.predict(t) for t in text], columns=["lang_pred", "score"])
 
+    predicted = predicted.asNondeterministic()  # else a filter on its columns runs it twice
     return docs.withColumn("_p", predicted("text")).select(*columns, "_p.lang_pred", "_p.score")

@@ -37,8 +37,8 @@ WORDS = 3
 #: Least similarity in hundredths.
 PERCENT = 90
 BLOCK_BYTES = 6 << 20
-#: Pivots of each list.
-PIVOTS = 6
+#: Pivots of each list in a round, and rounds; later rounds only see lists that still span components.
+PIVOTS, ROUNDS = 6, 2
 #: Longs of a set's parity bitmap.
 LONGS = 16
 
@@ -117,9 +117,13 @@ def prepare(docs: DataFrame, words: int, percent: int, block_bytes: int) -> Data
     return cut(blocks.groupBy("block").cogroup(answers_for(answers).groupBy("block")).applyInPandas(prefixes, PREPARED))
 
 
+def _band(n: Column, percent: int) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.lit(math.log(100 / percent))).cast("int")
+
+
 def _lists(sets: DataFrame, percent: int) -> DataFrame:
     """(token, band, place, node, n): every set stands in the lists of its own size band and the next."""
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent))).cast("int")
+    band = _band(F.col("n"), percent)
     return sets.select("node", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t"), band.alias("b")).select(F.col("t.tokens").alias("token"), F.explode(F.array("b", F.col("b") + 1)).alias("band"), F.col("t.places").alias("place"), "node", "n")
 
 
@@ -173,29 +177,38 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def links(prepared: DataFrame, words: int = WORDS, percent: int = PERCENT, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+def links(prepared: DataFrame, words: int = WORDS, percent: int = PERCENT, pivots: int = PIVOTS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(compared pairs of nodes with distance and linked, labels of the components of the linked ones)."""
     own = prepared.where(F.col("z").isNotNull()).groupBy("node").agg(F.min_by(F.struct("n", "tokens", "places", "parity", "z"), F.xxhash64("doc_id")).alias("s"))
     sets = cut(own.select("node", "s.*"))
     lists = _lists(sets, percent)
     crowded = lists.groupBy("token", "band").agg(F.count("*").alias("c")).where("c > 1").select("token", "band")
     lists = cut(lists.join(crowded, ["token", "band"], "left_semi"))
-    # one row for each list, whatever its length; the join with the list itself is split where it's skewed
-    chosen = lists.groupBy("token", "band").agg(F.array(*(F.min(F.struct(F.xxhash64(F.lit(r), "node").alias("h"), "node", "n", "place")) for r in range(pivots))).alias("ps"))
-    met = lists.join(chosen, ["token", "band"])
-    able = F.filter(F.array_distinct("ps"), lambda p: (p["node"] != F.col("node")) & _can_link(F.col("n"), p["n"], F.col("place"), p["place"], percent))
-    pairs = met.select("node", F.explode(able).alias("p")).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
-    done = _compare(pairs, sets, words, percent)
-    labels = connected(done.where("linked"))
+    done = labels = None
+    for r in range(rounds):
+        # one row for each list, whatever its length; the join with the list itself is split where it's skewed
+        seeds = range(r * pivots, (r + 1) * pivots)
+        chosen = lists.groupBy("token", "band").agg(F.array(*(F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node", "n", "place")) for i in seeds)).alias("ps"))
+        able = F.filter(F.array_distinct("ps"), lambda p: (p["node"] != F.col("node")) & _can_link(F.col("n"), p["n"], F.col("place"), p["place"], percent))
+        pairs = lists.join(chosen, ["token", "band"]).select("node", F.explode(able).alias("p")).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+        if done is None:
+            done = _compare(pairs, sets, words, percent)
+        else:
+            done = cut(done.unionByName(_compare(_apart(pairs, labels).join(done, ["a", "b"], "left_anti"), sets, words, percent)))
+        labels = connected(done.where("linked"))
+        labelled = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = labelled.groupBy("token", "band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token", "band")
+        lists = cut(lists.join(mixed, ["token", "band"], "left_semi"))
     # the rest: pairs of one list in different components, unless their bitmaps differ too much
     left = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = left.groupBy("token", "band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token", "band")
-    bits = sets.select("node", *(F.element_at("parity", i + 1).alias(f"w{i}") for i in range(LONGS)))
-    left = cut(left.join(mixed, ["token", "band"], "left_semi").join(bits, "node"))
+    bits = sets.select("node", "tokens", *(F.element_at("parity", i + 1).alias(f"w{i}") for i in range(LONGS)))
+    left = cut(left.join(bits, "node"))
     x, y = left.alias("x"), left.alias("y")
     apart = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(LONGS)), F.lit(0))
     close = (100 + percent) * apart <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
-    near = x.join(y, [F.col("x.token") == F.col("y.token"), F.col("x.band") == F.col("y.band"), F.col("x.node") < F.col("y.node"), F.col("x.label") != F.col("y.label"), _can_link(F.col("x.n"), F.col("y.n"), F.col("x.place"), F.col("y.place"), percent), close])
+    # a pair is met in the list of its first common shingle and larger band only; both orders of tokens are the same
+    first = (F.element_at(F.array_intersect("x.tokens", "y.tokens"), 1) == F.col("x.token")) & (F.col("x.band") == F.greatest(_band(F.col("x.n"), percent), _band(F.col("y.n"), percent)))
+    near = x.join(y, [F.col("x.token") == F.col("y.token"), F.col("x.band") == F.col("y.band"), F.col("x.node") < F.col("y.node"), F.col("x.label") != F.col("y.label"), _can_link(F.col("x.n"), F.col("y.n"), F.col("x.place"), F.col("y.place"), percent), close, first])
     rest = near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
     last = _compare(rest, sets, words, percent)
     done = done.unionByName(last)
@@ -204,6 +217,12 @@ def links(prepared: DataFrame, words: int = WORDS, percent: int = PERCENT, pivot
     return done, labels
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose nodes aren't in one component yet: the others' answers follow from what is known."""
+    la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    return pairs.join(la, "a", "left").join(lb, "b", "left").where(F.col("la").isNull() | F.col("lb").isNull() | (F.col("la") != F.col("lb"))).select("a", "b")
+
+
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach."""
     prepared = prepare(docs, words, percent, block_bytes)
