@@ -174,6 +174,10 @@ def test_personal_data(docs, none):
     pattern = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     for x in ["a@b.c%d@e.f x@y@z.w .@a-.b", "1@2.3.4", "@x.y", "a@b c@d.e"]:
         assert pii.emails(x) == [m.span() for m in pattern.finditer(x)]
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for x in ["1.2.3.4.5.6.7.8.9", "01.002.0255.4", "256.1.1.1 1.1.1.255", "9" * 5000 + ".1.1.1", "0" * 5000 + "1.1.1.1", "1..2.3.4.5", "12.3.4"]:
+        good = [m.span() for m in ip.finditer(x) if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))]
+        assert [(a, b) for k, a, b in pii.base_spans(x) if k == "ip"] == good
     got = {r.doc_id: r for r in pii.find(docs, pii.fit(docs)).collect()}
     assert (got[12].n_email, got[12].n_ip, got[12].n_card, got[12].n_phone) == (1, 1, 1, 1) and got[5].spans == "" and len(got) == 15
     assert got[12].base_sha256 == hashlib.sha256(pii.joined(spans).encode()).hexdigest()
