@@ -21,7 +21,8 @@ SEPARATORS = {"space": _SPACE, "word": _NON_WORD}
 
 _VALUES = np.random.default_rng(20240117).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = 0x9E3779B97F4A7C15
-SLICE = 2 << 20
+#: Bytes hashed at once. A worker keeps two tables of as many numbers, and each slice makes some arrays of that length.
+SLICE = 1 << 19
 _powers: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
 
