@@ -76,16 +76,20 @@ def totals(blocks: DataFrame, ask: Callable[[pd.DataFrame], tuple[np.ndarray, np
         rows = rows.sort_values("block", ignore_index=True)
         keys = np.concatenate([np.cumsum(unpacked(k, np.uint64), dtype=np.uint64) for k in rows["keys"]])
         counts = np.concatenate([unpacked(c, np.uint32) for c in rows["counts"]])
-        codes, known = pd.factorize(keys)
-        total = np.bincount(codes, counts, len(known)).astype(np.int64)
+        order = np.argsort(keys)  # half the memory of a hash table of so many keys
+        s = keys[order]
+        first = np.concatenate([[True], s[1:] != s[:-1]])
+        known = s[first]
+        each = np.add.reduceat(counts[order], np.flatnonzero(first), dtype=np.int64)
+        total = np.empty(len(keys), np.int64)
+        total[order] = each[np.cumsum(first, dtype=np.int32) - 1]
         bucket, made, at = int(rows["bucket"].iloc[0]), [], 0
         for block, n in zip(rows["block"], rows["n"], strict=True):
-            t = total[codes[at : at + n]]
+            made.append((int(block), bucket, packed(total[at : at + n]), 0, 0))
             at += n
-            made.append((int(block), bucket, packed(t), 0, 0))
         if kind is not None:
-            mine = (known & np.uint64(1) == kind) & (total > 0)
-            made.append((-1, bucket, b"", int(mine.sum()), int(total[mine].sum())))
+            mine = (known & np.uint64(1) == kind) & (each > 0)
+            made.append((-1, bucket, b"", int(mine.sum()), int(each[mine].sum())))
         return pd.DataFrame(made, columns=["block", "bucket", "totals", "kinds", "occurrences"])
 
     rows = blocks.groupBy("block").applyInPandas(asked, ASKED)
