@@ -70,8 +70,8 @@ def edges(t: Tables) -> DataFrame:
         return df.select(src.alias("src"), dst.alias("dst"), F.lit(rel).alias("rel_type"), event.alias("event_time")).distinct()
 
     part, supp, order = _id("E", F.col("l_partkey")), _id("P", F.col("l_suppkey")), F.col("o_orderkey")
-    a = line.where("l_partkey <= 200").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("x"))
-    b = line.where("l_partkey <= 200").select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("y"))
+    a = line.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("x"))
+    b = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("y"))
     least = line.where("l_partkey % 3 = 0").groupBy("l_partkey").agg(F.min("l_suppkey").alias("s_suppkey")).join(t.supplier, "s_suppkey")
     urgent, low = orders.where("o_orderpriority = '1-URGENT'"), orders.where("o_orderpriority = '5-LOW'")
     found = [

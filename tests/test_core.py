@@ -7,6 +7,7 @@ import zipfile
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
 from loomgraph.functions.registry import register_functions
@@ -14,6 +15,7 @@ from loomgraph.operators import algorithms as A
 from loomgraph.operators import dml as D
 from loomgraph.operators import graph as G
 from loomgraph.operators import retrieval as R
+from loomgraph.plans import fixture as FX
 from loomgraph.plans import oracle, queries
 from loomgraph.session import TenantCatalog
 from loomgraph.sources import files
@@ -71,6 +73,30 @@ def test_algorithms(ring):
     assert len({r.community for r in A.communities(nodes, edges).collect()}) >= 2
 
 
+def test_feeds_of_all_parts(spark, tmp_path):
+    for name in TABLES:
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet") if name != "lineitem" else None
+    line = spark.read.parquet(f"{SF}/lineitem.parquet")
+    line.withColumn("l_partkey", (F.col("l_partkey") + 1000).cast(line.schema["l_partkey"].dataType)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    feeds = lambda sf: FX.edges(FX.Tables(spark, sf)).where("rel_type = 'FEEDS'").count()
+    assert feeds(str(tmp_path)) == feeds(SF) > 0
+
+
+def test_long_distances(spark):
+    """A path of 20 nodes and two ways past its end: searches go on until nothing is new."""
+    pairs = [(i, i + 1) for i in range(19)] + [(0, 18)]
+    edges = spark.createDataFrame([(f"{a:02}", f"{b:02}") for a, b in pairs], "src string, dst string")
+    dist = {(r.src, r.dst): r.dist for r in A.distances(edges, None).collect()}
+    want = {(f"{a:02}", f"{b:02}"): min(b - a, 1 + b - 18 if a == 0 and b >= 18 else 99) for a in range(20) for b in range(a + 1, 20)}
+    assert dist == want
+    for r in A.closeness(edges, 20).collect():
+        d = [v for (_, to), v in want.items() if to == r.node_id]
+        assert abs(r.closeness - len(d) / sum(d) * len(d) / 19) < 1e-12
+    between = {r.node_id: r.betweenness * 19 * 18 for r in A.betweenness(edges, 20).collect()}
+    # 18 is on the ways from 0..17 to 19; 10 on those from 0 to 11..17 and from 1..9 to 11..19
+    assert round(between["18"], 9) == 18 and round(between["10"], 9) == 7 + 9 * 9 and between["19"] == 0 and "00" not in between
+
+
 def test_packed_sentences():
     text = " ".join(f"S{i} a b c d e f g h." for i in range(10))
     chunks = X.packed_sentences(text, "HEAD", 30, 9)
