@@ -118,9 +118,9 @@ def united(spans: list[tuple[int, int]]) -> list[int]:
 
 
 def matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, item_ids (sorted as strings), spans, longest: one row for each document.
+    """doc_id, check, n_words, n_hit, item_ids (sorted as strings), spans, longest: one row for each document.
 
-    docs: doc_id, text; bench: item_id, text. `spans` are the hit words as [start, end) pairs in a flat
+    docs: doc_id, text; bench: item_id, text. `check` is the text's hash. `spans` are the hit words as [start, end) pairs in a flat
     array; `longest` is the longest verbatim match in words.
     """
     spark = docs.sparkSession
@@ -150,7 +150,7 @@ def matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes
     if n > 1:
         found = _over_blocks(found, n)
     hit = F.expr("aggregate(sequence(0, int(size(spans) / 2) - 1), 0L, (s, i) -> s + spans[2 * i + 1] - spans[2 * i])")
-    return found.select("doc_id", "n_words", F.when(F.size("spans") > 0, hit).otherwise(F.lit(0)).cast("long").alias("n_hit"), "item_ids", "spans", "longest")
+    return found.select("doc_id", "check", "n_words", F.when(F.size("spans") > 0, hit).otherwise(F.lit(0)).cast("long").alias("n_hit"), "item_ids", "spans", "longest")
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -168,7 +168,7 @@ def _over_blocks(found: DataFrame, n: int) -> DataFrame:
             F.max("longest").alias("longest"),
             (F.count("*") / n).cast("int").alias("copies"),
         )
-        .select("doc_id", "n_words", _unite("spans").alias("spans"), "item_ids", "longest", F.explode(F.expr("sequence(1, copies)")))
+        .select("doc_id", "check", "n_words", _unite("spans").alias("spans"), "item_ids", "longest", F.explode(F.expr("sequence(1, copies)")))
         .drop("col")
     )
 
@@ -185,7 +185,8 @@ def item_digest(ids: list[str]) -> str:
 def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without those that hold any benchmark window; all columns stay.
 
-    The verdict is by text: documents with equal texts go or stay together.
+    The verdict is by text: documents with equal texts go or stay together, and rows that share an id, or have none,
+    go only for their own text.
     """
-    bad = matches(docs, bench, window).where(F.col("n_hit") > 0).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    bad = matches(docs, bench, window).where(F.col("n_hit") > 0).select(F.col("doc_id").alias("_bad"), F.col("check").alias("_bad_check")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (F.xxhash64(docs["text"]) == bad["_bad_check"]), "left_anti")

@@ -68,15 +68,15 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-PREPARED = "doc_id long, n long, node binary, tokens array<long>, places array<int>, parity array<long>, z binary"
+PREPARED = "doc_id long, check long, n long, node binary, tokens array<long>, places array<int>, parity array<long>, z binary"
 
 
 def prepare(docs: DataFrame, words: int, percent: int, block_bytes: int) -> DataFrame:
     """One row for each document; tokens, places and z only for the first of a set in its block, and only if
     its prefix has a shingle that other documents have too."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("check"))
     size = text_bytes(source)
-    blocks = in_blocks(source, block_bytes, "doc_id")
+    blocks = in_blocks(source, block_bytes, "doc_id", "check")
     bits = min(64, 13 + math.ceil(math.log2(max(2, size / 5))))
     buckets = max(1, size // 6 // BUCKET_HASHES)
 
@@ -95,7 +95,7 @@ def prepare(docs: DataFrame, words: int, percent: int, block_bytes: int) -> Data
         count = in_order(got, len(keys))
         seen: set[bytes] = set()
         made = []
-        for doc_id, z, s in zip(rows["doc_id"], rows["z"], sets, strict=True):
+        for doc_id, check, z, s in zip(rows["doc_id"], rows["check"], rows["z"], sets, strict=True):
             node = set_digest(s)
             n, row = len(s), (None, None, None, None)
             p = prefix_size(n, percent)
@@ -110,7 +110,7 @@ def prepare(docs: DataFrame, words: int, percent: int, block_bytes: int) -> Data
                 shared = np.flatnonzero(often[order] > 1)
                 if len(shared):
                     row = (s[order[shared]].view(np.int64), shared.astype(np.int32), parity(s), z)
-            made.append((doc_id, n, node, *row))
+            made.append((doc_id, check, n, node, *row))
         out = pd.DataFrame(made, columns=[x.split()[0] for x in PREPARED.split(", ")])
         return out.assign(doc_id=out["doc_id"].astype("Int64"))
 
@@ -234,7 +234,15 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bloc
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component: that with the smallest id. Rows without an id stay."""
-    own = components(docs, words, percent).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.where(F.col("doc_id").isNotNull()).join(own, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """docs with one row of each component: one with the smallest id. Rows without an id stay.
+
+    Rows are told apart by id and text, so rows that share an id go or stay by their own texts.
+    """
+    prepared = prepare(docs, words, percent, BLOCK_BYTES)
+    _, labels = links(prepared, words, percent)
+    rows = prepared.where("doc_id IS NOT NULL AND n > 0").select("doc_id", "check", "node").join(labels, "node", "left")
+    first = rows.groupBy(F.coalesce("label", "node").alias("root")).agg(F.min(F.struct("doc_id", "check")).alias("m"))
+    empty = prepared.where("doc_id IS NOT NULL AND n = 0").select("doc_id", "check")
+    own = first.select("m.doc_id", "m.check").unionByName(empty).withColumnRenamed("check", "_check").distinct()
+    kept = docs.where(F.col("doc_id").isNotNull()).withColumn("_check", F.xxhash64("text")).join(own, ["doc_id", "_check"], "left_semi").dropDuplicates(["doc_id", "_check"])
     return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

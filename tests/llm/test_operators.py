@@ -64,6 +64,17 @@ def test_set_join(docs, none):
     assert sorted(x for x in kept if x) == [1, 4, 5, 6, 7, 8, 10, 11, 12, 13] and None in kept
 
 
+def test_rows_of_one_id_are_told_apart(spark):
+    """Near copies and contaminated rows go for their own texts, not for those of rows with the same id or none."""
+    rows = [(1, BASE), (1, text(20, 60)), (2, EDITED), (2, text(21, 60)), (2, text(21, 60)), (None, BASE), (None, text(22, 60)), (3, " "), (3, "")]
+    docs = spark.createDataFrame([(a, b, "s") for a, b in rows], "doc_id long, text string, source string")
+    kept = [(r.doc_id, r.text) for r in set_join.keep_one(docs).collect()]
+    assert key(kept) == key([(1, BASE), (1, text(20, 60)), (2, text(21, 60)), (None, BASE), (None, text(22, 60)), (3, " "), (3, "")])
+    bench = spark.createDataFrame([(1, " ".join(BASE.split()[20:45]))], "item_id long, text string")
+    clean = [(r.doc_id, r.text) for r in decontam.clean(docs, bench).collect()]
+    assert key(clean) == key([x for x in rows if x[1] not in (BASE, EDITED)])
+
+
 def test_backoff_lm(docs, none):
     toks = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + ["</s>"] for _, t in DOCS]
     out = [zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2 for d, _ in DOCS]
