@@ -219,3 +219,18 @@ def row_sentences(df: DataFrame, order: list[str], per_page: int = 100) -> DataF
     w = Window.partitionBy("file" if "file" in df.columns else F.lit(0)).orderBy(*order)
     rows = df.select(F.row_number().over(w).alias("row"), filled.alias("f")).where(F.size("f") > 0)
     return rows.select((F.floor((F.col("row") - 1) / per_page) + 1).cast("long").alias("page"), F.col("row").cast("long").alias("row"), F.concat(F.lit("Row "), F.col("row").cast("string"), F.lit(": "), F.array_join("f", ", "), F.lit(".")).alias("sentence"))
+
+
+def near_names(names: DataFrame) -> DataFrame:
+    """a, b, d of all pairs of rows (id, name) with a < b and names at most two edits apart.
+
+    Names two edits apart become equal when at most two characters are deleted from each, so pairs are made of rows
+    that share such a rest and none is lost.
+    """
+    less = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(s.substr(F.lit(1), i - 1), s.substr(i + 1, F.length(s))))
+    one = F.array_distinct(less(F.col("name")))
+    rests = F.array_distinct(F.concat(F.array("name"), one, F.flatten(F.transform(one, less))))
+    keyed = names.where(F.col("name").isNotNull()).select("id", "name", F.explode(rests).alias("k")).withColumn("k", F.xxhash64("k"))
+    x, y = keyed.alias("x"), keyed.alias("y")
+    pairs = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.name").alias("m"), F.col("y.name").alias("n")).distinct()
+    return pairs.select("a", "b", F.levenshtein("m", "n", 2).cast("long").alias("d")).where("d BETWEEN 0 AND 2")

@@ -358,13 +358,8 @@ def csv_row_sentences(t):
 
 @query
 def levenshtein_pairs(t):
-    """Names of suppliers within two edits; pairs are made within blocks of a shared half, so none is lost."""
-    s = t.supplier.select("s_suppkey", "s_name", F.length("s_name").alias("n"))
-    third = lambda i: F.substring("s_name", i * 6 + 1, 6)
-    keyed = s.select("s_suppkey", "s_name", F.explode(F.array_distinct(F.array(*(F.concat(F.lit(f"{i}:"), third(i)) for i in range(3))))).alias("k"))
-    x, y = keyed.alias("x"), keyed.alias("y")
-    near = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.s_suppkey") < F.col("y.s_suppkey"))).select(F.col("x.s_suppkey").alias("a"), F.col("y.s_suppkey").alias("b"), F.levenshtein("x.s_name", "y.s_name", 2).alias("d"))
-    return near.where("d BETWEEN 0 AND 2").select("a", "b", F.col("d").cast("long").alias("d")).distinct().where("a < 40")
+    """All names of suppliers within two edits."""
+    return X.near_names(t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))).select("a", "b", "d")
 
 
 # --- retrieval
@@ -404,7 +399,7 @@ def mmr(t):
 
 @query
 def keyword_overlap(t):
-    return t.documents.where("lang = 'en'").select("doc_id", F.round(R.overlap(QUERY, F.col("text")), 6).alias("overlap"))
+    return t.documents.select("doc_id", F.round(R.overlap(QUERY, F.col("text")), 6).alias("overlap"))
 
 
 @query
@@ -422,7 +417,7 @@ def fulltext_nodes(t):
 
 @query
 def context_compression(t):
-    return R.compress(t.documents.where("lang = 'en'").select(F.col("doc_id").alias("id"), "text"), QUERY).select("id", F.length("text").cast("long").alias("n_chars"))
+    return R.compress(t.documents.select(F.col("doc_id").alias("id"), "text"), QUERY).select("id", F.length("text").cast("long").alias("n_chars"))
 
 
 @query
@@ -459,8 +454,8 @@ def cross_doc_links(t):
 
 @query
 def cooccurrence_edges(t):
-    m = t.lineitem.where("l_linenumber <= 2 AND l_partkey <= 100").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("E:"), F.col("l_partkey").cast("string")).alias("name"), F.lit("Equipment").alias("label"))
-    p = t.lineitem.where("l_linenumber <= 2 AND l_partkey <= 100").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("P:"), F.col("l_suppkey").cast("string")).alias("name"), F.lit("Person").alias("label"))
+    m = t.lineitem.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("E:"), F.col("l_partkey").cast("string")).alias("name"), F.lit("Equipment").alias("label"))
+    p = t.lineitem.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("P:"), F.col("l_suppkey").cast("string")).alias("name"), F.lit("Person").alias("label"))
     return D.cooccurrence(m.unionByName(p).distinct())
 
 

@@ -103,6 +103,38 @@ def test_packed_sentences():
     assert all(c.startswith("[HEAD]\n") for c in chunks) and chunks[0].endswith("S2 a b c d e f g h.") and chunks[1].startswith("[HEAD]\nS2")
 
 
+def test_near_names(spark):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            row, old = [i], row
+            for j, e in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (c != e)))
+        return row[-1]
+
+    names = [*enumerate(["", "a", "ab", "ba", "abc", "xbcd", "aa", "aaaa", "Supplier#1", "Suppller#2", "upplier#12", "S#1"]), (50, "ab"), (51, "abcdef"), (52, "defabc"), (53, None)]
+    got = sorted(map(tuple, X.near_names(spark.createDataFrame(names, "id long, name string")).collect()))
+    assert got == sorted((a, b, edits(m, n)) for a, m in names for b, n in names if a < b and n is not None and edits(m, n) <= 2)
+
+
+def test_queries_read_all_rows(spark):
+    """Filters on rows must not come back: all suppliers, lines and languages are read."""
+    q = lambda name: queries.queries()[name](spark, "/root/testdata/sf0.01")
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    s = read("supplier").select("s_suppkey", "s_name")
+    x, y = s.alias("x"), s.alias("y")
+    assert q("levenshtein_pairs").count() == x.join(y, F.expr("x.s_suppkey < y.s_suppkey AND levenshtein(x.s_name, y.s_name) <= 2")).count()
+    n = read("documents").count()
+    assert q("keyword_overlap").count() == n and q("context_compression").count() == n
+    pairs = set()
+    lines = {}
+    for r in read("lineitem").select("l_orderkey", "l_partkey", "l_suppkey").collect():
+        lines.setdefault(r[0], set()).update({f"E:{r[1]}", f"P:{r[2]}"})
+    for names in lines.values():
+        pairs |= {(a, b) for a in names for b in names if a < b}
+    assert q("cooccurrence_edges").count() == len(pairs)
+
+
 def test_entities_merge(spark):
     rows = spark.createDataFrame([(1, "P-101", "Equipment"), (1, "P-102", "Equipment"), (1, "Boiler", "Equipment")], "id long, name string, type string")
     assert sorted((r.name, r.n_aliases) for r in D.merge_entities(rows).collect()) == [("Boiler", 1), ("P-101", 2)]
