@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
 
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_base(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset (tests) a local one is set for this session."""
+    """The folder in spark.checkpoint.dir. Where that is unset a local master (tests) gets a local one; a cluster raises."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
@@ -52,6 +56,10 @@ def crc32(data) -> int:
 
 
 _pack = _unpack = None
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:
+    _libc = None
 
 
 def pack(data: bytes) -> bytes:
@@ -69,10 +77,18 @@ def unpack(data: bytes) -> bytes:
     return _unpack.decompress(data)
 
 
-@F.pandas_udf(T.BinaryType())
-def packed_text(text):
+@F.arrow_udf(T.BinaryType())
+def packed_text(text: pa.Array) -> pa.Array:
     """Texts as zstd frames, so that a shuffle moves about a third of the bytes. Null stays null."""
-    return text.map(lambda t: None if t is None else pack(t.encode("utf-8", "surrogatepass")))
+    return pa.array((None if t is None else pack(t) for t in (x.as_buffer() for x in text.cast(pa.large_binary()))), pa.binary())
+
+
+def release() -> None:
+    """Gives memory that a worker has freed back to the system: a worker outlives many groups, and what one
+    large group took would else count against all that run later."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def text_of(data) -> str | None:

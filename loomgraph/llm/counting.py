@@ -15,10 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pack, unpack
+from .common import cut, pack, release, unpack
 
 #: Distinct hashes of one bucket, added over the blocks: what one task adds up at once.
-BUCKET_HASHES = 3_000_000
+BUCKET_HASHES = 1_000_000
 ASKED = "bucket int, block int, n int, keys binary, counts binary"
 ANSWERS = "block int, bucket int, totals binary, kinds long, occurrences long"
 
@@ -70,6 +70,8 @@ def totals(blocks: DataFrame, ask: Callable[[pd.DataFrame], tuple[np.ndarray, np
             k = keys[at[b] : at[b + 1]]
             if len(k):
                 made.append((b, int(rows["block"].iloc[0]), len(k), packed(np.diff(k, prepend=np.uint64(0))), packed(counts[at[b] : at[b + 1]].astype(np.uint32))))
+        del keys, counts
+        release()
         return pd.DataFrame(made, columns=["bucket", "block", "n", "keys", "counts"])
 
     def added(rows: pd.DataFrame) -> pd.DataFrame:
@@ -77,12 +79,14 @@ def totals(blocks: DataFrame, ask: Callable[[pd.DataFrame], tuple[np.ndarray, np
         keys = np.concatenate([np.cumsum(unpacked(k, np.uint64), dtype=np.uint64) for k in rows["keys"]])
         counts = np.concatenate([unpacked(c, np.uint32) for c in rows["counts"]])
         order = np.argsort(keys)  # half the memory of a hash table of so many keys
-        s = keys[order]
+        s, n_keys = keys[order], len(keys)
+        del keys
         first = np.concatenate([[True], s[1:] != s[:-1]])
         known = s[first]
         each = np.add.reduceat(counts[order], np.flatnonzero(first), dtype=np.int64)
-        total = np.empty(len(keys), np.int64)
+        total = np.empty(n_keys, np.int64)
         total[order] = each[np.cumsum(first, dtype=np.int32) - 1]
+        del s, order, counts, first
         bucket, made, at = int(rows["bucket"].iloc[0]), [], 0
         for block, n in zip(rows["block"], rows["n"], strict=True):
             made.append((int(block), bucket, packed(total[at : at + n]), 0, 0))
@@ -90,6 +94,8 @@ def totals(blocks: DataFrame, ask: Callable[[pd.DataFrame], tuple[np.ndarray, np
         if kind is not None:
             mine = (known & np.uint64(1) == kind) & (each > 0)
             made.append((-1, bucket, b"", int(mine.sum()), int(each[mine].sum())))
+        del total
+        release()
         return pd.DataFrame(made, columns=["block", "bucket", "totals", "kinds", "occurrences"])
 
     rows = blocks.groupBy("block").applyInPandas(asked, ASKED)

@@ -2,7 +2,9 @@
 
 The documents are cut into shards (the batches of a task). Each shard's suffixes are sorted by their first
 `window` words; every suffix of every benchmark item is then found there by binary search, which gives all
-places of each window, and from them the longest verbatim match. Only suffixes whose first words all occur in
+places of each window, and from them the longest verbatim match. Equal suffixes are searched for once; their
+places and their items are lists that never multiply. Longest matches are followed from where two texts begin
+to agree only. Only suffixes whose first words all occur in
 the benchmark can match, so only those are sorted: the array is sparse but loses no match.
 
 Words are compared by 64-bit hashes. The benchmark is sent to the tasks in blocks of at most BLOCK_BYTES of
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import text_bytes
-from .textvec import word_hashes
+from .textvec import chain, word_hashes
 
 BLOCK_BYTES = 8 << 20
 WINDOW = 10
@@ -51,6 +53,17 @@ class Benchmark:
         self.starts, self.items, self.lengths = (np.array(x, np.int64) for x in (starts, items, lengths))
         self.ends = o[1:][self.items] if len(items) else np.zeros(0, np.int64)
         self.keys = _keys(self.ranks, self.starts, self.lengths, window)
+        # distinct windows in order; where each one's suffixes are in `at`; its items in `of`
+        self.windows, code = np.unique(self.keys, return_inverse=True)
+        code = code.ravel().astype(np.int64)
+        self.at = np.argsort(code, kind="stable")
+        self.first = np.searchsorted(code[self.at], np.arange(len(self.windows) + 1))
+        self.window_length = self.lengths[self.at[self.first[:-1]]] if len(self.windows) else np.zeros(0, np.int64)
+        pairs = np.unique(np.stack([code, self.items]), axis=1) if len(code) else np.zeros((2, 0), np.int64)
+        self.of, self.first_of = pairs[1], np.searchsorted(pairs[0], np.arange(len(self.windows) + 1))
+        # the word before each suffix, -1 at an item's beginning, which equals nothing
+        begins = np.isin(self.starts, o[:-1])
+        self.before = np.where(begins, -1, self.ranks[np.maximum(self.starts - 1, 0)]) if len(self.starts) else np.zeros(0, np.int64)
         self.shortest = int(self.lengths.min()) if len(lengths) else 0
 
 
@@ -61,6 +74,50 @@ def _keys(ranks: np.ndarray, starts: np.ndarray, lengths: np.ndarray, window: in
     return np.ascontiguousarray(words.astype(">u4")).view(f"S{4 * window}").ravel()
 
 
+#: Pairs of places whose common length is followed at once.
+FOLLOWED = 1 << 18
+#: Words that a long match is followed by at once.
+LEAP = 32
+
+
+def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, value) of all values of the ranges [low, high)."""
+    many = high - low
+    which = np.repeat(np.arange(len(many)), many)
+    return which, np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many - low, many)
+
+
+def _longest(ranks: np.ndarray, place: np.ndarray, stop: np.ndarray, window: np.ndarray, before: np.ndarray, bench: Benchmark) -> np.ndarray:
+    """For each place (with the window that stands there) the longest match that begins to agree there, in words."""
+    best = bench.window_length[window].copy()
+    step = max(1, FOLLOWED // max(1, int(np.diff(bench.first).max(initial=1))))
+    for a in range(0, len(place), step):
+        which, k = _spread(bench.first[window[a : a + step]], bench.first[window[a : a + step] + 1])
+        test, which = bench.at[k], which + a
+        begins = (bench.before[test] < 0) | (bench.before[test] != before[which])  # else a longer match began one word before
+        test, which = test[begins], which[begins]
+        length, going = bench.window_length[window[which]].copy(), np.arange(len(which))
+        steps = 0
+        while len(going):
+            if steps == LEAP:  # long matches go on by hashes of LEAP words
+                h, g = (chain(x.astype(np.uint64), LEAP) for x in (ranks, bench.ranks))
+                far = going
+                while len(far):
+                    d, b = place[which[far]] + length[far], bench.starts[test[far]] + length[far]
+                    same = (d + LEAP <= stop[which[far]]) & (b + LEAP <= bench.ends[test[far]])
+                    far, d, b = far[same], d[same], b[same]
+                    far = far[h[d] == g[b]]
+                    length[far] += LEAP
+            d, b = place[which[going]] + length[going], bench.starts[test[going]] + length[going]
+            same = (d < stop[which[going]]) & (b < bench.ends[test[going]])
+            same &= ranks[np.where(same, d, len(ranks) - 1)] == bench.ranks[np.where(same, b, 0)]
+            going = going[same]
+            length[going] += 1
+            steps += 1
+        np.maximum.at(best, which, length)
+    return best
+
+
 def shard_hits(texts: list[str | None], bench: Benchmark) -> tuple[np.ndarray, dict[int, tuple[list[tuple[int, int]], set[int], int]]]:
     """(number of words of each text, text -> (hit spans in words, items, longest match))."""
     h, o = word_hashes(texts, "word")
@@ -82,27 +139,22 @@ def shard_hits(texts: list[str | None], bench: Benchmark) -> tuple[np.ndarray, d
         keys = _keys(ranks, mine, np.full(len(mine), w), bench.window)
         order = np.argsort(keys, kind="stable")
         mine, keys = mine[order], keys[order]
-        tests = np.flatnonzero(bench.lengths == w)
-        low, high = (np.searchsorted(keys, bench.keys[tests], side) for side in ("left", "right"))
-        many = high - low
-        if not many.sum():
+        tests = np.flatnonzero(bench.window_length == w)
+        which, k = _spread(*(np.searchsorted(keys, bench.windows[tests], side) for side in ("left", "right")))
+        if not len(k):
             continue
-        test = np.repeat(tests, many)
-        place = mine[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        place, window = mine[k], tests[which]
         doc = np.searchsorted(o, place, side="right") - 1
-        # from each place on, how far the item's text and the document's stay the same
-        length, going = np.full(len(place), w), np.arange(len(place))
-        while len(going):
-            d, b = place[going] + length[going], bench.starts[test[going]] + length[going]
-            same = (d < o[doc[going] + 1]) & (b < bench.ends[test[going]])
-            same &= ranks[np.where(same, d, len(h))] == bench.ranks[np.where(same, b, 0)]
-            going = going[same]
-            length[going] += 1
-        for k, p, i, n in zip(doc.tolist(), (place - o[doc]).tolist(), bench.items[test].tolist(), length.tolist(), strict=True):
-            spans, items, longest = found.get(k, ([], set(), 0))
+        before = np.where(place == o[doc], -2, ranks[place - 1])
+        length = _longest(ranks, place, o[doc + 1], window, before, bench)
+        for d, p, n in zip(doc.tolist(), (place - o[doc]).tolist(), length.tolist(), strict=True):
+            spans, items, longest = found.get(d, ([], set(), 0))
             spans.append((p, p + w))
-            items.add(i)
-            found[k] = (spans, items, max(longest, n))
+            found[d] = (spans, items, max(longest, n))
+        d, v = np.unique(np.stack([doc, window]), axis=1)  # each window once for each text, however often it stands there
+        which, k = _spread(bench.first_of[v], bench.first_of[v + 1])
+        for x, i in zip(d[which].tolist(), bench.of[k].tolist(), strict=True):
+            found[x][1].add(i)
     return n_words, found
 
 

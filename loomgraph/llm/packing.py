@@ -1,10 +1,10 @@
 """Best-fit packing with certified bin counts.
 
-`pieces` turns each document into token pieces of at most `capacity`. `pack` deals the pieces into groups by
-a hash, packs each group best-fit decreasing, and takes lower bounds from dual-feasible functions. A group
-whose bin count meets its bound is certified. Then all bins with gaps, from every group, are exchanged: they
-meet in new groups, whose documents are packed anew, and the result stands where it needs fewer bins.
-Two such rounds leave less than about one open bin for each final group.
+`pieces` turns each document into token pieces of at most `capacity`. `pack` deals the pieces into partitions by
+a hash, packs each best-fit decreasing, and takes a lower bound from dual-feasible functions. A partition whose
+bin count meets its bound is certified: no packing of its pieces needs fewer bins. A partition with a gap
+exchanges all its bins that have room, a certified one only those more than half empty (two of which make one). The
+exchanged pieces meet in new partitions, are packed anew, and the result stands where it needs fewer bins.
 
 Null and empty texts have one piece with the end id. Repeated rows are packed as often as they come. An
 empty table gives no rows. Extra columns are not read. Longer documents are cut at multiples of capacity.
@@ -31,7 +31,7 @@ OPEN_SHARE = 0.02
 #: Rows that a task encodes at once.
 ROWS = 500
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = f"{PIECES}, sequence_id long, offset long, free int"
+PACKED = f"{PIECES}, sequence_id long, offset long, free int, gap long"
 
 
 def pieces(docs: DataFrame, capacity: int = 4096, tokenizer: str = DEFAULT, end_id: int = 1) -> DataFrame:
@@ -61,12 +61,15 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """Bins that any packing needs: the best of two families of dual-feasible functions."""
     if not len(lengths):
         return 0
-    best = math.ceil(int(lengths.sum()) / capacity)
-    # items over capacity - e fill a bin, items under e vanish
-    for e in np.unique(np.minimum(lengths, capacity - lengths))[:256].tolist():
-        if 0 < e <= capacity // 2:
-            v = np.where(lengths > capacity - e, capacity, np.where(lengths < e, 0, lengths))
-            best = max(best, math.ceil(int(v.sum()) / capacity))
+    s = np.sort(lengths.astype(np.int64))
+    sums = np.concatenate([[0], np.cumsum(s)])
+    best = math.ceil(int(sums[-1]) / capacity)
+    # for each threshold e: items over capacity - e fill a bin, items under e vanish
+    e = np.unique(np.minimum(s, capacity - s))
+    e = e[e > 0]
+    if len(e):
+        low, high = np.searchsorted(s, e, "left"), np.searchsorted(s, capacity - e, "right")
+        best = max(best, -(-int(((len(s) - high) * capacity + sums[high] - sums[low]).max()) // capacity))
     # lengths rounded to k-ths of a bin, exact multiples kept
     for k in range(1, 12):
         whole, rest = np.divmod((k + 1) * lengths, capacity)
@@ -104,20 +107,24 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def _packer(capacity: int, round_: int):
-    """applyInPandas function: packs one group; later rounds keep the old places unless they save bins."""
+    """applyInPandas function: packs one partition; later rounds keep the old places unless they save bins.
+
+    `gap` is by how many bins the partition is over its bound: 0 certifies it.
+    """
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "piece", "ids_crc32"], ignore_index=True)
         lengths = rows["length"].to_numpy(np.int64)
+        bound = lower_bound(lengths, capacity)
         if round_:
             had = rows["sequence_id"].nunique()
-            if had <= lower_bound(lengths, capacity):  # certified: no packing of these needs fewer
-                return rows[PACKED_COLUMNS]
+            if had <= bound:
+                return rows.assign(gap=0)[PACKED_COLUMNS]
         bins, offsets, free = best_fit_decreasing(lengths, capacity)
         if round_ and len(free) >= had:
-            return rows[PACKED_COLUMNS]
+            return rows.assign(gap=had - bound)[PACKED_COLUMNS]
         group = int(key[0])
-        return rows.assign(sequence_id=(round_ << 60) + (group << 24) + bins, offset=offsets, free=free[bins].astype(np.int32))[PACKED_COLUMNS]
+        return rows.assign(sequence_id=(round_ << 60) + (group << 24) + bins, offset=offsets, free=free[bins].astype(np.int32), gap=len(free) - bound)[PACKED_COLUMNS]
 
     return run
 
@@ -137,17 +144,17 @@ def pack(rows: DataFrame, capacity: int = 4096, group_rows: int = GROUP_ROWS, ro
     alone = full.select("*", (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     part = rows.where(F.col("length") < capacity).withColumn("group", F.pmod(spread, F.lit(n)))
     packed = cut(part.groupBy("group").applyInPandas(_packer(capacity, 0), PACKED))
-    done = [alone, packed.where(F.col("free") <= capacity * OPEN_SHARE)]
-    open_ = packed.where(F.col("free") > capacity * OPEN_SHARE)
+    done = [alone]
     for r in range(1, rounds + 1):
+        gives = F.when(F.col("gap") > 0, F.col("free") > capacity * OPEN_SHARE).otherwise(2 * F.col("free") > capacity)
+        done.append(packed.where(~gives))
+        open_ = packed.where(gives)
         n = max(1, -(-open_.count() // group_rows))
         grouped = open_.withColumn("group", F.pmod(F.xxhash64("sequence_id", F.lit(r)), F.lit(n)))
-        again = cut(grouped.groupBy("group").applyInPandas(_packer(capacity, r), PACKED))
-        if r == rounds or n == 1:
-            done.append(again)
+        packed = cut(grouped.groupBy("group").applyInPandas(_packer(capacity, r), PACKED))
+        if n == 1:
             break
-        done.append(again.where(F.col("free") <= capacity * OPEN_SHARE))
-        open_ = again.where(F.col("free") > capacity * OPEN_SHARE)
+    done.append(packed)
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x.select(*out.columns))

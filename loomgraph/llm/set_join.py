@@ -4,13 +4,15 @@
 2. All sets share one order of shingles: rare first, by corpus counts (`counting.totals`). Two sets that are
    similar enough share a shingle within both prefixes, of n - ceil(t n) + 1 shingles. Shingles that only one
    document has can't be shared and are left out, so that most documents without a partner send nothing.
-3. The index lists (shingle, size band) are blocks of sets whose sizes allow a link; within a block, the
-   places of the shingle in both sets bound the overlap, and pairs under the bound are skipped.
-4. Answers are derived from those of similar sets: every list compares its sets only with a few pivots, so a
-   family of near copies of any size takes some rows for each member, not one for each two; members of one
-   component need no further comparison. What is left between different components is compared pair by pair,
-   unless the sets' parity bitmaps, which bound the symmetric difference from below, rule a link out within
-   the join itself. So no link between components is lost.
+3. The index lists (shingle, size band) hold sets whose sizes allow a link; the places of the shingle in two
+   sets bound their overlap. Each list is compared with a few pivots at first, so a family of near copies of any
+   size takes some rows for each member, not one for each two; members of one component need no more.
+4. The lists that still span components are cut into blocks of one place and at most about LIST_BLOCK sets. Two
+   blocks are skipped whole if their place and sizes leave no room for a link, or if one component has both. What
+   is left is dealt by pairs of blocks, so no list has to meet in one task.
+5. Within two blocks answers are derived from those computed before: two sets differ by at least the difference
+   of what each differs by from the same pivot, and by at least what their parity bitmaps differ by. Only pairs
+   that neither rules out are compared shingle by shingle. So no link between components is lost.
 
 Null, empty and white-space texts have an empty set, linked with nothing. Equal ids are kept as rows of their
 own. A null id is never a component's smallest; a component of null ids only has a null one. Empty tables
@@ -26,19 +28,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_blocks, text_bytes, text_of
+from .common import cut, in_blocks, release, text_bytes, text_of
 from .counting import BUCKET_HASHES, answers_for, distinct, in_order, totals
 from .textvec import shingle_sets
 
 WORDS = 3
 #: Least similarity in hundredths.
 PERCENT = 90
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 #: Pivots of each list in a round, and rounds; later rounds only see lists that still span components.
 PIVOTS, ROUNDS = 6, 2
+#: Sets of one block of a list, about.
+LIST_BLOCK = 128
+#: Packed bytes of texts whose sets are in memory at once when pairs are compared.
+PAIR_BYTES = 512 << 10
 #: Longs of a set's parity bitmap.
 LONGS = 16
 
@@ -112,6 +119,8 @@ def prepare(docs: DataFrame, words: int, percent: int, block_bytes: int) -> Data
                     row = (s[order[shared]].view(np.int64), shared.astype(np.int32), parity(s), z)
             made.append((doc_id, check, n, node, *row))
         out = pd.DataFrame(made, columns=[x.split()[0] for x in PREPARED.split(", ")])
+        del sets, keys, count
+        release()
         return out.assign(doc_id=out["doc_id"].astype("Int64"))
 
     return cut(blocks.groupBy("block").cogroup(answers_for(answers).groupBy("block")).applyInPandas(prefixes, PREPARED))
@@ -133,30 +142,39 @@ def _can_link(n: Column, m: Column, i: Column, j: Column, percent: int) -> Colum
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * overlap >= percent * (n + m))
 
 
+def slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose sizes add up to about `most`; one row at least."""
+    at, ends = 0, np.cumsum(sizes)
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def _compare(pairs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b, distance, linked) of pairs (a, b) of nodes, from their whole texts."""
+    """(a, b, differ, linked) of pairs (a, b) of nodes, from their whole texts; differ counts the shingles that only one has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            sizes = sum(pc.binary_length(whole.column(i)).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+            for batch in slices(whole, sizes, PAIR_BYTES):
                 a, b, za, zb = (batch.column(i).to_pylist() for i in range(4))
                 texts = dict(zip(a, za, strict=True)) | dict(zip(b, zb, strict=True))
                 made = dict(zip(texts, shingle_sets([text_of(z) for z in texts.values()], words)[0], strict=True))
-                distance, linked = [], []
+                differ, linked = [], []
                 for x, y in zip(a, b, strict=True):
                     s, t = made[x], made[y]
                     both = np.concatenate([s, t])
                     both.sort(kind="stable")
                     same = int((both[1:] == both[:-1]).sum())
-                    union = len(s) + len(t) - same
-                    distance.append(1 - same / union)
-                    linked.append(100 * same >= percent * union)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "distance", "linked"])
+                    differ.append(len(both) - 2 * same)
+                    linked.append(100 * same >= percent * (len(both) - same))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(differ, pa.int32()), pa.array(linked, pa.bool_())], names=["a", "b", "differ", "linked"])
+            release()
 
     text = sets.select("node", "z")
     both = pairs.join(text.select(F.col("node").alias("a"), F.col("z").alias("za")), "a").join(text.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b")
-    return cut(both.select("a", "b", "za", "zb").mapInArrow(run, "a binary, b binary, distance double, linked boolean"))
+    return cut(both.select("a", "b", "za", "zb").mapInArrow(run, "a binary, b binary, differ int, linked boolean"))
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -177,18 +195,21 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _pivots(lists: DataFrame, seeds: range) -> DataFrame:
+    """(token, band, ps): one row for each list, whatever its length; ps are its sets that hash least under each seed."""
+    return lists.groupBy("token", "band").agg(F.array(*(F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node", "n", "place")) for i in seeds)).alias("ps"))
+
+
 def links(prepared: DataFrame, words: int = WORDS, percent: int = PERCENT, pivots: int = PIVOTS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(compared pairs of nodes with distance and linked, labels of the components of the linked ones)."""
+    """(compared pairs of nodes with differ and linked, labels of the components of the linked ones)."""
     own = prepared.where(F.col("z").isNotNull()).groupBy("node").agg(F.min_by(F.struct("n", "tokens", "places", "parity", "z"), F.xxhash64("doc_id")).alias("s"))
     sets = cut(own.select("node", "s.*"))
     lists = _lists(sets, percent)
     crowded = lists.groupBy("token", "band").agg(F.count("*").alias("c")).where("c > 1").select("token", "band")
     lists = cut(lists.join(crowded, ["token", "band"], "left_semi"))
-    done = labels = None
+    done = labels = chosen = None
     for r in range(rounds):
-        # one row for each list, whatever its length; the join with the list itself is split where it's skewed
-        seeds = range(r * pivots, (r + 1) * pivots)
-        chosen = lists.groupBy("token", "band").agg(F.array(*(F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node", "n", "place")) for i in seeds)).alias("ps"))
+        chosen = _pivots(lists, range(r * pivots, (r + 1) * pivots))
         able = F.filter(F.array_distinct("ps"), lambda p: (p["node"] != F.col("node")) & _can_link(F.col("n"), p["n"], F.col("place"), p["place"], percent))
         pairs = lists.join(chosen, ["token", "band"]).select("node", F.explode(able).alias("p")).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
         if done is None:
@@ -199,24 +220,51 @@ def links(prepared: DataFrame, words: int = WORDS, percent: int = PERCENT, pivot
         labelled = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = labelled.groupBy("token", "band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token", "band")
         lists = cut(lists.join(mixed, ["token", "band"], "left_semi"))
-    # the rest: pairs of one list in different components, unless their bitmaps differ too much
-    left = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    bits = sets.select("node", "tokens", *(F.element_at("parity", i + 1).alias(f"w{i}") for i in range(LONGS)))
-    left = cut(left.join(bits, "node"))
-    x, y = left.alias("x"), left.alias("y")
-    apart = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(LONGS)), F.lit(0))
-    close = (100 + percent) * apart <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
-    # a pair is met in the list of its first common shingle and larger band only; both orders of tokens are the same
-    first = (F.element_at(F.array_intersect("x.tokens", "y.tokens"), 1) == F.col("x.token")) & (F.col("x.band") == F.greatest(_band(F.col("x.n"), percent), _band(F.col("y.n"), percent)))
-    near = x.join(y, [F.col("x.token") == F.col("y.token"), F.col("x.band") == F.col("y.band"), F.col("x.node") < F.col("y.node"), F.col("x.label") != F.col("y.label"), _can_link(F.col("x.n"), F.col("y.n"), F.col("x.place"), F.col("y.place"), percent), close, first])
-    rest = near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-    last = _compare(rest, sets, words, percent)
+    last = _compare(_undecided(lists, sets, labels, chosen, done, percent, pivots), sets, words, percent)
     done = done.unionByName(last)
     if last.where("linked").limit(1).count():
         labels = connected(done.where("linked"))
     return done, labels
 
 
+def _derived(lists: DataFrame, chosen: DataFrame, done: DataFrame, pivots: int) -> DataFrame:
+    """(token, band, node, far): what each set of a list is known to differ by from the list's pivots; 0 from itself, null if never compared."""
+    each = lists.select("token", "band", "node").join(chosen.select("token", "band", F.posexplode("ps").alias("i", "p")), ["token", "band"]).select("token", "band", "node", "i", F.col("p.node").alias("pivot"))
+    asked = each.select("*", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    known = asked.join(done.select("a", "b", "differ"), ["a", "b"], "left").withColumn("differ", F.when(F.col("node") == F.col("pivot"), 0).otherwise(F.col("differ")))
+    far = [F.max(F.when(F.col("i") == i, F.col("differ"))).alias(f"far{i}") for i in range(pivots)]
+    return known.groupBy("token", "band", "node").agg(*far)
+
+
+def _undecided(lists: DataFrame, sets: DataFrame, labels: DataFrame, chosen: DataFrame, done: DataFrame, percent: int, pivots: int) -> DataFrame:
+    """Pairs (a, b) of one list and different components that no bound rules out and that weren't compared."""
+    lists = cut(lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    crowd = lists.groupBy("token", "band", "place").agg(F.ceil(F.count("*") / LIST_BLOCK).alias("parts"))
+    held = lists.join(crowd, ["token", "band", "place"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts")
+    bits = sets.select("node", "tokens", *(F.element_at("parity", i + 1).alias(f"w{i}") for i in range(LONGS)))
+    held = cut(held.join(_derived(lists, chosen, done, pivots), ["token", "band", "node"]).join(bits, "node"))
+    blocks = cut(held.groupBy("token", "band", "place", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("low"), F.max("label").alias("high")))
+    p, q = blocks.alias("p"), blocks.alias("q")
+    room = F.least("p.place", "q.place") + 1 + F.least(F.col("p.most") - 1 - F.col("p.place"), F.col("q.most") - 1 - F.col("q.place"))
+    able = (100 * F.least("p.most", "q.most") >= percent * F.greatest("p.least", "q.least")) & ((100 + percent) * room >= percent * (F.col("p.least") + F.col("q.least")))
+    several = ~((F.col("p.low") == F.col("p.high")) & (F.col("q.low") == F.col("q.high")) & (F.col("p.low") == F.col("q.low")))
+    order = (F.col("p.place") < F.col("q.place")) | ((F.col("p.place") == F.col("q.place")) & (F.col("p.part") <= F.col("q.part")))
+    meet = p.join(q, [F.col("p.token") == F.col("q.token"), F.col("p.band") == F.col("q.band"), order, able, several])
+    meet = meet.select(F.col("p.token").alias("token"), F.col("p.band").alias("band"), F.col("p.place").alias("place"), F.col("p.part").alias("part"), F.col("q.place").alias("q_place"), F.col("q.part").alias("q_part"))
+    x, y = held.join(meet, ["token", "band", "place", "part"]).alias("x"), held.alias("y")
+    apart = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(LONGS)), F.lit(0))
+    most = (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    near = (100 + percent) * apart <= most
+    for i in range(pivots):
+        near &= F.coalesce((100 + percent) * F.abs(F.col(f"x.far{i}") - F.col(f"y.far{i}")) <= most, F.lit(True))
+    # a pair is met in the list of its first common shingle and larger band only; both orders of tokens are the same
+    first = (F.element_at(F.array_intersect("x.tokens", "y.tokens"), 1) == F.col("x.token")) & (F.col("x.band") == F.greatest(_band(F.col("x.n"), percent), _band(F.col("y.n"), percent)))
+    once = (F.col("x.place") != F.col("y.place")) | (F.col("x.part") != F.col("y.part")) | (F.col("x.node") < F.col("y.node"))
+    on = [F.col("x.token") == F.col("y.token"), F.col("x.band") == F.col("y.band"), F.col("x.q_place") == F.col("y.place"), F.col("x.q_part") == F.col("y.part")]
+    met = x.join(y, [*on, once, F.col("x.label") != F.col("y.label"), _can_link(F.col("x.n"), F.col("y.n"), F.col("x.place"), F.col("y.place"), percent), near, first])
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose nodes aren't in one component yet: the others' answers follow from what is known."""
     la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))

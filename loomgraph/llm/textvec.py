@@ -1,12 +1,15 @@
 """Words of many texts as numpy arrays of 64-bit hashes: no Python object for each word.
 
-A word's hash is a polynomial of random byte values modulo 2**64, taken from one running sum over the
-buffer, then mixed. Two different words meet with chance 2**-64 each; at 10**9 distinct words that is
-about one in forty for a single meeting anywhere.
+A span of bytes is hashed lane by lane: eight bytes at a time are mixed into the state together with the place
+of the lane, and the length goes in first, so no sum or product over the bytes can cancel out. Spans of more
+than LONG bytes are hashed with blake2b. Words of at most eight bytes of one length never meet; other words
+meet as values of a random function would, about once for 2**32 distinct words, unless they were made to.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 UPPER = bytes(range(0x41, 0x5B))
@@ -19,11 +22,12 @@ _NON_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = False
 #: Bytes between words: white space, or (for lower-cased text) all ASCII but letters and digits.
 SEPARATORS = {"space": _SPACE, "word": _NON_WORD}
 
-_VALUES = np.random.default_rng(20240117).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_P = 0x9E3779B97F4A7C15
-#: Bytes hashed at once. A worker keeps two tables of as many numbers, and each slice makes some arrays of that length.
+#: Bytes hashed at once; each slice makes some arrays of that length.
 SLICE = 1 << 19
-_powers: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+#: Spans of more bytes than this go through blake2b one by one.
+LONG = 512
+_LANE, _LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -35,20 +39,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of P and of its inverse, at least n of each."""
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, SLICE + 1)
-        made = []
-        for base in (_P, pow(_P, -1, 2**64)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            made.append(np.cumprod(x, dtype=np.uint64))
-        if size > 4 * SLICE:  # one very long text; its tables aren't kept
-            return made[0], made[1]
-        _powers = (made[0], made[1])
-    return _powers
+def span_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of data[start:end] for each span; other seeds give other functions."""
+    padded = data + bytes(8)
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    length = ends - starts
+    h = mix((length.astype(np.uint64) + np.uint64(seed)) * _LENGTH) ^ (lanes[starts] & _MASKS[np.minimum(length, 8)])
+    h = mix(h)
+    left = np.flatnonzero((length > 8) & (length <= LONG))
+    at = 8
+    while len(left):
+        k = np.minimum(length[left] - at, 8)
+        h[left] = mix((h[left] + np.uint64(at * int(_LANE) & (2**64 - 1))) ^ (lanes[starts[left] + at] & _MASKS[k]))
+        at += 8
+        left = left[length[left] > at]
+    for i in np.flatnonzero(length > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return h
 
 
 def encoded(text) -> bytes:
@@ -56,8 +63,8 @@ def encoded(text) -> bytes:
 
 
 def _hash_slice(parts: list[bytes], between: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    buf = b" ".join(parts) + b" "
-    a = np.frombuffer(buf.translate(LOWER), np.uint8)
+    buf = (b" ".join(parts) + b" ").translate(LOWER)
+    a = np.frombuffer(buf, np.uint8)
     sep = between[a]
     edges = np.flatnonzero(np.diff(sep, prepend=True))
     starts, ends = edges[0::2], edges[1::2]
@@ -65,10 +72,7 @@ def _hash_slice(parts: list[bytes], between: np.ndarray, longest: int) -> tuple[
         n = -(-(ends - starts) // longest)
         nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         starts, ends = np.repeat(starts, n) + nth * longest, np.minimum(np.repeat(starts, n) + (nth + 1) * longest, np.repeat(ends, n))
-    powers, inverse = _tables(len(a) + 1)
-    run = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum(_VALUES[a] * powers[: len(a)], out=run[1:])
-    h = mix((run[ends] - run[starts]) * inverse[starts])
+    h = span_hashes(buf, starts, ends)
     at = np.zeros(len(parts) + 1, np.int64)
     np.cumsum([len(p) + 1 for p in parts], out=at[1:])
     return h, np.searchsorted(starts, at[:-1])

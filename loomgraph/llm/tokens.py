@@ -18,7 +18,7 @@ from array import array
 import numpy as np
 import pandas as pd
 
-from .textvec import SLICE, _tables, mix
+from .textvec import SLICE, span_hashes
 
 DEFAULT = "word_bpe_49k.json"
 #: Runs whose ids a Python worker keeps (some 120 bytes each); beyond that it starts anew.
@@ -34,7 +34,6 @@ _SPACE, _LETTER, _DIGIT, _REST = range(4)
 _CLASS = np.zeros(0x20AD, np.uint8)
 for _c in _SAFE:
     _CLASS[ord(_c)] = {"L": _LETTER, "N": _DIGIT}.get(unicodedata.category(_c)[0], _SPACE if _c.isspace() else _REST)
-_VALUES = np.random.default_rng(7).integers(1, 2**63, 0x20AD, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes that the byte-level alphabet writes as themselves; the others follow from U+0100 on.
 _SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: chr(b) for b in _SELF} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SELF)}
@@ -74,11 +73,12 @@ class Encoder:
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.at, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.second = np.zeros(1 << 14, np.uint64)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, keys: list[int], runs: list[str]) -> None:
+    def _learn(self, keys: list[int], second: np.ndarray, runs: list[str]) -> None:
         """Ids of runs not met before, from the library's merges."""
         parts, tokenize = [], self.model.tokenize
         for run in runs:
@@ -90,10 +90,11 @@ class Encoder:
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while n + len(runs) > len(self.at):
-            self.at, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.length))
+            self.at, self.length, self.second = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.length, self.second))
         self.pool[self.used : self.used + len(ids)] = ids
         self.length[n : n + len(runs)] = lengths
         self.at[n : n + len(runs)] = self.used + np.cumsum(lengths) - lengths
+        self.second[n : n + len(runs)] = second
         self.used += len(ids)
         self.slot.update(zip(keys, range(n, n + len(runs)), strict=True))
 
@@ -106,10 +107,8 @@ class Encoder:
         stops = np.append(cuts[1:], len(cp))
         inside = kind[cuts] != _SPACE
         starts, stops = cuts[inside], stops[inside]
-        powers, inverse = _tables(len(cp) + 1)
-        run = np.zeros(len(cp) + 1, np.uint64)
-        np.cumsum(_VALUES[cp] * powers[: len(cp)], out=run[1:])
-        keys = mix((run[stops] - run[starts]) * inverse[starts])
+        narrow = cp.astype("<u2").tobytes()  # safe characters have code points below 2**16
+        keys, second = (span_hashes(narrow, 2 * starts, 2 * stops, seed) for seed in (1, 2))
         codes, uniques = pd.factorize(keys)
         if len(self.slot) + len(uniques) > KEPT:
             self._forget()
@@ -119,8 +118,11 @@ class Encoder:
             first = np.zeros(len(uniques), np.int64)
             first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             at = first[new]
-            self._learn([listed[i] for i in new], [joined[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist(), strict=True)])
+            self._learn([listed[i] for i in new], second[at], [joined[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist(), strict=True)])
         slots = np.fromiter(map(self.slot.__getitem__, listed), np.int64, len(listed))[codes]
+        if (self.second[slots] != second).any():  # two runs with one first hash
+            parts = [self._whole(t) for t in texts]
+            return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
         lengths = self.length[slots]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0

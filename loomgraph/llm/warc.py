@@ -21,7 +21,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
@@ -224,8 +223,8 @@ def warc_first(name: str) -> bytes:
 
 
 def _per_file(manifest: DataFrame) -> DataFrame:
-    """The manifest's files dealt over tasks, one file each."""
-    return manifest.select("file").repartition(max(1, min(manifest.count(), 100_000)), "file")
+    """The manifest's rows dealt over tasks in turn, about one file each; adaptive execution doesn't merge them."""
+    return manifest.repartition(max(1, min(manifest.count(), 100_000)))
 
 
 PAYLOADS = "file string, page_id long, payload_bytes long, payload_digest string, url string, date string"
@@ -249,7 +248,7 @@ def payloads(manifest: DataFrame) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PAYLOADS.split(", ")])
 
-    return _per_file(manifest).mapInArrow(run, PAYLOADS)
+    return _per_file(manifest.select("file")).mapInArrow(run, PAYLOADS)
 
 
 def revisits(found: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
@@ -284,24 +283,25 @@ def converted(line: dict[str, str], content: bytes, to: tuple | None) -> bytes:
 
 
 def convert(manifest: DataFrame, folder: str) -> DataFrame:
-    """ARC files to WARC files below folder, one for one; returns their manifest."""
-    files = manifest.select("file")
-    to = revisits(cut(payloads(manifest)))
-
-    def run(arc: pd.DataFrame, refers: pd.DataFrame) -> pd.DataFrame:
-        known = {(None if pd.isna(r.page_id) else int(r.page_id), r.payload_digest): (int(r.to_id), r.to_url, r.to_date) for r in refers.itertuples()}
-        made = []
-        for file in arc["file"]:
-            roller = Roller(folder, "warc", warc_first)
-            for line, content in arc_records(file):
-                fields, _, payload = _content(content)
-                target = known.get((page_key(fields), hashlib.sha256(payload).hexdigest())) if known else None
-                roller.write(converted(line, content, target))
-            roller.close()
-            made += roller.done
-        return pd.DataFrame(made, columns=["file", "records", "bytes"])
-
-    return cut(files.groupBy("file").cogroup(to.groupBy("file")).applyInPandas(run, MANIFEST))
+    """ARC files to WARC files below folder, one for one; returns their manifest.
+
+    A file's revisits come as one row beside it: no more of them than the file has records.
+    """
+    to = revisits(cut(payloads(manifest))).groupBy("file").agg(F.collect_list(F.struct("page_id", "payload_digest", "to_id", "to_url", "to_date")).alias("refers"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, refers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                known = {(r["page_id"], r["payload_digest"]): (r["to_id"], r["to_url"], r["to_date"]) for r in refers or ()}
+                roller = Roller(folder, "warc", warc_first)
+                for line, content in arc_records(file):
+                    fields, _, payload = _content(content)
+                    target = known.get((page_key(fields), hashlib.sha256(payload).hexdigest())) if known else None
+                    roller.write(converted(line, content, target))
+                roller.close()
+                yield _manifest(roller)
+
+    return cut(_per_file(cut(manifest.select("file").join(to, "file", "left"))).mapInArrow(run, MANIFEST))
 
 
 # --- reading WARC
@@ -353,4 +353,4 @@ def read_warc(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names)
 
-    return _per_file(manifest).mapInArrow(run, schema)
+    return _per_file(manifest.select("file")).mapInArrow(run, schema)
