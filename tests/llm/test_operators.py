@@ -9,8 +9,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from loomgraph.llm import backoff_lm, decontam, host_text, langid, lz, orc_ids, packing, pii, set_join, tokens, warc
+from loomgraph.llm import backoff_lm, decontam, host_text, langid, lz, orc_ids, packing, pii, set_join, textvec, tokens, warc
 from loomgraph.llm.common import shared_path
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -64,6 +65,30 @@ def test_set_join(docs, none):
     assert sorted(x for x in kept if x) == [1, 4, 5, 6, 7, 8, 10, 11, 12, 13] and None in kept
 
 
+@pytest.mark.parametrize("words, percent, low, high", [(3, 90, 0, 4), (5, 80, 1, 6), (1, 60, 4, 30)])
+def test_set_join_of_families(spark, monkeypatch, words, percent, low, high):
+    """Families of a template: members near the threshold and under it, so that lists stay mixed and blocks meet."""
+    monkeypatch.setattr(set_join, "LIST_BLOCK", 4)
+    rng = np.random.default_rng(words)
+    rows = []
+    for family in range(4):
+        base = text(100 + family, 90).split()
+        for _ in range(30):
+            t = list(base)
+            for i in rng.integers(0, 90, rng.integers(low, high)):
+                t[i] = f"x{rng.integers(1000)}"
+            rows.append(" ".join(t[: 90 - rng.integers(0, 6)]))
+    sets = [{tuple(t.split()[j : j + words]) for j in range(len(t.split()) - words + 1)} for t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    got = set_join.components(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), words, percent, 4000).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root)) and len(set(root)) > 4
+
+
 def test_rows_of_one_id_are_told_apart(spark):
     """Near copies and contaminated rows go for their own texts, not for those of rows with the same id or none."""
     rows = [(1, BASE), (1, text(20, 60)), (2, EDITED), (2, text(21, 60)), (2, text(21, 60)), (None, BASE), (None, text(22, 60)), (3, " "), (3, "")]
@@ -95,6 +120,59 @@ def test_backoff_lm(docs, none):
     assert backoff_lm.score(none.withColumn("held_out", backoff_lm.held_out())).collect() == []
 
 
+def thue_morse(n):
+    x = "a"
+    for _ in range(n):
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x
+
+
+def test_words_are_told_apart():
+    """Words that a polynomial modulo 2**64 takes for one, words over all lengths of lanes, words longer than a slice."""
+    x = thue_morse(10)
+    y = x.translate(str.maketrans("ab", "ba"))
+    e = tokens.encoder(tokens.vocabulary_path())
+    ids, at = e.encode_all([x, y])
+    for i, t in enumerate((x, y)):
+        assert ids[at[i] : at[i + 1]].tolist() == e.whole.encode(t, add_special_tokens=False).ids
+    words = [x, y, x[:512], y[:512], *("a" * n for n in range(1, 40)), *("b" * n + "\0" for n in range(20)), *("c" * 8 * n for n in range(1, 90)), "é" * 300]
+    h, o = textvec.word_hashes([" ".join(words), "d" * (textvec.SLICE * 2) + " e " + " ".join(words)])
+    assert len(set(h.tolist())) == len(words) + 2 and (h[: len(words)] == h[len(words) + 2 :]).all() and o.tolist() == [0, len(words), len(h)]
+    cut_, _ = textvec.word_hashes(["d" * 100], longest=16)
+    assert len(cut_) == 7 and len(set(cut_.tolist())) == 2
+
+
+def test_long_and_equal_words_in_decontamination():
+    bench = decontam.Benchmark(["a"], ["x " * 300], 10)
+    n, found = decontam.shard_hits(["x " * 20_000 + "y"], bench)
+    assert n.tolist() == [20_001] and decontam.united(found[0][0]) == [0, 20_000] and found[0][2] == 300
+
+
+def test_longest_matches():
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        texts, items = ([" ".join(rng.choice(list("abc"), rng.integers(0, n))) for _ in range(4)] for n in (40, 30))
+        bench = decontam.Benchmark(list("wxyz"), items, 4)
+        _, found = decontam.shard_hits(texts, bench)
+        for i, t in enumerate(texts):
+            t, hit, which, longest = t.split(), set(), set(), 0
+            for j, x in enumerate(items):
+                x = x.split()
+                k = min(4, len(x))
+                for p in range(len(t) - k + 1 if k else 0):
+                    for q in range(len(x) - k + 1):
+                        n = 0
+                        while p + n < len(t) and q + n < len(x) and t[p + n] == x[q + n]:
+                            n += 1
+                        if n >= k:
+                            hit.update(range(p, p + k))
+                            which.add(j)
+                            longest = max(longest, n)
+            spans, got, n = found.get(i, ([], set(), 0))
+            u = decontam.united(spans)
+            assert (sum(u[1::2]) - sum(u[::2]), got, n) == (len(hit), which, longest)
+
+
 def test_tokens_equal_the_library():
     e = tokens.encoder(tokens.vocabulary_path())
     odd = [None, "", " ", "a", "İstanbul Σας don't", "x<|endoftext|>y", "日本語 text 12", "a\x1cb c\x85d", "é́e 1²3 ½ ªº", "“q” – a…", "ǆ", *[t for _, t in DOCS]]
@@ -146,7 +224,27 @@ def test_packing(docs, none):
     assert packing.pack(packing.pieces(none)).collect() == []
 
 
+def test_packing_over_several_partitions(spark):
+    """Every piece once, places gapless, and no more sequences than 1 in 100 over the bound of all pieces."""
+    rng = np.random.default_rng(8)
+    rows = [(i, 0, 0, int(n), i) for i, n in enumerate(rng.choice([30, 90, 250, 700, 1300, 1700, 2500, 4096], 6000, p=[0.2, 0.2, 0.2, 0.1, 0.1, 0.1, 0.05, 0.05]))]
+    df = spark.createDataFrame(rows, packing.PIECES)
+    bound = packing.lower_bound(np.array([r[3] for r in rows]), 4096)
+    for group_rows in (40_000, 700, 100):
+        got = packing.pack(df, group_rows=group_rows).collect()
+        assert key(tuple(r)[:5] for r in got) == key(rows)
+        by = {}
+        for r in got:
+            by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for x in by.values():
+            x.sort()
+            assert [a for a, _ in x] == [0, *np.cumsum([n for _, n in x])[:-1]] and sum(n for _, n in x) <= 4096
+        assert bound <= len(by) <= bound * 1.01 + 1
+
+
 def test_lower_bounds_hold():
+    mixed = np.array([2500] * 600 + [1700] * 600 + list(range(1, 300)))
+    assert packing.lower_bound(mixed, 4096) == 850
     rng = np.random.default_rng(5)
     for _ in range(200):
         x = rng.integers(1, 101, rng.integers(1, 40))
@@ -196,6 +294,45 @@ def test_personal_data(docs, none):
     assert pii.find(none, pii.fit(none)).collect() == []
 
 
+def luhn_card(rng):
+    d = "".join(map(str, rng.integers(0, 10, 15)))
+    return next(d + str(c) for c in range(10) if pii.luhn(d + str(c)))
+
+
+def test_forms_that_the_base_patterns_miss(spark):
+    """Trained on a corpus with base spans only, the trees find other forms, and leave clean numbers alone."""
+    rng = np.random.default_rng(11)
+    prose = lambda: text(int(rng.integers(1 << 30)), 25)
+    email = lambda: f"{rng.choice(WORDS)}.{rng.integers(99)}@mail{rng.integers(9)}.example.{rng.choice(['com', 'org', 'net'])}"
+    ip = lambda: ".".join(map(str, rng.integers(1, 256, 4)))
+    phone = lambda: f"+{rng.integers(1, 99)} ({rng.integers(100, 999)}) {rng.integers(100, 999)}-{rng.integers(1000, 9999)}"
+    key = lambda: "".join(rng.choice(list("0123456789abcdef"), 40))
+    clean = lambda: [f"on {rng.integers(1990, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}", f"{rng.integers(10**15, 10**16)}", f"1, 2, {rng.integers(99)}, 4", f"{rng.integers(2, 90)} @ {rng.integers(2, 9)}.50 each", "v1.2.3.4.5.6"][int(rng.integers(5))]
+    rows = []
+    for i in range(600):
+        x = [email, ip, phone, lambda: luhn_card(rng), lambda: f'token = "{key()}"', clean][i % 6]()
+        rows.append((i, f"{prose()} is {x} {prose()}"))
+    model = pii.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    planted = {
+        "email": lambda: email().replace("@", " (at) ").replace(".", " (dot) "),
+        "ip": lambda: ip().replace(".", "[.]"),
+        "phone": lambda: f"{rng.integers(100, 999)} {rng.integers(100, 999)} {rng.integers(1000, 9999)}",
+        "card": lambda: ".".join(re.findall("....", luhn_card(rng))),
+        "secret": lambda: f"the key is {key()}",
+    }
+    for kind, form in planted.items():
+        caught = 0
+        for _ in range(60):
+            x = f"{prose()} is {form()} {prose()}"
+            assert not pii.base_spans(x)
+            caught += any(k == kind for k, _, _ in pii.added_spans(x, [], model))
+        assert caught >= 54, (kind, caught, x, [(*c, model.probability(np.array([pii.features(x, *c)]))) for c in pii.candidates(x)], model.thresholds)
+    wrong = sum(bool(pii.added_spans(x, pii.base_spans(x), model)) for x in (f"{prose()} is {c}, {prose()}" for c in (clean() for _ in range(200)) if not pii.base_spans(c)))
+    assert wrong <= 6
+    docs = spark.createDataFrame([(1, f"write to ann (at) mail3 (dot) example (dot) com {prose()}"), (1, None), (None, "")], "doc_id long, text string")
+    assert pii.redact(docs, model).where("text LIKE '%<EMAIL>%'").count() == 1 and pii.redact(docs.where("doc_id > 5"), model).count() == 0
+
+
 def test_boosted_trees_learn():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, pii.FEATURES))
@@ -213,10 +350,51 @@ def test_fingerprints(docs, none):
         e = t[: len(t) - half] + after[:half]
         assert got[d].n_chars == len(t) and got[d].edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
         assert got[d].fingerprint == lz.hexed(lz.fingerprints([t])[0]) and got[d].edited_fingerprint == lz.hexed(lz.fingerprints([e])[0])
+    # an own parse, phrase by phrase: the number of phrases, equal texts, and likeness from the hexadecimal fingerprints
+    def phrases(t):
+        words = [w[i : i + lz.UNIT_BYTES] for w in re.findall(rb"[^\x20\x09-\x0D]+", t.translate(LOWER).encode()) for i in range(0, len(w), lz.UNIT_BYTES)]
+        found, now = set(), ()
+        for w in words:
+            now = (*now, w)
+            if now not in found:
+                found.add(now)
+                now = ()
+        return found | ({(*now, None)} if now else set())
+
+    def likeness(a, b):
+        a, b = ({x[i : i + 8] for i in range(0, len(x), 8)} for x in (a, b))
+        union = sorted(a | b)[: lz.SIZE]
+        return len(a & b & set(union)) / len(union) if union else 1.0
+
+    edits = {d: t[: len(t) - len(t) // 2] + (texts[d - 1] if d > 1 else texts[13])[: len(t) // 2] for d, t in texts.items()}
+    for d, t in texts.items():
+        assert len(got[d].fingerprint) // 8 == min(lz.SIZE, len(phrases(t))) and len(got[d].edited_fingerprint) // 8 == min(lz.SIZE, len(phrases(edits[d])))
+        assert got[d].near_edited == pytest.approx(likeness(got[d].fingerprint, got[d].edited_fingerprint)) and got[d].near_next == pytest.approx(likeness(got[d].fingerprint, got[d - 1 if d > 1 else 13].fingerprint))
+        for e, u in texts.items():
+            assert (got[d].fingerprint == got[e].fingerprint) == (phrases(t) == phrases(u))
+            if len(phrases(t) | phrases(u)) <= lz.SIZE and phrases(t) | phrases(u):
+                assert likeness(got[d].fingerprint, got[e].fingerprint) == pytest.approx(len(phrases(t) & phrases(u)) / len(phrases(t) | phrases(u)))
+    assert len({lz.hexed(f) for f in lz.fingerprints(["x", "x x", "x y", "x y x"])}) == 4
     assert got[1].fingerprint == got[2].fingerprint and got[2].near_next == 1.0 and got[4].near_next < 0.5 < got[3].near_next
     assert len(lz.fingerprint_documents(docs).collect()) == len(DOCS) and lz.fingerprint_documents(none).collect() == []
 
 
+def test_next_documents_over_ranges(spark, monkeypatch):
+    """Many ranges, one id and null with a third of the rows each: every document once, the next one as by sorting."""
+    monkeypatch.setattr(lz, "RANGE_BYTES", 3000)
+    rows = [(None if i % 3 == 0 else 50 if i % 3 == 1 else i, text(i, 20)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) AS h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -hashes[r[1]]))
+    want = []
+    for (d, t), (_, u) in zip(order, [*order[1:], order[0]], strict=True):
+        e = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
+        want.append((d, hashlib.sha256(e.encode()).hexdigest()))
+    assert key((r.doc_id, r.edited_sha256) for r in lz.fingerprint_documents(df).collect()) == key(want)
+    sizes = lz.with_next(df).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 8 and max(r["count"] for r in sizes) < 40
+
+
 def test_language_id(spark, none):
     rng = np.random.default_rng(2)
     make = lambda parts: " ".join("".join(rng.choice(parts, 3)) for _ in range(30))
