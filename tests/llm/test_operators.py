@@ -434,6 +434,54 @@ def test_host_text(spark):
     assert host_text.extract(df.where("page_id < 0")).collect() == []
 
 
+def test_tags_are_read_as_browsers_do():
+    page = """<body><p title=it's>hello <a href=/x/y'z>link</a></p><p title="a>b" data-x='c"d'>quoted</p><p = x>sign</p><img src=a.png/><br/>x &amp; y</body>"""
+    assert host_text.blocks(page) == ([("open", "hello link"), ("open", "quoted"), ("open", "sign"), ("open", "x & y")], False)
+    page = "<div class='page-header-wrap'><article><div class='content search-result'>kept</div><ul class='menu-of-the-day'><li>soup</li></ul><div class='share'>gone</div></article></div>"
+    assert [t for w, t in host_text.blocks(page)[0] if w == "article"] == ["kept", "soup"]
+
+
+def expected_text(pages):
+    """Of pages without an article, from whole hosts: words that no repeated run of RUN words covers."""
+    n, found = host_text.RUN, {}
+    split = {i: (host_text.host_of(u), [(w, t.split()) for w, t in host_text.blocks(h or "")[0]]) for i, u, h in pages}
+    html_of = {i: h for i, _, h in pages}
+    for i, (host, blocks) in split.items():
+        stream = [x for _, t in blocks for x in t]
+        covered = set()
+        for p in range(len(stream) - n + 1):
+            run = stream[p : p + n]
+            for j, (other, theirs) in split.items():
+                s = [x for _, t in theirs for x in t]
+                if other == host and html_of[j] != html_of[i] and any(s[q : q + n] == run for q in range(len(s) - n + 1)):
+                    covered.update(range(p, p + n))
+        at, out = 0, []
+        for w, t in blocks:
+            if w == "open":
+                out.append(" ".join(x for k, x in enumerate(t) if at + k not in covered))
+            at += len(t)
+        found[i] = "\n".join(x for x in out if x)
+    return found
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_host_text_of_pages_without_articles(spark, parts):
+    """Against brute force, however rows are dealt: menus of short blocks, repeated rows, copies, unique words beside boilerplate."""
+    rng = np.random.default_rng(4)
+    pages = []
+    for i in range(30):
+        host = f"h{i % 3}"
+        menu = "".join(f"<div>{host} {w}</div>" for w in WORDS[:12])
+        body = "".join(f"<p>{text(int(rng.integers(1 << 30)), int(rng.integers(1, 30)))}</p>" for _ in range(3))
+        mixed = f"<p>{text(int(rng.integers(4)), 12)} unique{i} words</p>"
+        pages.append((i, f"http://{host}/{i}", menu + body + mixed + ("<p>all rights are reserved by the owners of this site</p>" if i % 2 else "")))
+    pages += [(30, "http://h0/copy", pages[0][2]), (31, "http://h9/x", pages[1][2])]
+    df = spark.createDataFrame([*pages, pages[0], pages[5]], "page_id long, url string, html string").repartition(parts)
+    got = host_text.extract(df).collect()
+    assert len(got) == 34 and {r.page_id: r.text for r in got} == expected_text(pages)
+    assert "unique5" in expected_text(pages)[5] and "unique6 words" in expected_text(pages)[6] and "h2 w0" not in expected_text(pages)[5]
+
+
 def test_suffix_groups():
     t = np.array([5, 6, 7, 5, 6, 8, 5, 6, 7], np.uint64)
     order, groups = host_text.suffix_groups(t, 3)
