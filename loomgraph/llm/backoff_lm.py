@@ -2,14 +2,20 @@
 
 Counts of all n-grams of the training texts are smoothed in a hierarchy: a word w after the history h has
     p(w | h) = (c(h w) + M * p(w | shorter h)) / (c(h) + M),
-with p(w) = (c(w) + 1) / (N + V + 1) at the end. So a history that was seen is a state; each n-gram h w that
+with p(w) = (c(w) + 1) / (N + V + 1) at the end. A history of two tokens or more counts only if it was seen
+CUTOFF times; else p(w | h) = p(w | shorter h). So a history that was seen often enough is a state; each n-gram h w that
 was seen is an arc with weight log10 p(w | h); and the failure arc to the shorter history weighs
 log10(M / (c(h) + M)), exactly what is left for words without an arc. A text is scored in one pass from left
 to right: from the current state take the word's arc, or failure arcs until one has it, and carry the state.
 
 The corpus counts come by `counting.totals`: each block of documents learns the totals of the n-grams that it
-holds and builds its part of the automaton, which has every arc that its texts can take. Blocks are bounded,
-so no task, broadcast or driver needs the whole model.
+holds and builds its part of the automaton, which has every state and arc that its texts can take. Blocks are
+bounded, so no task, broadcast or driver needs the whole model. Words and pairs are asked for first; longer n-grams
+then, only those whose history is a state.
+
+Texts are traversed in lanes: each text is cut into lanes of LANE tokens, all lanes of a block take one arc each at
+a time. A lane that begins within a text first reads the tokens before it, ORDER - 1 of them, from the empty state:
+that brings it to the state in which the text's traversal arrives there, since no state is longer.
 
 Null and empty texts have one token, the end. Repeated rows count and are scored each. A table without
 training rows gives N = 0 and V = 0. Empty tables give no rows. Extra columns are not read. Words are 64-bit
@@ -18,24 +24,24 @@ hashes.
 
 from __future__ import annotations
 
-from array import array
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, in_blocks, text_bytes, text_of
+from .common import crc_of_id, in_blocks, release, text_bytes, text_of
 from .counting import BUCKET_HASHES, answers_for, distinct, in_order, totals
 from .textvec import mix, word_hashes
 
-ORDER = 2
+ORDER = 3
+#: Least count of a history of two tokens or more.
+CUTOFF = 2
 #: Pseudo-counts of the shorter history.
 M = 4.0
 #: Text bytes of one block.
-BLOCK_BYTES = 6 << 20
-#: Tokens whose arcs are in memory at once.
-PLACES = 300_000
+BLOCK_BYTES = 3 << 20
+#: Tokens of one lane.
+LANE = 256
 #: Last bit of a hash: 1 for single tokens, 0 for longer n-grams.
 _ONE = np.uint64(1)
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814E)
@@ -88,77 +94,93 @@ class Automaton:
         length 1 on) the weight of the failure arc."""
         self.n_words = int(words.max()) + 1 if len(words) else 1
         self.failure, self.failure_weight = np.zeros(n_states, np.int64), np.zeros(n_states)
-        empty = np.zeros(len(words), np.int64)
-        levels = [empty, *states]
+        levels = [np.zeros(len(words), np.int64), *states]
         keys, targets, values = [], [], []
+        longest = [levels[0]]  # of each place the longest history of up to k tokens that is a state
+        for at in states:
+            longest.append(np.where(at > 0, at, longest[-1]))
         for k, at in enumerate(levels):
             has = np.flatnonzero(arcs[k] & ((at > 0) | (k == 0)))
             key, first = np.unique(at[has] * self.n_words + words[has], return_index=True)
             first = has[first]
             # the history after the word: the longest that the arc's own history leads to
-            behind = levels[min(k + 1, len(levels) - 1)]
-            nxt = np.append(behind[1:], 0)[first]
+            behind = longest[min(k + 1, len(levels) - 1)]
             keys.append(key)
-            targets.append(nxt)
+            targets.append(np.append(behind[1:], 0)[first])
             values.append(weights[k][first])
             if k:
                 mine = np.flatnonzero(at > 0)
                 self.failure[at[mine]] = levels[k - 1][mine]
                 self.failure_weight[at[mine]] = failures[k - 1][mine]
-        self.target = array("q", np.concatenate(targets).astype(np.int64).tobytes())
-        self.weight = array("d", np.concatenate(values).astype(np.float64).tobytes())
-        self.failure = array("q", self.failure.tobytes())
-        self.failure_weight = array("d", self.failure_weight.tobytes())
-        self.arcs = dict(zip(np.concatenate(keys).tolist(), range(len(self.target)), strict=True))
-
-    def score(self, words: list[int], state: int) -> float:
-        """One traversal from left to right, from the given state on."""
-        arcs, n, target, weight = self.arcs.get, self.n_words, self.target, self.weight
-        total = 0.0
-        for w in words:
-            arc = arcs(state * n + w)
-            while arc is None:
-                total += self.failure_weight[state]
-                state = self.failure[state]
-                arc = arcs(state * n + w)
-            total += weight[arc]
-            state = target[arc]
-        return total
-
-
-def traverse(tokens: Tokens, order: int, count_of, n: int, v: int, m: float) -> tuple[np.ndarray, np.ndarray]:
-    """(score of each text, base log10 probability of each token)."""
-    c = count_of(tokens.grams[0])
-    base = np.log10((c + 1) / (n + v + 1))
+        keys = np.concatenate(keys)
+        order = np.argsort(keys, kind="stable")
+        self.arcs, self.target, self.weight = keys[order], np.concatenate(targets)[order], np.concatenate(values)[order]
+
+    def step(self, state: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state, log10 probability) of each lane after its word: failure arcs until a state has the word's arc."""
+        total, state = np.zeros(len(state)), state.copy()
+        arc = np.zeros(len(state), np.int64)
+        left = np.arange(len(state))
+        while len(left):
+            key = state[left] * self.n_words + words[left]
+            at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            hit = self.arcs[at] == key
+            arc[left[hit]] = at[hit]
+            left = left[~hit]
+            total[left] += self.failure_weight[state[left]]
+            state[left] = self.failure[state[left]]
+        return self.target[arc], total + self.weight[arc]
+
+    def score(self, words: np.ndarray, offsets: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
+        """The score of each text, words[offsets[i]:offsets[i + 1]], from state starts[i] on; in lanes."""
+        length = np.diff(offsets)
+        n = -(-length // LANE)
+        text = np.repeat(np.arange(len(length)), n)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        begin = offsets[text] + nth * LANE
+        end = np.minimum(begin + LANE, offsets[text + 1])
+        warm = np.where(nth > 0, order - 1, 0)
+        state = np.where(nth > 0, 0, starts[text])
+        sums = np.zeros(len(text))
+        by = np.argsort(-(end - begin + warm), kind="stable")
+        begin, end, warm, state, text = ((x[by]) for x in (begin - warm, end, warm, state, text))
+        for t in range(int((end - begin).max(initial=0))):
+            active = int(np.searchsorted(-(end - begin), -t, "left"))  # lanes of more than t tokens come first
+            state[:active], p = self.step(state[:active], words[begin[:active] + t])
+            sums[:active] += np.where(t >= warm[:active], p, 0.0)
+        return np.bincount(text, sums, len(length))
+
+
+def traverse(tokens: Tokens, order: int, counts: list[np.ndarray], starts: int, n: int, v: int, m: float) -> tuple[np.ndarray, np.ndarray]:
+    """(score of each text, base log10 probability of each token).
+
+    counts[k]: the training count of the k + 1 tokens up to each place; starts: the number of training texts.
+    """
+    base = np.log10((counts[0] + 1) / (n + v + 1))
     words = pd.factorize(tokens.grams[0])[0].astype(np.int64)
     weights, arcs, failures, states = [base], [np.ones(len(base), bool)], [], []
     probability, n_states = 10.0**base, 1
     for k, h in enumerate(histories(tokens, order)):
-        seen = np.where(h == 0, 0, count_of(h))
-        count = np.where(h == 0, 0, count_of(tokens.grams[k + 1]))
+        seen = np.where(tokens.place == 0, starts if k == 0 else 0, np.append([0], counts[k][:-1]))
         state = np.zeros(len(h), np.int64)
-        known = seen > 0
+        known = seen >= (CUTOFF if k else 1)
         codes, found = pd.factorize(h[known])
         state[known] = codes + n_states
         n_states += len(found)
-        probability = np.where(known, (count + m * probability) / (seen + m), probability)
+        probability = np.where(known, (counts[k + 1] + m * probability) / (seen + m), probability)
         states.append(state)
         weights.append(np.log10(probability))
-        arcs.append(count > 0)
+        arcs.append(counts[k + 1] > 0)
         failures.append(np.log10(m / (seen + m)))
-    scores = np.zeros(len(tokens.offsets) - 1)
-    first = 0
-    while first < len(scores):  # some texts at a time, so that the arcs of few are in memory
-        last = max(first + 1, int(np.searchsorted(tokens.offsets, tokens.offsets[first] + PLACES, "right")) - 1)
-        a, b = int(tokens.offsets[first]), int(tokens.offsets[last])
-        part = [[x[a:b] for x in xs] for xs in (states, weights, arcs, failures)]
-        machine = Automaton(words[a:b], part[0], n_states, *part[1:])
-        listed = words[a:b].tolist()
-        for t in range(first, last):
-            i, j = int(tokens.offsets[t]) - a, int(tokens.offsets[t + 1]) - a
-            scores[t] = machine.score(listed[i:j], int(states[0][a + i]) if states else 0)
-        first = last
-    return scores, base
+    at = tokens.offsets[:-1]
+    machine = Automaton(words, states, n_states, weights, arcs, failures)
+    del weights, arcs, failures, probability
+    return machine.score(words, tokens.offsets, states[0][at] if states else np.zeros(len(at), np.int64), order), base
+
+
+def has_state(tokens: Tokens, counts: list[np.ndarray], k: int) -> np.ndarray:
+    """Whether the k tokens before each place are a state, so that the count of the k + 1 up to it matters; k >= 2."""
+    return (tokens.grams[k] != 0) & (np.append([0], counts[k - 1][:-1]) >= CUTOFF)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -168,50 +190,68 @@ def score(docs: DataFrame, order: int = ORDER, m: float = M, block_bytes: int =
     """docs: doc_id, text, held_out; rows that aren't held out train. One row of SCORES for each."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out")
     blocks = in_blocks(source, block_bytes, "doc_id", "held_out")
-    # about one distinct n-gram of each order for every six bytes
-    buckets = max(1, text_bytes(source) * order // 10 // BUCKET_HASHES)
-
-    def grams(rows: pd.DataFrame) -> tuple[Tokens, list[np.ndarray]]:
-        tokens = Tokens([text_of(z) for z in rows["z"]], order)
-        return tokens, tokens.grams
+    # about one distinct n-gram of each order for every ten bytes
+    buckets = max(1, text_bytes(source) // 10 // BUCKET_HASHES)
+    pairs = min(order, 2)
+
+    def read(rows: pd.DataFrame, upto: int) -> tuple[Tokens, np.ndarray]:
+        """The tokens of a block's texts, and which of them are in training texts."""
+        tokens = Tokens([text_of(z) for z in rows["z"]], upto)
+        return tokens, np.repeat(~rows["held_out"].to_numpy(bool), np.diff(tokens.offsets))
+
+    def counted(tokens: Tokens, got: pd.DataFrame, upto: int) -> tuple[list[np.ndarray], int]:
+        """(counts of the n-grams of up to `upto` tokens, 0 where there is no state before; number of training texts)."""
+        keys = distinct(np.concatenate([*tokens.grams[:pairs], np.full(1, START)]))[0]
+        count = in_order(got[got["number"] == 0], len(keys))
+        counts = [np.where(g == 0, 0, count[np.searchsorted(keys, g)]) for g in tokens.grams[:pairs]]
+        starts = int(count[np.searchsorted(keys, START)])
+        for k in range(2, upto):
+            c, asked = np.zeros(len(counts[0]), np.int64), has_state(tokens, counts, k)
+            grams = tokens.grams[k][asked]
+            keys = distinct(grams)[0]
+            c[asked] = in_order(got[got["number"] == k - 1], len(keys))[np.searchsorted(keys, grams)]
+            counts.append(c)
+        return counts, starts
 
     def ask(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         rows = rows.reset_index(drop=True)
-        tokens, all_ = grams(rows)
-        trains = np.repeat(~rows["held_out"].to_numpy(bool), np.diff(tokens.offsets))
+        tokens, trains = read(rows, pairs)
         starts = np.full(len(rows), START)
-        every = np.concatenate([*all_, starts])
-        counted = np.concatenate([*(g[trains] for g in all_), starts[: int((~rows["held_out"]).sum())]])
-        keys, counts = distinct(every, counted)
+        keys, counts = distinct(np.concatenate([*tokens.grams, starts]), np.concatenate([*(g[trains] for g in tokens.grams), starts[: int((~rows["held_out"].to_numpy(bool)).sum())]]))
         return keys, np.where(keys == 0, 0, counts)
 
-    answers = totals(blocks, ask, buckets, kind=_ONE)
+    answers = totals(blocks, ask, 2 * buckets, kind=_ONE)
     sums = answers.where(F.col("block") < 0).agg(F.sum("kinds"), F.sum("occurrences")).first()
     v, n = int(sums[0] or 0), int(sums[1] or 0)
+    known = answers_for(answers)
+    for k in range(2, order):
 
-    def scored(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.reset_index(drop=True)
-        tokens, all_ = grams(rows)
-        keys = distinct(np.concatenate([*all_, np.full(1, START)]))[0]
-        count = in_order(got, len(keys))
+        def ask_longer(rows: pd.DataFrame, got: pd.DataFrame, k=k) -> tuple[np.ndarray, np.ndarray]:
+            tokens, trains = read(rows, k + 1)
+            asked = has_state(tokens, counted(tokens, got, k)[0], k)
+            return distinct(tokens.grams[k][asked], tokens.grams[k][asked & trains])
 
-        def count_of(hashes: np.ndarray) -> np.ndarray:
-            codes, known = pd.factorize(hashes)
-            return count[np.searchsorted(keys, known)][codes]
+        known = known.unionByName(answers_for(totals(blocks, ask_longer, buckets, known=known), k - 1))
 
-        scores, base = traverse(tokens, order, count_of, n, v, m)
-        known = count_of(all_[0]) > 0
+    def scored(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.reset_index(drop=True)
+        tokens, trains = read(rows, order)
+        counts, starts = counted(tokens, got, order)
+        scores, base = traverse(tokens, order, counts, starts, n, v, m)
         at = tokens.offsets[:-1]
-        return pd.DataFrame(
+        out = pd.DataFrame(
             {
                 "doc_id": rows["doc_id"].astype("Int64"),
                 "held_out": rows["held_out"].astype(bool),
                 "n_tokens": np.diff(tokens.offsets),
-                "n_known": np.add.reduceat(known.astype(np.int64), at),
+                "n_known": np.add.reduceat((counts[0] > 0).astype(np.int64), at),
                 "train_tokens": n,
                 "base_score": np.add.reduceat(base, at),
                 "score": scores,
             }
         )
+        del tokens, trains, counts, base
+        release()
+        return out
 
-    return blocks.groupBy("block").cogroup(answers_for(answers).groupBy("block")).applyInPandas(scored, SCORES)
+    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(scored, SCORES)

@@ -54,23 +54,25 @@ def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]]).astype(np.int64)
 
 
-def totals(blocks: DataFrame, ask: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]], buckets: int, kind: np.uint64 | None = None) -> DataFrame:
+def totals(blocks: DataFrame, ask: Callable[..., tuple[np.ndarray, np.ndarray]], buckets: int, kind: np.uint64 | None = None, known: DataFrame | None = None) -> DataFrame:
     """For each block and bucket the totals of the block's hashes; written to the checkpoint folder.
 
-    blocks: rows with a column `block`; ask(rows of one block) gives its sorted distinct hashes and counts.
-    With kind, `kinds` and `occurrences` of the rows of block -1 have the number and the sum of the totals
-    over 0 of the hashes whose last bit is kind.
+    blocks: rows with a column `block`; ask(rows of one block) gives its sorted distinct hashes and counts. With
+    known (rows with a column `block` too), ask gets the block's rows of it as well. With kind, `kinds` and
+    `occurrences` of the rows of block -1 have the number and the sum of the totals over 0 of the hashes whose
+    last bit is kind.
     """
 
-    def asked(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = ask(rows)
-        at = cuts(keys, buckets)
+    def asked(rows: pd.DataFrame, *more: pd.DataFrame) -> pd.DataFrame:
         made = []
-        for b in range(buckets):
-            k = keys[at[b] : at[b + 1]]
-            if len(k):
-                made.append((b, int(rows["block"].iloc[0]), len(k), packed(np.diff(k, prepend=np.uint64(0))), packed(counts[at[b] : at[b + 1]].astype(np.uint32))))
-        del keys, counts
+        if len(rows):
+            keys, counts = ask(rows, *more)
+            at = cuts(keys, buckets)
+            for b in range(buckets):
+                k = keys[at[b] : at[b + 1]]
+                if len(k):
+                    made.append((b, int(rows["block"].iloc[0]), len(k), packed(np.diff(k, prepend=np.uint64(0))), packed(counts[at[b] : at[b + 1]].astype(np.uint32))))
+            del keys, counts
         release()
         return pd.DataFrame(made, columns=["bucket", "block", "n", "keys", "counts"])
 
@@ -98,7 +100,8 @@ def totals(blocks: DataFrame, ask: Callable[[pd.DataFrame], tuple[np.ndarray, np
         release()
         return pd.DataFrame(made, columns=["block", "bucket", "totals", "kinds", "occurrences"])
 
-    rows = blocks.groupBy("block").applyInPandas(asked, ASKED)
+    grouped = blocks.groupBy("block")
+    rows = grouped.applyInPandas(lambda rows: asked(rows), ASKED) if known is None else grouped.cogroup(known.groupBy("block")).applyInPandas(lambda rows, got: asked(rows, got), ASKED)
     return cut(rows.groupBy("bucket").applyInPandas(added, ANSWERS))
 
 
@@ -111,5 +114,6 @@ def in_order(answers: pd.DataFrame, n: int) -> np.ndarray:
     return found
 
 
-def answers_for(totals_: DataFrame) -> DataFrame:
-    return totals_.where(F.col("block") >= 0).select("block", "bucket", "totals")
+def answers_for(totals_: DataFrame, number: int = 0) -> DataFrame:
+    """The answers to the blocks; number tells the rounds of asking apart."""
+    return totals_.where(F.col("block") >= 0).select("block", "bucket", "totals", F.lit(number).alias("number"))

@@ -100,24 +100,40 @@ def test_rows_of_one_id_are_told_apart(spark):
     assert key(clean) == key([x for x in rows if x[1] not in (BASE, EDITED)])
 
 
-def test_backoff_lm(docs, none):
-    toks = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + ["</s>"] for _, t in DOCS]
-    out = [zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2 for d, _ in DOCS]
-    uni, bi = Counter(), Counter()
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_backoff_lm(spark, docs, none, monkeypatch, order):
+    """Against the formula, with lanes of a few tokens, in one block and in several."""
+    monkeypatch.setattr(backoff_lm, "LANE", 7)
+    rows = [(d, t) for d, t in DOCS] + [(100 + i, " ".join(np.random.default_rng(i).choice(WORDS[:6], 40))) for i in range(20)]
+    toks = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + ["</s>"] for _, t in rows]
+    out = [zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2 for d, _ in rows]
+    count = Counter()
     for t, held in zip(toks, out, strict=True):
         if not held:
-            uni.update(t)
-            bi.update(zip(["<s>", *t], t))
-    n, v, hist = sum(uni.values()), len(uni), Counter(uni)
-    hist["<s>"] = out.count(False)
+            padded = ["<s>", *t]
+            count[("<s>",)] += 1
+            for k in range(1, order + 1):
+                count.update(tuple(padded[i - k + 1 : i + 1]) for i in range(1, len(padded)) if i - k + 1 >= 0)
+    n = sum(c for g, c in count.items() if len(g) == 1 and g != ("<s>",))
+    v = sum(1 for g in count if len(g) == 1 and g != ("<s>",))
+
+    def p(w, h):
+        if not h:
+            return (count[(w,)] + 1) / (n + v + 1)
+        c = count[tuple(h)]
+        return (count[(*h, w)] + backoff_lm.M * p(w, h[1:])) / (c + backoff_lm.M) if c >= min(2, len(h)) else p(w, h[1:])
+
     want = []
-    for (d, _), t, held in zip(DOCS, toks, out, strict=True):
-        base = [math.log10((uni[w] + 1) / (n + v + 1)) for w in t]
-        full = [math.log10((bi[p, w] + backoff_lm.M * 10**b) / (hist[p] + backoff_lm.M)) if hist[p] else b for p, w, b in zip(["<s>", *t], t, base)]
-        want.append((d, held, len(t), sum(uni[w] > 0 for w in t), n, round(sum(base), 6), round(sum(full), 6)))
-    got = backoff_lm.score(docs.withColumn("held_out", backoff_lm.held_out())).collect()
-    assert key([(*r[:5], round(r[5], 6), round(r[6], 6)) for r in got]) == key(want)
-    assert backoff_lm.score(none.withColumn("held_out", backoff_lm.held_out())).collect() == []
+    for (d, _), t, held in zip(rows, toks, out, strict=True):
+        padded = ["<s>", *t]
+        base = [math.log10(p(w, ())) for w in t]
+        full = [math.log10(p(padded[i], padded[max(0, i - order + 1) : i])) for i in range(1, len(padded))]
+        want.append((d, held, len(t), sum(count[(w,)] > 0 for w in t), n, round(sum(base), 6), round(sum(full), 6)))
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(rows[len(DOCS) :], "doc_id long, text string")).withColumn("held_out", backoff_lm.held_out()).withColumn("block", F.lit(1))
+    for size in (backoff_lm.BLOCK_BYTES, 4000):
+        got = backoff_lm.score(df, order, block_bytes=size).collect()
+        assert key([(*r[:5], round(r[5], 6), round(r[6], 6)) for r in got]) == key(want)
+    assert backoff_lm.score(none.withColumn("held_out", backoff_lm.held_out()), order).collect() == []
 
 
 def thue_morse(n):
