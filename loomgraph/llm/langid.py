@@ -105,15 +105,30 @@ def train_ftrl(model: Model, rows: list[tuple[int, np.ndarray, np.ndarray]], epo
     model.weights, model.bias = every[:-1], every[-1]
 
 
+def temperature(x: np.ndarray, y: np.ndarray) -> float:
+    """The temperature with the least log loss of logits x and classes y, by Newton steps for its reciprocal.
+
+    Classes are smoothed by one row in all, so that logits without an error have a finite optimum too.
+    """
+    n, k = x.shape
+    q = np.full((n, k), 1 / (k * (n + 1)))
+    q[np.arange(n), y] += n / (n + 1)
+    beta = 1.0
+    for _ in range(100):
+        p = softmax(beta * x)
+        mean = (p * x).sum(axis=1)
+        slope, bend = (mean - (q * x).sum(axis=1)).mean(), ((p * x * x).sum(axis=1) - mean**2).mean()
+        step = float(np.clip(beta - slope / max(bend, 1e-12), beta / 2, beta * 2)) - beta
+        beta += step
+        if abs(step) < 1e-9 * beta:
+            break
+    return 1 / beta
+
+
 def calibrate(model: Model, rows: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
-    """The temperature with the least log loss on rows that weren't trained on."""
-    if not rows:
-        return
-    x = np.array([model.logits(at, v) for _, at, v in rows])
-    y = np.array([r[0] for r in rows])
-    tries = np.geomspace(0.05, 5, 60)
-    loss = [-np.log(np.maximum(softmax(x / t)[np.arange(len(y)), y], 1e-12)).mean() for t in tries]
-    model.temperature = float(tries[int(np.argmin(loss))])
+    """Sets the temperature, from rows that weren't trained on."""
+    if rows:
+        model.temperature = temperature(np.array([model.logits(at, v) for _, at, v in rows]), np.array([r[0] for r in rows]))
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:

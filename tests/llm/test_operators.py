@@ -424,6 +424,30 @@ def test_language_id(spark, none):
     assert langid.identify(none, langid.fit(none), "doc_id").collect() == []
 
 
+def test_temperature():
+    """Logits that are k times too large get k back; logits without an error have a finite temperature."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 4)) * 2
+    y = (x + rng.gumbel(size=x.shape)).argmax(axis=1)
+    for k in (0.2, 1, 30):
+        assert langid.temperature(k * x, y) == pytest.approx(k, rel=0.15)
+        p = langid.softmax(k * x / langid.temperature(k * x, y)).max(axis=1)
+        assert abs(p.mean() - (x.argmax(axis=1) == y).mean()) < 0.02
+    assert 0 < langid.temperature(np.eye(3)[[0, 1, 2, 0]], np.array([0, 1, 2, 0])) < 1
+
+
+def test_ftrl_is_sparse_and_tfidf_counts(spark):
+    """Frequencies over all rows, weights that l1 sets to nothing, clashing and repeated columns."""
+    rows = [(i, "the other thing" if i % 2 else "os outros dados", "en" if i % 2 else "pt", 0.5) for i in range(60)]
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, lang string, score double")
+    model = langid.fit(df)
+    at, counts = langid.places("the other thing")
+    assert set(model.idf[at].round(6)) == {round(math.log(62 / 31) + 1, 6), 1.0} and np.isclose(np.linalg.norm(model.vector(at, counts)), 1)
+    assert 0 < (model.weights != 0).any(axis=1).sum() <= len(set(at) | set(langid.places("os outros dados")[0]))
+    got = langid.identify(df.drop("score"), model, "doc_id").collect()
+    assert len(got) == 61 and all(r.lang_pred == ("en" if r.doc_id % 2 else "pt") for r in got)
+
+
 def test_warc_round_trip(spark):
     big, other = "x" * 150, "é" * 80
     pages = [(3, "http://a/x y", big), (1, "http://a/2", big), (2, None, "small"), (4, "http://b/", "small"), (5, "http://c", None), (6, "http://d", other + "\r\n\r\nWARC/1.0\r\n"), (None, "http://e", big), (1, "http://a/2", big)]
