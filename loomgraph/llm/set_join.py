@@ -7,12 +7,13 @@
 3. The index lists (shingle, size band) hold sets whose sizes allow a link; the places of the shingle in two
    sets bound their overlap. Each list is compared with a few pivots at first, so a family of near copies of any
    size takes some rows for each member, not one for each two; members of one component need no more.
-4. The lists that still span components are cut into blocks of one place and at most about LIST_BLOCK sets. Two
-   blocks are skipped whole if their place and sizes leave no room for a link, or if one component has both. What
-   is left is dealt by pairs of blocks, so no list has to meet in one task.
-5. Within two blocks answers are derived from those computed before: two sets differ by at least the difference
-   of what each differs by from the same pivot, and by at least what their parity bitmaps differ by. Only pairs
-   that neither rules out are compared shingle by shingle. So no link between components is lost.
+4. The lists that still span components are sorted by place and cut into blocks of about LIST_BLOCK sets. Two blocks
+   are skipped whole if their places and sizes leave no room for a link, or if one component has both. What
+   is left is dealt by pairs of blocks, so no list has to meet in one task. Parity bitmaps, which bound from below
+   what two sets differ by, rule most pairs out there.
+5. Answers are derived from those computed before: two sets differ by at least the difference of what each differs
+   by from a third. Only pairs that no such answer rules out are compared shingle by shingle. So no link between
+   components is lost.
 
 Null, empty and white-space texts have an empty set, linked with nothing. Equal ids are kept as rows of their
 own. A null id is never a component's smallest; a component of null ids only has a null one. Empty tables
@@ -29,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, in_blocks, release, text_bytes, text_of
@@ -43,7 +44,7 @@ BLOCK_BYTES = 3 << 20
 #: Pivots of each list in a round, and rounds; later rounds only see lists that still span components.
 PIVOTS, ROUNDS = 6, 2
 #: Sets of one block of a list, about.
-LIST_BLOCK = 128
+LIST_BLOCK = 1000
 #: Packed bytes of texts whose sets are in memory at once when pairs are compared.
 PAIR_BYTES = 512 << 10
 #: Longs of a set's parity bitmap.
@@ -207,7 +208,7 @@ def links(prepared: DataFrame, words: int = WORDS, percent: int = PERCENT, pivot
     lists = _lists(sets, percent)
     crowded = lists.groupBy("token", "band").agg(F.count("*").alias("c")).where("c > 1").select("token", "band")
     lists = cut(lists.join(crowded, ["token", "band"], "left_semi"))
-    done = labels = chosen = None
+    done = labels = None
     for r in range(rounds):
         chosen = _pivots(lists, range(r * pivots, (r + 1) * pivots))
         able = F.filter(F.array_distinct("ps"), lambda p: (p["node"] != F.col("node")) & _can_link(F.col("n"), p["n"], F.col("place"), p["place"], percent))
@@ -220,49 +221,54 @@ def links(prepared: DataFrame, words: int = WORDS, percent: int = PERCENT, pivot
         labelled = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = labelled.groupBy("token", "band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token", "band")
         lists = cut(lists.join(mixed, ["token", "band"], "left_semi"))
-    last = _compare(_undecided(lists, sets, labels, chosen, done, percent, pivots), sets, words, percent)
+    last = _compare(_undecided(lists, sets, labels, done, percent), sets, words, percent)
     done = done.unionByName(last)
     if last.where("linked").limit(1).count():
         labels = connected(done.where("linked"))
     return done, labels
 
 
-def _derived(lists: DataFrame, chosen: DataFrame, done: DataFrame, pivots: int) -> DataFrame:
-    """(token, band, node, far): what each set of a list is known to differ by from the list's pivots; 0 from itself, null if never compared."""
-    each = lists.select("token", "band", "node").join(chosen.select("token", "band", F.posexplode("ps").alias("i", "p")), ["token", "band"]).select("token", "band", "node", "i", F.col("p.node").alias("pivot"))
-    asked = each.select("*", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-    known = asked.join(done.select("a", "b", "differ"), ["a", "b"], "left").withColumn("differ", F.when(F.col("node") == F.col("pivot"), 0).otherwise(F.col("differ")))
-    far = [F.max(F.when(F.col("i") == i, F.col("differ"))).alias(f"far{i}") for i in range(pivots)]
-    return known.groupBy("token", "band", "node").agg(*far)
-
-
-def _undecided(lists: DataFrame, sets: DataFrame, labels: DataFrame, chosen: DataFrame, done: DataFrame, percent: int, pivots: int) -> DataFrame:
+def _undecided(lists: DataFrame, sets: DataFrame, labels: DataFrame, done: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one list and different components that no bound rules out and that weren't compared."""
     lists = cut(lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    crowd = lists.groupBy("token", "band", "place").agg(F.ceil(F.count("*") / LIST_BLOCK).alias("parts"))
-    held = lists.join(crowd, ["token", "band", "place"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts")
-    bits = sets.select("node", "tokens", *(F.element_at("parity", i + 1).alias(f"w{i}") for i in range(LONGS)))
-    held = cut(held.join(_derived(lists, chosen, done, pivots), ["token", "band", "node"]).join(bits, "node"))
-    blocks = cut(held.groupBy("token", "band", "place", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("low"), F.max("label").alias("high")))
+    # blocks of neighbouring places; a list has no more rows here than places, and a crowded place has several parts
+    crowd = lists.groupBy("token", "band", "place").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("token", "band").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    crowd = crowd.select("token", "band", "place", F.floor(before / LIST_BLOCK).cast("int").alias("block"), F.ceil(F.col("c") / LIST_BLOCK).alias("parts"))
+    held = cut(lists.join(crowd, ["token", "band", "place"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts"))
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("n", "place", "label") for f in (F.min, F.max)]
+    blocks = cut(held.groupBy("token", "band", "block", "part").agg(*ends))
     p, q = blocks.alias("p"), blocks.alias("q")
-    room = F.least("p.place", "q.place") + 1 + F.least(F.col("p.most") - 1 - F.col("p.place"), F.col("q.most") - 1 - F.col("q.place"))
-    able = (100 * F.least("p.most", "q.most") >= percent * F.greatest("p.least", "q.least")) & ((100 + percent) * room >= percent * (F.col("p.least") + F.col("q.least")))
-    several = ~((F.col("p.low") == F.col("p.high")) & (F.col("q.low") == F.col("q.high")) & (F.col("p.low") == F.col("q.low")))
-    order = (F.col("p.place") < F.col("q.place")) | ((F.col("p.place") == F.col("q.place")) & (F.col("p.part") <= F.col("q.part")))
+    room = F.least("p.max_place", "q.max_place") + 1 + F.least(F.col("p.max_n") - 1 - F.col("p.min_place"), F.col("q.max_n") - 1 - F.col("q.min_place"))
+    able = (100 * F.least("p.max_n", "q.max_n") >= percent * F.greatest("p.min_n", "q.min_n")) & ((100 + percent) * room >= percent * (F.col("p.min_n") + F.col("q.min_n")))
+    several = F.least("p.min_label", "q.min_label") < F.greatest("p.max_label", "q.max_label")
+    order = F.struct("p.block", "p.part") <= F.struct("q.block", "q.part")
     meet = p.join(q, [F.col("p.token") == F.col("q.token"), F.col("p.band") == F.col("q.band"), order, able, several])
-    meet = meet.select(F.col("p.token").alias("token"), F.col("p.band").alias("band"), F.col("p.place").alias("place"), F.col("p.part").alias("part"), F.col("q.place").alias("q_place"), F.col("q.part").alias("q_part"))
-    x, y = held.join(meet, ["token", "band", "place", "part"]).alias("x"), held.alias("y")
+    meet = cut(meet.select("p.token", "p.band", "p.block", "p.part", F.col("q.block").alias("q_block"), F.col("q.part").alias("q_part")))
+    met = meet.select("token", "band", F.col("q_block").alias("block"), F.col("q_part").alias("part")).distinct()
+    bits = sets.select("node", "tokens", *(F.element_at("parity", i + 1).alias(f"w{i}") for i in range(LONGS)))
+    x = held.join(meet, ["token", "band", "block", "part"]).join(bits, "node").alias("x")
+    y = held.join(met, ["token", "band", "block", "part"], "left_semi").join(bits, "node").alias("y")
     apart = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(LONGS)), F.lit(0))
-    most = (100 - percent) * (F.col("x.n") + F.col("y.n"))
-    near = (100 + percent) * apart <= most
-    for i in range(pivots):
-        near &= F.coalesce((100 + percent) * F.abs(F.col(f"x.far{i}") - F.col(f"y.far{i}")) <= most, F.lit(True))
+    near = (100 + percent) * apart <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
     # a pair is met in the list of its first common shingle and larger band only; both orders of tokens are the same
     first = (F.element_at(F.array_intersect("x.tokens", "y.tokens"), 1) == F.col("x.token")) & (F.col("x.band") == F.greatest(_band(F.col("x.n"), percent), _band(F.col("y.n"), percent)))
-    once = (F.col("x.place") != F.col("y.place")) | (F.col("x.part") != F.col("y.part")) | (F.col("x.node") < F.col("y.node"))
-    on = [F.col("x.token") == F.col("y.token"), F.col("x.band") == F.col("y.band"), F.col("x.q_place") == F.col("y.place"), F.col("x.q_part") == F.col("y.part")]
-    met = x.join(y, [*on, once, F.col("x.label") != F.col("y.label"), _can_link(F.col("x.n"), F.col("y.n"), F.col("x.place"), F.col("y.place"), percent), near, first])
-    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+    once = (F.col("x.block") != F.col("y.block")) | (F.col("x.part") != F.col("y.part")) | (F.col("x.node") < F.col("y.node"))
+    on = [F.col("x.token") == F.col("y.token"), F.col("x.band") == F.col("y.band"), F.col("x.q_block") == F.col("y.block"), F.col("x.q_part") == F.col("y.part")]
+    pairs = x.join(y, [*on, once, F.col("x.label") != F.col("y.label"), _can_link(F.col("x.n"), F.col("y.n"), F.col("x.place"), F.col("y.place"), percent), near, first])
+    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), (F.col("x.n") + F.col("y.n")).alias("size")).distinct()
+    return _not_derived(cut(pairs.join(done, ["a", "b"], "left_anti")), done, percent)
+
+
+def _not_derived(pairs: DataFrame, done: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose answer doesn't follow from answers to one of both: what a and b differ by is at least the
+    difference of what each differs by from a third set."""
+    known = done.select("a", "b", "differ")
+    known = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "differ"))
+    of_a = known.select("a", F.col("b").alias("third"), F.col("differ").alias("from_a"))
+    of_b = known.select(F.col("a").alias("b"), F.col("b").alias("third"), F.col("differ").alias("from_b"))
+    far = pairs.join(of_a, "a").join(of_b, ["b", "third"]).where((100 + percent) * F.abs(F.col("from_a") - F.col("from_b")) > (100 - percent) * F.col("size"))
+    return pairs.join(far.select("a", "b").distinct(), ["a", "b"], "left_anti").select("a", "b")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
