@@ -43,6 +43,8 @@ PERCENT = 90
 BLOCK_BYTES = 3 << 20
 #: Pivots of each list in a round, and rounds; later rounds only see lists that still span components.
 PIVOTS, ROUNDS = 6, 2
+#: Answers of each set that others' answers are derived from.
+THIRDS = 8
 #: Sets of one block of a list, about.
 LIST_BLOCK = 1000
 #: Packed bytes of texts whose sets are in memory at once when pairs are compared.
@@ -263,12 +265,15 @@ def _undecided(lists: DataFrame, sets: DataFrame, labels: DataFrame, done: DataF
 def _not_derived(pairs: DataFrame, done: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose answer doesn't follow from answers to one of both: what a and b differ by is at least the
     difference of what each differs by from a third set."""
-    known = done.select("a", "b", "differ")
-    known = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "differ"))
-    of_a = known.select("a", F.col("b").alias("third"), F.col("differ").alias("from_a"))
-    of_b = known.select(F.col("a").alias("b"), F.col("b").alias("third"), F.col("differ").alias("from_b"))
-    far = pairs.join(of_a, "a").join(of_b, ["b", "third"]).where((100 + percent) * F.abs(F.col("from_a") - F.col("from_b")) > (100 - percent) * F.col("size"))
-    return pairs.join(far.select("a", "b").distinct(), ["a", "b"], "left_anti").select("a", "b")
+    known = done.select(F.col("a").alias("node"), F.col("b").alias("third"), "differ").unionByName(done.select(F.col("b").alias("node"), F.col("a").alias("third"), "differ"))
+    # of each node one answer for each seed, whatever their number: sets that share partners mostly keep the same ones
+    kept = known.groupBy("node").agg(*(F.min(F.struct(F.xxhash64(F.lit(i), "third").alias("h"), "third", "differ")).alias(f"t{i}") for i in range(THIRDS)))
+    of_a, of_b = (kept.select(F.col("node").alias(c), *(F.col(f"t{i}").alias(f"{c}{i}") for i in range(THIRDS))) for c in ("a", "b"))
+    far = F.lit(False)
+    for i in range(THIRDS):
+        apart = F.abs(F.col(f"a{i}.differ") - F.col(f"b{i}.differ"))
+        far |= F.coalesce((F.col(f"a{i}.third") == F.col(f"b{i}.third")) & ((100 + percent) * apart > (100 - percent) * F.col("size")), F.lit(False))
+    return pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(~far).select("a", "b")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
