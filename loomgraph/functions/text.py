@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..vocab import INTENTS, METADATA_WORDS, ONTOLOGY, RELATIONSHIP_REMAP, RELATIONSHIPS, RISK_SIGNALS, STOP_WORDS, TAG_WORDS
+from .ordering import numbered
 
 TAG = r"\b([A-Z]{1,3}-\d{2,4}[A-Z]?)\b"
 
@@ -68,19 +69,48 @@ def keywords(query: Column) -> Column:
 
 
 def clauses(text: Column) -> Column:
-    """Parts before section numbers or the word Section, of more than 20 characters."""
-    return F.filter(F.transform(F.split(text, r"(?=\d+\.\d+)|(?=Section)"), lambda c: F.trim(c)), lambda c: F.length(c) > 20)
+    """Parts of more than 20 characters; a new one begins on a line that starts with a section number or the word Section."""
+    return F.filter(F.transform(F.split(text, r"\n(?=\d+\.\d+|\bSection\b)"), lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")), lambda c: F.length(c) > 20)
 
 
-def classify(name: Column) -> Column:
-    """subclass of the ontology: the first keyword, in order, that the upper-cased name holds; else null."""
+def classify(kind: Column, name: Column) -> Column:
+    """subclass of the ontology: of an entity's own type, the first keyword, in order, that the upper-cased name holds; else null."""
     up = F.upper(name)
-    ladder = F.when(contains_any(up, ONTOLOGY[0][3]), ONTOLOGY[0][2])
-    for _, _, sub, keys in ONTOLOGY[1:]:
-        ladder = ladder.when(contains_any(up, keys), sub)
+    ladder = F.when((kind == ONTOLOGY[0][0]) & contains_any(up, ONTOLOGY[0][3]), ONTOLOGY[0][2])
+    for top, _, sub, keys in ONTOLOGY[1:]:
+        ladder = ladder.when((kind == top) & contains_any(up, keys), sub)
     return ladder
 
 
+#: Types whose relationships a model's word alone makes more certain.
+STRONG = ["CAUSED_BY", "PERFORMED_ON", "PREVENTS", "COMPLIES_WITH"]
+
+
+def relationship_confidence(method: Column, kind: Column) -> Column:
+    """0.5 and what the way of extraction adds: found by both, by a rule, or by a model with a strong type."""
+    return F.lit(0.5) + F.when(method == "rule+llm", 0.3).when(method == "rule", 0.2).when((method == "llm") & kind.isin(STRONG), 0.1).otherwise(0.0)
+
+
+def valid_relationships(rels: DataFrame, entities: DataFrame) -> DataFrame:
+    """Relationships (id, source, target, ...) both of whose ends are entities (id, name) of the same text."""
+    ends = entities.select("id", "name").distinct()
+    out = rels.join(ends.withColumnRenamed("name", "source"), ["id", "source"], "left_semi")
+    return out.join(ends.withColumnRenamed("name", "target"), ["id", "target"], "left_semi").select(*rels.columns)
+
+
+def extract(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities, relationships) of texts (id, text) in one call, both with canonical names and scored.
+
+    Entities: id, name, type, confidence of 0.35 and more. Relationships: id, source, target, type, confidence, both
+    ends among the text's entities. All come from rules here; a model's findings can be united before scoring.
+    """
+    entities = regex_entities(docs).select("id", canonicalize(F.col("name")).alias("name"), "type").distinct()
+    entities = entities.withColumn("confidence", entity_confidence(F.lit("regex"), F.lit(1), F.col("name"), F.lit(0.85))).where("confidence >= 0.35")
+    rels = rule_relationships(docs).select("id", canonicalize(F.col("source")).alias("source"), canonicalize(F.col("target")).alias("target"), remap_relationship(F.col("type")).alias("type")).distinct()
+    rels = valid_relationships(rels, entities)
+    return entities, rels.withColumn("confidence", F.round(relationship_confidence(F.lit("rule"), F.col("type")), 6))
+
+
 def entity_confidence(method: Column, n_aliases: Column, name: Column, prior: Column) -> Column:
     x = F.lit(0.5) + F.when(method == "regex+llm", 0.20).when(method == "regex", 0.15).otherwise(0.0) + F.when(n_aliases > 1, 0.10).otherwise(0.0) - F.when(F.length(name) < 3, 0.15).otherwise(0.0) - F.when(prior < 0.4, 0.10).otherwise(0.0)
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), 6)
@@ -199,26 +229,30 @@ def packed_sentences(text: str, heading: str | None, most: int, overlap: int) ->
 
 
 def chunk(sections_: DataFrame, most: int = 512, overlap: int = 64) -> DataFrame:
-    """id, section, chunk_index, text, section_type, has_risk_signal; numbered anew within each section."""
+    """id, section, chunk_index, text, section_type, has_risk_signal; chunk_index runs on through a document's sections."""
 
     @F.pandas_udf("array<string>")
     def pack(text: pd.Series, heading: pd.Series) -> pd.Series:
         return pd.Series([packed_sentences(t, h, most, overlap) for t, h in zip(text, heading, strict=True)], dtype=object)
 
-    return sections_.select("id", "section", "section_type", "has_risk_signal", F.posexplode(pack("text", "heading")).alias("chunk_index", "text"))
+    earlier = Window.partitionBy("id").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
+    packed = sections_.select("id", "section", "section_type", "has_risk_signal", pack("text", "heading").alias("chunks"))
+    packed = packed.withColumn("before", F.coalesce(F.sum(F.size("chunks")).over(earlier), F.lit(0)))
+    rows = packed.select("id", "section", "section_type", "has_risk_signal", "before", F.posexplode("chunks").alias("i", "text"))
+    return rows.select("id", "section", "section_type", "has_risk_signal", (F.col("before") + F.col("i")).cast("int").alias("chunk_index"), "text")
 
 
 def row_sentences(df: DataFrame, order: list[str], per_page: int = 100) -> DataFrame:
     """page, row, sentence: each row as `Row n: k=v, k=v.`; rows without a value are skipped but counted.
 
-    Row numbers need the file's order: order names the columns that give it. Files are numbered one by one,
-    so a window by file (column `file`, or all rows as one file) is never larger than a file.
+    Row numbers need the file's order: order names the columns that give it within column `file` (or all rows as one
+    file); rows that are equal there are told apart by a hash of all columns.
     """
     cols = [c for c in df.columns if c != "file"]
     filled = F.array_compact(F.array(*(F.when(F.trim(F.col(c).cast("string")) != "", F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in cols)))
-    w = Window.partitionBy("file" if "file" in df.columns else F.lit(0)).orderBy(*order)
-    rows = df.select(F.row_number().over(w).alias("row"), filled.alias("f")).where(F.size("f") > 0)
-    return rows.select((F.floor((F.col("row") - 1) / per_page) + 1).cast("long").alias("page"), F.col("row").cast("long").alias("row"), F.concat(F.lit("Row "), F.col("row").cast("string"), F.lit(": "), F.array_join("f", ", "), F.lit(".")).alias("sentence"))
+    rows = df.select((F.col("file") if "file" in df.columns else F.lit("")).alias("_file"), *order, F.xxhash64(*df.columns).alias("_h"), filled.alias("_f"))
+    rows = numbered(rows, ["_file"], [*order, "_h"], "row").where(F.size("_f") > 0)
+    return rows.select((F.floor((F.col("row") - 1) / per_page) + 1).cast("long").alias("page"), F.col("row").cast("long").alias("row"), F.concat(F.lit("Row "), F.col("row").cast("string"), F.lit(": "), F.array_join("_f", ", "), F.lit(".")).alias("sentence"))
 
 
 def near_names(names: DataFrame) -> DataFrame:

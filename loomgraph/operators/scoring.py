@@ -99,7 +99,7 @@ def engineers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def engineer_summary(roster: DataFrame) -> DataFrame:
-    return roster.agg(F.count("*").alias("total"), F.count_if(F.col("level").isin("High", "Critical")).alias("high_risk"), F.round(F.sum("score") / F.greatest(F.count("*"), F.lit(1)), 1).alias("mean_score"))
+    return roster.agg(F.count("*").alias("total"), F.count_if(F.col("level").isin("High", "Critical")).alias("high_risk"), F.bround(F.sum("score") / F.greatest(F.count("*"), F.lit(1)), 1).alias("mean_score"))
 
 
 def unprotected(nodes: DataFrame, edges: DataFrame) -> DataFrame:

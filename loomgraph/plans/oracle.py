@@ -22,7 +22,7 @@ e0 AS (
   SELECT DISTINCT 'P:' || l_suppkey AS src, 'E:' || l_partkey AS dst, 'MAINTAINED_BY' AS rel_type, CAST(NULL AS VARCHAR) AS event_time FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'R' AND l_quantity >= 45
   UNION ALL SELECT DISTINCT 'I:' || o_orderkey, 'E:' || l_partkey, 'OCCURRED_ON', {_ISO} FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 2 AND o_orderpriority = '1-URGENT'
   UNION ALL SELECT DISTINCT 'W:' || o_orderkey, 'E:' || l_partkey, 'PERFORMED_ON', {_ISO} FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 3 AND o_orderpriority = '5-LOW'
-  UNION ALL SELECT DISTINCT 'E:' || a.l_partkey, 'E:' || b.l_partkey, 'FEEDS', NULL FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <= 200 AND b.l_partkey <= 200 AND a.l_partkey <> b.l_partkey
+  UNION ALL SELECT DISTINCT 'E:' || a.l_partkey, 'E:' || b.l_partkey, 'FEEDS', NULL FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey
   UNION ALL SELECT DISTINCT 'E:' || p_partkey, 'B:' || p_brand, 'COMPLIES_WITH', NULL FROM part WHERE p_size <= 25
   UNION ALL SELECT DISTINCT 'E:' || l_partkey, 'N:' || s_nationkey, 'COMPLIES_WITH', NULL FROM (SELECT l_partkey, min(l_suppkey) AS k FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY 1) JOIN supplier ON s_suppkey = k),
 edges AS (SELECT *, src || '>' || rel_type || '>' || dst AS edge_id, CAST(0.4 AS DOUBLE) + CAST(0.1 AS DOUBLE) * (length(src || '>' || rel_type || '>' || dst) % 6) AS confidence, CAST(length(src || '>' || rel_type || '>' || dst) % 7 AS BIGINT) AS source_doc_id FROM e0),
@@ -130,8 +130,9 @@ idf AS (SELECT t, CASE WHEN raw < 0 THEN (SELECT 0.25::DOUBLE * avg(raw) FROM ra
 tf AS (SELECT id, l, t, count(*) AS tf FROM (SELECT id, len(w) AS l, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
 sc AS (SELECT query_id, id, sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / al))) AS score FROM tf JOIN idf USING (t) JOIN asked USING (t), st GROUP BY ALL HAVING score > 0),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc)"""
-_DENSE = "dn AS (SELECT vec_id AS id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS score FROM embeddings)"
-_ITEMS5 = "qs AS (SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id < 5)"
+_DENSE = "dn AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)"
+_ITEMS = "qs AS (SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id % 100 = 0)"
+_RUNS = "(SELECT {0} AS id, w, unnest(range(1, CAST(len(w) - 8 AS BIGINT))) AS i FROM (SELECT {0}, list_filter(string_split_regex(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM {1}))"
 _WINDOW = "strftime({0}, '%Y-%m-%dT%H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total"
 _DELETE = GRAPH + ", le AS (SELECT * FROM edges WHERE source_doc_id IS DISTINCT FROM 3), ln AS (SELECT * FROM nodes WHERE NOT (source_doc_id = 3 AND node_id NOT IN (SELECT src FROM le UNION SELECT dst FROM le)))"
 
@@ -154,14 +155,13 @@ SQL: dict[str, str] = {
     "pagerank_20": GRAPH + _pagerank() + "SELECT node_id, round(rank, 9) AS rank FROM pr",
     "node_similarity": GRAPH + ", sz AS (SELECT src, count(*) AS n FROM feeds GROUP BY 1) SELECT x.src AS a, y.src AS b, round(count(*) / CAST(any_value(sx.n) + any_value(sy.n) - count(*) AS DOUBLE), 6) AS jaccard FROM feeds x JOIN feeds y ON x.dst = y.dst AND x.src < y.src JOIN sz sx ON sx.src = x.src JOIN sz sy ON sy.src = y.src GROUP BY 1, 2",
     "components_small": GRAPH + ", fu AS (SELECT src AS a, dst AS b FROM feeds UNION SELECT dst, src FROM feeds), reach AS (SELECT node_id AS r, node_id AS pos FROM fnodes UNION SELECT reach.r, fu.b FROM reach JOIN fu ON fu.a = reach.pos) SELECT component, count(*) AS n FROM (SELECT pos, min(r) AS component FROM reach GROUP BY 1) GROUP BY 1",
-    "closeness": GRAPH + ", ds AS (SELECT src, dst, 1 AS dist FROM feeds UNION SELECT ds.src, f.dst, ds.dist + 1 FROM ds JOIN feeds f ON f.src = ds.dst WHERE ds.dist < 12 AND ds.src <> f.dst), sd AS (SELECT src, dst, min(dist) AS dist FROM ds WHERE src <> dst GROUP BY 1, 2) SELECT dst AS node_id, round(count(*) / CAST(sum(dist) AS DOUBLE) * count(*) / ((SELECT count(*) FROM fnodes) - 1), 6) AS closeness FROM sd GROUP BY 1",
     "coverage_score": COVERAGE + "SELECT * EXCLUDE (name) FROM cov",
     "risk_score": COVERAGE + "SELECT node_id, coverage, n_experts, severe, cascade, risk, CASE WHEN risk >= 70 THEN 'Critical' WHEN risk >= 40 THEN 'High' WHEN risk >= 20 THEN 'Medium' ELSE 'Low' END AS level, array_to_string(list_filter([CASE WHEN severe = 1 THEN 'severe incident' END, CASE WHEN coverage < 50 THEN 'low coverage' END, CASE WHEN n_experts = 0 THEN 'no expert' WHEN n_experts = 1 THEN 'single expert' END, CASE WHEN cascade = 1 THEN 'connected to incident' END, CASE WHEN incident = 1 AND sop = 0 THEN 'incident without procedure' END], lambda x: x IS NOT NULL), ' + ') AS reasons FROM rsk",
     "category_gaps": GAPS + "SELECT * FROM gaps",
     "gap_edges": GAPS + "SELECT c AS category, count(*) AS n FROM miss GROUP BY 1",
     "all_gaps_top": GAPS + "SELECT node_id, missing, pct, risk, coverage FROM gaps JOIN rsk USING (node_id) ORDER BY risk DESC, node_id LIMIT 50",
     "engineer_roster": ENGINEERS + "SELECT node_id, degree, critical, sole, centrality, score, level FROM eng2",
-    "engineer_summary": ENGINEERS + "SELECT count(*) AS total, count(*) FILTER (level IN ('High', 'Critical')) AS high_risk, round(sum(score) / CAST(greatest(count(*), 1) AS DOUBLE), 1) AS mean_score FROM eng2",
+    "engineer_summary": ENGINEERS + "SELECT count(*) AS total, count(*) FILTER (level IN ('High', 'Critical')) AS high_risk, round_even(sum(score) / CAST(greatest(count(*), 1) AS DOUBLE), 1) AS mean_score FROM eng2",
     "unprotected_assets": ENGINEERS + "SELECT a.node_id, a.name FROM assets a WHERE a.node_id IN (SELECT asset FROM hit) AND NOT EXISTS (SELECT 1 FROM own o JOIN eng2 e ON e.node_id = o.person WHERE o.asset = a.node_id AND e.level NOT IN ('High', 'Critical'))",
     "knowledge_concentration": GRAPH + ", b AS (SELECT src AS node_id, src_name AS name, count(*) AS events FROM full_e WHERE rel_type IN ('MAINTAINED_BY', 'INSPECTED_BY') AND src_label = 'Person' GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 20), s AS (SELECT *, round(events / CAST(sum(events) OVER () AS DOUBLE) * 100, 1) AS share FROM b) SELECT *, CASE WHEN share >= 60 THEN 'HIGH' WHEN share >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM s",
     "engineer_expertise": GRAPH + "SELECT n.node_id, n.name, CAST(least(100, sum(CASE rel_type WHEN 'MAINTAINED_BY' THEN 3 WHEN 'INSPECTED_BY' THEN 2 WHEN 'INVOLVED_IN' THEN 4 WHEN 'REPORTED_BY' THEN 4 WHEN 'AUTHORED_BY' THEN 1 ELSE 0 END)) AS BIGINT) AS expertise FROM und JOIN nodes n ON n.node_id = und.a WHERE n.label = 'Person' GROUP BY 1, 2",
@@ -179,23 +179,23 @@ SQL: dict[str, str] = {
     "rel_merge": SENTENCES + f"SELECT {_canon('source')} AS source, {_canon('target')} AS target, type, CAST(0.8 AS DOUBLE) AS confidence, count(DISTINCT id) AS n_texts FROM rel GROUP BY 1, 2, 3",
     "entity_confidence": SENTENCES + f"SELECT name, {_ENT_TYPE} AS type, round(CAST(0.65 AS DOUBLE) + CASE WHEN count(DISTINCT id) > 1 THEN CAST(0.1 AS DOUBLE) ELSE 0 END - CASE WHEN length(name) < 3 THEN CAST(0.15 AS DOUBLE) ELSE 0 END, 6) AS confidence FROM ent GROUP BY name, i",
     "remap_types": GRAPH + f", k AS (SELECT CASE length(edge_id) % 3 WHEN 0 THEN 'OWNED_BY' WHEN 1 THEN rel_type ELSE 'INVENTED' END AS kind FROM edges) SELECT CASE WHEN kind IN ({_q(RELATIONSHIPS)}) THEN kind ELSE coalesce({_CASE('kind', RELATIONSHIP_REMAP)}, 'RELATED_TO') END AS rel_type, count(*) AS n FROM k GROUP BY 1",
-    "ontology_classify": f"SELECT CAST(p_partkey AS BIGINT) AS id, CASE {' '.join(f'WHEN {_any(f"upper({_WORD} || chr(32) || {_TAG})", keys)} THEN {chr(39)}{sub}{chr(39)}' for _, _, sub, keys in ONTOLOGY)} END AS subclass FROM part",
+    "ontology_classify": f"SELECT CAST(p_partkey AS BIGINT) AS id, CASE {' '.join(f'WHEN {_any(f"upper({_WORD} || chr(32) || {_TAG})", keys)} THEN {chr(39)}{sub}{chr(39)}' for top, _, sub, keys in ONTOLOGY if top == 'Equipment')} END AS subclass FROM part",
     "risk_signal_flag": f"SELECT doc_id, {_any('lower(text)', RISK_SIGNALS)} AS risk FROM documents",
     "keyword_extract": f"SELECT item_id, coalesce(array_to_string(list_filter(k, lambda x, i: list_position(k, x) = i), '|'), '') AS keywords FROM (SELECT item_id, list_filter(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9\\-]*'), lambda x: length(x) > 3 AND lower(x) NOT IN ({_q(STOP_WORDS)})) AS k FROM benchmark)",
-    "clause_extract": "SELECT CAST(p_partkey AS BIGINT) AS id, CAST(3 AS BIGINT) AS n FROM part",
+    "clause_extract": "WITH l AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN turn || '.' || turn % 3 || ' ' ELSE '' END || regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') AS line FROM conversations WHERE text IS NOT NULL), g AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^([0-9]+\\.[0-9]+|Section\\b)') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, line ROWS UNBOUNDED PRECEDING) AS c FROM l), k AS (SELECT conv_id, c, trim(string_agg(line, chr(10) ORDER BY turn, line), ' ' || chr(10)) AS clause FROM g GROUP BY 1, 2) SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY c) - 1 AS INTEGER) AS i, clause FROM k WHERE length(clause) > 20",
     "intent_classify": f"SELECT conv_id, turn, CASE {' '.join(f'WHEN {_any("lower(text)", w)} THEN {chr(39)}{n}{chr(39)}' for n, w in INTENTS)} WHEN {_any('lower(text)', METADATA_WORDS[0])} AND {_any('lower(text)', METADATA_WORDS[1])} THEN 'metadata' ELSE 'general' END AS intent, len(list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) > 10 OR len(regexp_extract_all(text, '\\b([A-Z]{{1,3}}-\\d{{2,4}}[A-Z]?)\\b', 1)) > 1 AS complex FROM conversations",
     "csv_row_sentences": "SELECT CAST((n - 1) // 100 + 1 AS BIGINT) AS page, n AS row, 'Row ' || n || ': s_suppkey=' || s_suppkey || ', s_name=' || s_name || ', s_nationkey=' || s_nationkey || '.' AS sentence FROM (SELECT *, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier)",
-    "levenshtein_pairs": "SELECT a.s_suppkey AS a, b.s_suppkey AS b, CAST(levenshtein(a.s_name, b.s_name) AS BIGINT) AS d FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey WHERE a.s_suppkey < 40 AND levenshtein(a.s_name, b.s_name) <= 2",
-    "bm25_topk": f"WITH {_ITEMS5}, {_BM25} SELECT query_id, id, round(score, 6) AS score FROM best WHERE rank <= 10",
-    "dense_topk": f"WITH {_DENSE} SELECT id, round(score, 5) AS score FROM dn ORDER BY dn.score DESC, id LIMIT 10",
-    "rrf_fusion": f"WITH qs AS (SELECT 0 AS query_id, '{QUERY}' AS query), {_BM25}, {_DENSE}, dr AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM dn) SELECT id, round(sum(1 / CAST(60 + rank AS DOUBLE)), 8) AS rrf FROM (SELECT id, rank FROM best WHERE rank <= 20 UNION ALL SELECT id, rank FROM dr WHERE rank <= 20) GROUP BY 1",
-    "keyword_overlap": "SELECT doc_id, round(len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[\\pL\\pN\\pM_]{3,}')), ['the', 'and', 'with'])) / CAST(3 AS DOUBLE), 6) AS overlap FROM documents WHERE lang = 'en'",
+    "levenshtein_pairs": "SELECT a.s_suppkey AS a, b.s_suppkey AS b, CAST(levenshtein(a.s_name, b.s_name) AS BIGINT) AS d FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey WHERE levenshtein(a.s_name, b.s_name) <= 2",
+    "bm25_topk": f"WITH {_ITEMS}, {_BM25} SELECT query_id, id, round(score, 6) AS score FROM best WHERE rank <= 10",
+    "dense_topk": f"WITH {_DENSE} SELECT query_id, id, round(score, 5) AS score FROM dn QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dn.score DESC, id) <= 10",
+    "rrf_fusion": f"WITH {_ITEMS}, {_BM25}, {_DENSE}, dr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM dn WHERE query_id IN (SELECT query_id FROM qs) AND id IN (SELECT doc_id FROM documents)), both_ AS (SELECT 0 AS arm, query_id, id, rank FROM best WHERE rank <= 20 UNION ALL SELECT 1, query_id, id, rank FROM dr WHERE rank <= 20), arms AS (SELECT arm, query_id, trim(text) AS text, min(rank) AS rank, min(id) AS id FROM both_ JOIN documents ON doc_id = id WHERE trim(text) <> '' GROUP BY 1, 2, 3) SELECT query_id, min(id) AS id, round(sum(1 / CAST(60 + rank AS DOUBLE)), 8) AS rrf FROM arms GROUP BY query_id, text",
+    "keyword_overlap": "SELECT doc_id, round(len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[\\pL\\pN\\pM_]{3,}')), ['the', 'and', 'with'])) / CAST(3 AS DOUBLE), 6) AS overlap FROM documents",
     "fulltext_nodes": GRAPH + "SELECT node_id, name, label FROM nodes WHERE contains(regexp_replace(lower(name), '[- ]', '', 'g'), 'p12') OR contains('p12', regexp_replace(lower(name), '[- ]', '', 'g')) ORDER BY node_id LIMIT 20",
     "upsert_nodes": GRAPH + "SELECT label, regexp_replace(canonical_id, '[0-9]$', '') AS canonical_id, max(length(name) % 10 / CAST(10 AS DOUBLE)) AS confidence, max_by(name, {'c': length(name) % 10 / CAST(10 AS DOUBLE), 'n': name}) AS name, string_agg(DISTINCT name, '|' ORDER BY name) AS aliases FROM nodes WHERE label = 'Equipment' GROUP BY 1, 2",
     "upsert_edges": GRAPH + ", k AS (SELECT src, dst, rel_type, max(confidence) AS confidence FROM edges WHERE confidence >= 0.4::DOUBLE AND src <> dst AND src IN (SELECT node_id FROM nodes WHERE source_doc_id <> 3) AND dst IN (SELECT node_id FROM nodes WHERE source_doc_id <> 3) GROUP BY 1, 2, 3) SELECT rel_type, count(*) AS n, round(sum(confidence), 4) AS total FROM k GROUP BY 1",
     "delete_cascade": _DELETE + "SELECT label, count(*) AS n FROM ln GROUP BY 1 UNION ALL SELECT rel_type, count(*) FROM le GROUP BY 1",
     "cross_doc_links": GRAPH + ", q AS (SELECT node_id, substr(canonical_id, 1, 2) AS c FROM nodes WHERE label = 'Equipment'), f AS (SELECT c, min(node_id) AS src FROM q GROUP BY 1) SELECT src, 'RELATED_TO' AS rel_type, count(*) AS n FROM q JOIN f USING (c) WHERE node_id <> src AND NOT EXISTS (SELECT 1 FROM und WHERE a = src AND b = node_id) GROUP BY 1",
-    "cooccurrence_edges": "WITH m AS (SELECT DISTINCT l_orderkey AS d, 'E:' || l_partkey AS name, 'Equipment' AS label FROM lineitem WHERE l_linenumber <= 2 AND l_partkey <= 100 UNION SELECT DISTINCT l_orderkey, 'P:' || l_suppkey, 'Person' FROM lineitem WHERE l_linenumber <= 2 AND l_partkey <= 100) SELECT DISTINCT x.name AS src, y.name AS dst, CASE WHEN x.label <> y.label THEN 'MAINTAINED_BY' ELSE 'RELATED_TO' END AS rel_type FROM m x JOIN m y ON x.d = y.d AND x.name < y.name",
+    "cooccurrence_edges": "WITH m AS (SELECT DISTINCT l_orderkey AS d, 'E:' || l_partkey AS name, 'Equipment' AS label FROM lineitem UNION SELECT DISTINCT l_orderkey, 'P:' || l_suppkey, 'Person' FROM lineitem) SELECT DISTINCT x.name AS src, y.name AS dst, CASE WHEN x.label <> y.label THEN 'MAINTAINED_BY' ELSE 'RELATED_TO' END AS rel_type FROM m x JOIN m y ON x.d = y.d AND x.name < y.name",
     "exact_dedup_keep_oldest": "SELECT sha256(coalesce(text, '')) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "hash_precheck": "SELECT doc_id FROM documents WHERE source = 'src1' AND text IN (SELECT text FROM documents WHERE source <> 'src1')",
     "extraction_cache": "SELECT source, count(*) AS n FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE source = 'src0') GROUP BY 1",
@@ -216,5 +216,6 @@ SQL: dict[str, str] = {
     "activity_feed": "SELECT event_id, upper(event_type[1]) || event_type[2:] AS title, CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'success' ELSE 'info' END AS severity FROM events ORDER BY ts DESC, event_id DESC LIMIT 20",
     "eval_precision_recall": "WITH x AS (SELECT count(*) FILTER (n_chars >= 1000 AND quality = 1) AS tp, count(*) FILTER (n_chars >= 1000) AS said, count(*) FILTER (quality = 1) AS t FROM labels JOIN documents USING (doc_id)), y AS (SELECT tp / CAST(greatest(said, 1) AS DOUBLE) AS p, tp / CAST(greatest(t, 1) AS DOUBLE) AS r FROM x) SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1 FROM y",
     "latency_p95_exclusive": "WITH s AS (SELECT event_type, list_sort(list(value)) AS v, count(value) AS n, median(value) AS p50 FROM events GROUP BY 1), j AS (SELECT *, CAST(0.95 AS DOUBLE) * (n + 1) AS pos, CAST(least(greatest(floor(CAST(0.95 AS DOUBLE) * (n + 1)), 1), n - 1) AS BIGINT) AS j FROM s) SELECT event_type, round(p50, 6) AS p50, round(v[j] + (pos - j) * (v[j + 1] - v[j]), 6) AS p95 FROM j",
-    "retrieval_eval": f"WITH {_ITEMS5}, {_BM25}, f AS (SELECT query_id, min(rank) AS first FROM best JOIN qs USING (query_id) JOIN documents ON doc_id = id WHERE rank <= 10 AND contains(text, substr(query, 1, 40)) GROUP BY 1) SELECT count(first) AS hits, count(*) AS queries, round(avg(coalesce(1 / CAST(first AS DOUBLE), 0)), 6) AS mrr FROM qs LEFT JOIN f USING (query_id)",
+    "retrieval_eval": f"WITH qs AS (SELECT item_id AS query_id, text AS query FROM benchmark), {_BM25}, wi AS (SELECT DISTINCT id AS query_id, array_to_string(w[i:i + 9], ' ') AS g FROM {_RUNS.format('item_id', 'benchmark')}), wd AS (SELECT DISTINCT id, array_to_string(w[i:i + 9], ' ') AS g FROM {_RUNS.format('doc_id', 'documents')}), good AS (SELECT DISTINCT query_id, id FROM wd JOIN wi USING (g)), f AS (SELECT query_id, min(rank) AS first FROM best JOIN good USING (query_id, id) WHERE rank <= 10 GROUP BY 1) SELECT count(first) AS hits, count(*) AS queries, round(avg(coalesce(1 / CAST(first AS DOUBLE), 0)), 6) AS mrr FROM qs LEFT JOIN f USING (query_id)",
+    "search_nodes": GRAPH + f", k AS (SELECT DISTINCT {_TAG} AS term FROM part WHERE p_partkey % 100 = 0), m AS (SELECT term, node_id, name, label FROM nodes JOIN k ON contains(regexp_replace(lower(name), '[- ]', '', 'g'), regexp_replace(lower(term), '[- ]', '', 'g')) OR contains(regexp_replace(lower(term), '[- ]', '', 'g'), regexp_replace(lower(name), '[- ]', '', 'g')) WHERE regexp_replace(name, '[- ]', '', 'g') <> '') SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY term ORDER BY node_id) <= 20",
 }

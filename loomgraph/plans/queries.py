@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import ordering
 from ..functions import text as X
 from ..operators import algorithms as A
 from ..operators import dml as D
@@ -318,7 +319,7 @@ def remap_types(t):
 
 @query
 def ontology_classify(t):
-    return t.part.select(F.col("p_partkey").cast("long").alias("id"), X.classify(F.concat(FX.tag_word(F.col("p_partkey")), F.lit(" "), FX.tag_of(F.col("p_partkey")))).alias("subclass"))
+    return t.part.select(F.col("p_partkey").cast("long").alias("id"), X.classify(F.lit("Equipment"), F.concat(FX.tag_word(F.col("p_partkey")), F.lit(" "), FX.tag_of(F.col("p_partkey")))).alias("subclass"))
 
 
 @query
@@ -343,7 +344,11 @@ def keyword_extract(t):
 
 @query
 def clause_extract(t):
-    return FX.sentences(t).select("id", F.size(X.clauses(F.concat("text", F.lit(" 4.1 keep the pressure below the limit Section 5 report it to the shift lead")))).cast("long").alias("n"))
+    """Clauses of each conversation's turns, a line each; even turns begin with a section number."""
+    number = F.concat(F.col("turn").cast("string"), F.lit("."), (F.col("turn") % 3).cast("string"), F.lit(" "))
+    line = F.concat(F.when(F.col("turn") % 2 == 0, number).otherwise(""), F.regexp_replace("text", r"\s+", " "))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n")
+    return t.conversations.groupBy("conv_id").agg(text.alias("text")).select("conv_id", F.posexplode(X.clauses(F.col("text"))).alias("i", "clause"))
 
 
 @query
@@ -365,36 +370,52 @@ def levenshtein_pairs(t):
 # --- retrieval
 
 
-@query
-def bm25_topk(t):
-    chunks = t.documents.select(F.col("doc_id").alias("id"), "text")
-    asked = t.benchmark.where("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return R.top_k(R.bm25(chunks, asked), 10).select("query_id", "id", F.round("score", 6).alias("score"))
+def chunks_of(t) -> DataFrame:
+    return t.documents.select(F.col("doc_id").alias("id"), "text")
+
+
+def asked_items(t) -> DataFrame:
+    """The query set: every item whose id is divisible by 100."""
+    return t.benchmark.where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def asked_vectors(t) -> DataFrame:
+    return t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-def seed_vector(t) -> list[float]:
-    return list(t.embeddings.where("vec_id = 0").first()["embedding"])
+def vectors_of(t) -> DataFrame:
+    return t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
+
+
+@query
+def bm25_topk(t):
+    return R.top_k(R.bm25(chunks_of(t), asked_items(t)), 10).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query
 def dense_topk(t):
-    return R.dense(t.embeddings, seed_vector(t), 10).select("id", F.round("score", 5).alias("score"))
+    return R.dense_many(vectors_of(t), asked_vectors(t), 10).select("query_id", "id", F.round("score", 5).alias("score"))
 
 
 @query
 def rrf_fusion(t):
-    chunks = t.documents.select(F.col("doc_id").alias("id"), "text")
-    asked = t.spark.createDataFrame([(0, QUERY)], "query_id long, query string")
-    lexical = R.top_k(R.bm25(chunks, asked), 20)
-    vector = R.top_k(R.dense(t.embeddings, seed_vector(t), 20).withColumn("query_id", F.lit(0)), 20)
-    return R.rrf(lexical, vector).select("id", F.round("rrf", 8).alias("rrf"))
+    """Documents by words and by vectors; an item's vector is that of its own number."""
+    with_vectors = vectors_of(t).join(chunks_of(t).select("id"), "id", "left_semi")
+    lexical = R.top_k(R.bm25(chunks_of(t), asked_items(t)), 20)
+    vector = R.dense_many(with_vectors, asked_vectors(t).join(asked_items(t).select("query_id"), "query_id", "left_semi"), 20)
+    return R.fuse(chunks_of(t), lexical, vector).select("query_id", "id", F.round("rrf", 8).alias("rrf"))
 
 
 @query
 def mmr(t):
-    q = seed_vector(t)
-    near = R.dense(t.embeddings, q, 40).join(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), "id")
-    return R.mmr(near.select(F.lit(0).cast("long").alias("query_id"), "id", "embedding"), q, 10)
+    near = R.dense_many(vectors_of(t), asked_vectors(t), 40).join(vectors_of(t), "id").join(asked_vectors(t).withColumnRenamed("embedding", "query_vector"), "query_id")
+    return R.mmr(near, 10)
+
+
+@query
+def search_nodes(t):
+    """Nodes by the tags of every hundredth part."""
+    return R.search_nodes(FX.nodes(t), t.part.where("p_partkey % 100 = 0").select(FX.tag_of(F.col("p_partkey")).alias("term")))
 
 
 @query
@@ -406,8 +427,7 @@ def keyword_overlap(t):
 def hybrid_rank(t):
     nodes, edges = graph(t)
     near = G.neighborhood(nodes, edges, [SEED_NAME], 1)
-    dense_ = R.dense(t.embeddings, seed_vector(t), 8)
-    return R.hybrid_rank(dense_, near.join(A.pagerank(*feeds(t)), "node_id", "left")).select("item", F.round("score", 5).alias("score"))
+    return R.hybrid_rank(R.dense_many(vectors_of(t), asked_vectors(t), 8), near.join(A.pagerank(*feeds(t)), "node_id", "left")).select("query_id", "item", F.round("score", 5).alias("score"))
 
 
 @query
@@ -422,7 +442,10 @@ def context_compression(t):
 
 @query
 def retrieve_pipeline(t):
-    return R.retrieve(t.documents.select(F.col("doc_id").alias("id"), "text"), QUERY).select("id", F.round("rrf", 8).alias("rrf"), F.round("rerank", 6).alias("rerank"))
+    nodes, edges = graph(t)
+    chunks = chunks_of(t).join(vectors_of(t), "id", "left").withColumn("section_type", X.section_type(F.lit(None).cast("string"), F.col("text")))
+    queries = asked_items(t).join(vectors_of(t).withColumnRenamed("id", "query_id"), "query_id", "left")
+    return R.retrieve(chunks, queries, nodes, edges).select("query_id", "item", F.round("rrf", 8).alias("rrf"), F.round("rerank", 6).alias("rerank"), F.length("text").alias("n_chars"))
 
 
 # --- upserts, deletes, integrity
@@ -589,19 +612,32 @@ def eval_precision_recall(t):
 
 @query
 def latency_p95_exclusive(t):
-    """Median and the exclusive 95th percentile, which extrapolates between order statistics."""
-    s = t.events.groupBy("event_type").agg(F.array_sort(F.collect_list("value")).alias("v"), F.count("value").alias("n"), F.median("value").alias("p50"))
-    at = 0.95 * (F.col("n") + 1)
-    j = F.least(F.greatest(F.floor(at), F.lit(1)), F.col("n") - 1).cast("int")
-    return s.select("event_type", F.round("p50", 6).alias("p50"), F.round(F.element_at("v", j) + (at - j) * (F.element_at("v", j + 1) - F.element_at("v", j)), 6).alias("p95"))
+    return ordering.median_and_p95(t.events, "event_type", "value").select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
+
+
+def windows_of(rows: DataFrame, words: int = 10) -> DataFrame:
+    """id, window: the distinct runs of ten words of each text."""
+    w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
+    runs = F.when(F.size("w") >= words, F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.array_join(F.slice("w", i, words), " ")))
+    return rows.select("id", w.alias("w")).select("id", F.explode(F.array_distinct(runs)).alias("window"))
 
 
 @query
 def retrieval_eval(t):
-    """Recall and mean reciprocal rank: is a document of the item's own passage among the ten best?"""
-    chunks = t.documents.select(F.col("doc_id").alias("id"), "text")
-    items = t.benchmark.where("item_id < 5")
-    got = R.top_k(R.bm25(chunks, items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))), 10)
-    good = chunks.crossJoin(F.broadcast(items.select("item_id", F.substring("text", 1, 40).alias("head")))).where(F.contains("text", F.col("head"))).select(F.col("item_id").alias("query_id"), "id")
+    """Recall and mean reciprocal rank over all items: is a document that shares ten words in a row with the item among the ten best?"""
+    items = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    got = R.top_k(R.bm25(chunks_of(t), items), 10)
+    passages = windows_of(t.benchmark.select(F.col("item_id").alias("id"), "text")).withColumnRenamed("id", "query_id")
+    good = windows_of(chunks_of(t)).join(passages, "window").select("query_id", "id").distinct()
     hit = got.join(good, ["query_id", "id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("first"))
-    return items.select(F.col("item_id").alias("query_id")).join(hit, "query_id", "left").agg(F.count("first").alias("hits"), F.count("*").alias("queries"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+    return items.select("query_id").join(hit, "query_id", "left").agg(F.count("first").alias("hits"), F.count("*").alias("queries"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+
+
+@query
+def extract_entities(t):
+    return X.extract(FX.sentences(t))[0]
+
+
+@query
+def extract_relationships(t):
+    return X.extract(FX.sentences(t))[1].groupBy("source", "target", "type").agg(F.max("confidence").alias("confidence"), F.countDistinct("id").alias("n_texts"))

@@ -17,6 +17,7 @@ Page = tuple[int, str]
 ROWS_PER_PAGE = 100
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+_P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -31,63 +32,94 @@ def parse_docx(data: bytes) -> list[Page]:
     return [(1, "\n".join("".join(t.text or "" for t in p.iter(f"{_W}t")) for p in root.iter(f"{_W}p")))]
 
 
+def _paragraphs(root) -> str:
+    return "\n".join("".join(t.text or "" for t in p.iter(f"{_A}t")) for p in root.iter(f"{_A}p")).strip()
+
+
+def _is(shape, *kinds: str) -> bool:
+    place = shape.find(f".//{_P}nvPr/{_P}ph")
+    return place is not None and place.get("type") in kinds
+
+
 def parse_pptx(data: bytes) -> list[Page]:
-    """A page for each slide that has text, numbered as the slides."""
+    """A page for each slide that has text, numbered as the slides: title, other shapes, speaker notes."""
     out = []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
-        for number, name in names:
-            text = "\n".join(filter(None, ("".join(t.text or "" for t in p.iter(f"{_A}t")) for p in ElementTree.fromstring(z.read(name)).iter(f"{_A}p"))))
-            if text.strip():
-                out.append((number, text))
-    return out
-
-
-def paged(sentences: list[str]) -> list[Page]:
-    return [(1 + i // ROWS_PER_PAGE, " ".join(sentences[i : i + ROWS_PER_PAGE])) for i in range(0, len(sentences), ROWS_PER_PAGE)]
+        names = set(z.namelist())
+        for number, name in sorted((int(m[1]), n) for n in names if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n))):
+            shapes = list(ElementTree.fromstring(z.read(name)).iter(f"{_P}sp"))
+            title = next((x for x in shapes if _is(x, "title", "ctrTitle")), None)
+            parts = [f"Slide Title: {_paragraphs(title)}"] if title is not None and _paragraphs(title) else []
+            parts += [text for x in shapes if x is not title and (text := _paragraphs(x))]
+            links = f"ppt/slides/_rels/slide{number}.xml.rels"
+            for link in ElementTree.fromstring(z.read(links)) if links in names else ():
+                target = f"ppt/{link.get('Target', '').removeprefix('../')}"
+                if link.get("Type", "").endswith("/notesSlide") and target in names:
+                    notes = "\n".join(filter(None, (_paragraphs(x) for x in ElementTree.fromstring(z.read(target)).iter(f"{_P}sp") if _is(x, "body"))))
+                    parts += [f"Speaker Notes: {notes}"] if notes else []
+            if parts:
+                out.append((number, "\n".join(parts)))
+    return out or [(1, "[PowerPoint file appears to have no text content]")]
+
+
+def paged(sentences: list[str], head: str = "", before: int = 0) -> list[Page]:
+    """Pages of a hundred sentences, one a line, numbered on from `before`."""
+    return [(before + 1 + i // ROWS_PER_PAGE, head + "\n".join(sentences[i : i + ROWS_PER_PAGE])) for i in range(0, len(sentences), ROWS_PER_PAGE)]
 
 
 def parse_csv(data: bytes) -> list[Page]:
-    """`Row n: k=v, k=v.` sentences, a hundred to a page; rows without values are skipped but counted."""
+    """`Row n: k=v, k=v.` sentences, a hundred to a page; rows without values are skipped but counted. A file without any is text."""
     import csv
 
-    rows = list(csv.reader(io.StringIO(data.decode("utf-8", "ignore"))))
-    if len(rows) < 2:
-        return parse_text(data)
+    rows = [r for r in csv.reader(io.StringIO(data.decode("utf-8", "ignore"))) if r]
     out = []
     for n, row in enumerate(rows[1:], 1):
-        fields = [f"{k}={v}" for k, v in zip(rows[0], row, strict=False) if v.strip()]
+        fields = [f"{k.strip()}={v.strip()}" for k, v in zip(rows[0], row, strict=False) if k and v.strip()]
         if fields:
             out.append(f"Row {n}: {', '.join(fields)}.")
-    return paged(out)
+    return paged(out) or parse_text(data)
+
+
+def _column(reference: str) -> int:
+    """The number, from 0, of the column in a cell's reference such as AB12."""
+    n = 0
+    for c in re.match("[A-Z]*", reference)[0]:
+        n = 26 * n + ord(c) - 64
+    return n - 1
 
 
 def parse_xlsx(data: bytes) -> list[Page]:
-    """`In sheet 's', row i: ...` sentences; the first row with values names the columns."""
-    out = []
+    """`In sheet 's', row i: ...` sentences, rows from 0; a sheet's first row with values names the columns. Pages are numbered over all sheets, none has two."""
+    out: list[Page] = []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_S}si")]
         titles = [s.get("name", "") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet")]
         for i, title in enumerate(titles, 1):
-            name, header = f"xl/worksheets/sheet{i}.xml", None
+            name, header, sentences = f"xl/worksheets/sheet{i}.xml", None, []
             if name not in z.namelist():
                 continue
-            for number, row in enumerate(ElementTree.fromstring(z.read(name)).iter(f"{_S}row"), 1):
-                cells = []
+            at = 0
+            for row in ElementTree.fromstring(z.read(name)).iter(f"{_S}row"):
+                at = int(row.get("r", at + 1))
+                cells: dict[int, str] = {}
                 for c in row.iter(f"{_S}c"):
+                    k = _column(c.get("r", ""))
+                    k = k if k >= 0 else max(cells, default=-1) + 1
                     v = c.find(f"{_S}v")
                     value = "".join(t.text or "" for t in c.iter(f"{_S}t")) if c.get("t") == "inlineStr" else (v.text if v is not None else "") or ""
-                    cells.append(shared[int(value)] if c.get("t") == "s" and value else value)
+                    cells[k] = (shared[int(value)] if c.get("t") == "s" and value else value).strip()
+                if not any(cells.values()):
+                    continue
                 if header is None:
-                    if any(cells):
-                        header = [c or f"Col{k}" for k, c in enumerate(cells, 1)]
+                    header = {k: cells.get(k) or f"Col{k}" for k in range(max(cells) + 1)}
                     continue
-                fields = [f"{k}={v}" for k, v in zip(header, cells, strict=False) if v.strip().lower() not in ("", "none", "null")]
+                fields = [f"{header[k]}={v}" for k, v in sorted(cells.items()) if k in header and v.lower() not in ("", "none", "null")]
                 if fields:
-                    out.append(f"In sheet '{title}', row {number}: {', '.join(fields)}.")
-    return paged(out)
+                    sentences.append(f"In sheet '{title}', row {at - 1}: {', '.join(fields)}.")
+            out += paged(sentences, f"Sheet: {title}\n\n", len(out))
+    return out or [(1, "[Excel file appears to be empty]")]
 
 
 #: By extension; `register_parser` adds others, such as one for PDF where a library for it is installed.

@@ -53,21 +53,29 @@ def rate_limits(stream: DataFrame, seconds: int = 60, limit: int = 5) -> DataFra
 
 
 def latest_into(path: str, key: str, order: list[str]):
-    """foreachBatch function that keeps the last row of each key in a table below path; `deleted` rows remove it.
+    """foreachBatch function that keeps the last row of each key in a table below path.
 
-    Each batch writes a new version and only then becomes the current one, so a batch that is run again
-    gives the same table.
+    A key whose last row is a deletion has no row in `latest`; the row itself stays as a tombstone, so that
+    older rows which come late don't bring the key back. A batch only writes its own last rows, in a folder
+    of its epoch; a batch that is run again overwrites its folder, so the table is the same.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        from pyspark.sql import Window
-
-        spark = batch.sparkSession
-        rows = batch.withColumn("_epoch", F.lit(epoch).cast("long"))
-        if epoch:
-            rows = spark.read.parquet(f"{path}/{epoch - 1}").unionByName(rows)
-        w = Window.partitionBy(key).orderBy(*(F.desc(o) for o in ["_epoch", *order]))
-        kept = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-        kept.write.mode("overwrite").parquet(f"{path}/{epoch}")
+        rows = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("r")).select("r.*")
+        rows.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return write
+
+
+def latest(spark: SparkSession, path: str, key: str, order: list[str], deleted: str = "status = 'deleted'") -> DataFrame:
+    """The last row of each key over all batches that `latest_into` has written, without those for which `deleted` holds."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(*order, "epoch")).alias("r")).select("r.*")
+    return last.where(~F.coalesce(F.expr(deleted), F.lit(False))).drop("epoch")
+
+
+def compact(spark: SparkSession, path: str, key: str, order: list[str], to: str) -> None:
+    """The epochs of path as one table below another folder, tombstones included; for tables of many batches."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(*order, "epoch")).alias("r")).select("r.*")
+    last.drop("epoch").write.mode("overwrite").parquet(f"{to}/epoch={rows.agg(F.max('epoch')).first()[0] or 0}")

@@ -42,7 +42,7 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
 class Breaker:
     """Closed, open after `most` failures in a row, half-open after `rest` seconds, closed again after successes.
 
-    The count of successes is shared with the closed state and isn't reset when probing begins.
+    The count of successes is shared with the closed state: neither opening nor probing resets it, only closing does.
     """
 
     def __init__(self, most: int = 5, rest: float = 30.0, probes: int = 3):
@@ -62,7 +62,7 @@ class Breaker:
         else:
             self.failures += 1
             if self.state == "HALF_OPEN" or self.failures >= self.most:
-                self.state, self.since, self.failures, self.successes = "OPEN", at, 0, 0
+                self.state, self.since, self.failures = "OPEN", at, 0
         return self.state
 
 

@@ -167,7 +167,7 @@ def test_files(spark, tmp_path):
         z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p><w:r><w:t>one</w:t></w:r></w:p><w:p><w:t>two</w:t></w:p></w:document>')
     (tmp_path / "c.docx").write_bytes(buf.getvalue())
     got = {r.source_file: r.text for r in files.read_files(spark, str(tmp_path)).collect()}
-    assert got == {"a.txt": "hello", "b.csv": "Row 1: k=1, v=x. Row 3: k=3, v=z.", "c.docx": "one\ntwo"}
+    assert got == {"a.txt": "hello", "b.csv": "Row 1: k=1, v=x.\nRow 3: k=3, v=z.", "c.docx": "one\ntwo"}
     assert files.tolerant_json('x ```json\n{"a": 1}\n```') == {"a": 1}
 
 
