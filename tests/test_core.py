@@ -194,3 +194,46 @@ def test_streams_equal_batches(spark, tmp_path):
     q.awaitTermination(120)
     want = {r.event_id: r.limited for r in state.rate_limited(events.where("user_id < 5"), "user_id", "ts", 3600, 2).collect()}
     assert {r.event_id: r.limited for r in spark.sql("SELECT * FROM limits").collect()} == want
+
+
+def test_breaker_keeps_its_successes():
+    b = state.Breaker(most=2, rest=10)
+    for at, ok in [(0, True), (1, True), (2, True), (3, False), (4, False)]:
+        b.step(at, ok)
+    assert b.state == "OPEN" and b.step(20, True) == "CLOSED"
+
+
+def test_latest_without_deleted(spark, tmp_path):
+    write = jobs.latest_into(str(tmp_path), "k", ["ts"])
+    for epoch, rows in enumerate([[(1, 1, "new"), (2, 1, "new")], [(1, 3, "deleted"), (3, 1, "new")], [(1, 2, "late")]]):
+        for _ in range(2):  # a batch that runs again changes nothing
+            write(spark.createDataFrame(rows, "k long, ts long, status string"), epoch)
+    assert sorted(tuple(r) for r in jobs.latest(spark, str(tmp_path), "k", ["ts"]).select("k", "status").collect()) == [(2, "new"), (3, "new")]
+
+
+def test_sheets_by_reference():
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    cell = lambda r, v: f'<c r="{r}" t="inlineStr"><is><t>{v}</t></is></c>'
+    sheet = f'<worksheet {ns}><sheetData><row r="1">{cell("A1", "k")}{cell("C1", "v")}</row><row r="3">{cell("C3", "x")}</row></sheetData></worksheet>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="S"/><sheet name="T"/></sheets></workbook>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+        z.writestr("xl/worksheets/sheet2.xml", sheet)
+    assert files.parse_xlsx(out.getvalue()) == [(1, "Sheet: S\n\nIn sheet 'S', row 2: v=x."), (2, "Sheet: T\n\nIn sheet 'T', row 2: v=x.")]
+
+
+def test_positions_over_ranges(spark, monkeypatch):
+    from loomgraph.functions import ordering
+
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 7)
+    rows = [("a" if i % 3 else None, (i * 37) % 100) for i in range(100)]
+    got = ordering.numbered(spark.createDataFrame(rows, "g string, v long"), ["g"], ["v"]).collect()
+    for g in ("a", None):
+        assert [r.v for r in sorted((r for r in got if r.g == g), key=lambda r: r.nth)] == sorted(v for x, v in rows if x == g)
+
+
+def test_clauses_and_types(spark):
+    row = spark.createDataFrame([("keep it\nbelow 4.5 bar in Section 2 at all times\n4.1 report leaks to the shift lead\nSection 5 and sign the sheet", "Incident", "pump seal leak")], "t string, k string, n string")
+    got = row.select(X.clauses(F.col("t")).alias("c"), X.classify(F.col("k"), F.col("n")).alias("s")).first()
+    assert got.c == ["keep it\nbelow 4.5 bar in Section 2 at all times", "4.1 report leaks to the shift lead", "Section 5 and sign the sheet"] and got.s == "SealLeak"
