@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import decontam, langid, packing, pii, set_join
-from loomgraph.llm.common import cut, table
+from loomgraph.llm.common import bounded_batches, cut, table
 
 #: The columns of documents.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,6 +22,7 @@ LEAST_SCORE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in no language that the model is sure of, go; lang becomes the prediction."""
+    bounded_batches(spark)
     model = langid.fit(docs)
     found = langid.identify(docs.select(*COLUMNS), model, "doc_id", "text", "source", "n_chars")
     kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
@@ -30,6 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates (five words, similarity 0.8), the smallest id stays."""
+    bounded_batches(spark)
     return set_join.keep_one(docs.select(*COLUMNS), words=5, percent=80)
 
 
@@ -40,12 +42,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; n_chars is that of the new text. No document goes."""
+    bounded_batches(spark)
     docs = docs.select(*COLUMNS)
     return pii.redact(docs, pii.fit(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents, packed into sequences."""
+    bounded_batches(spark)
     return packing.pack(packing.pieces(docs))
 
 

@@ -14,8 +14,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Bytes of one batch that Spark sends to a Python worker. By default only rows are counted (10,000), so long texts
+#: would make batches of any size, which JVM and worker each hold several times.
+BATCH_BYTES = 2 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches for Python workers end after BATCH_BYTES, in this session from now on; a limit that the session has set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "2147483647", "2147483647b"):
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The given table; only Spark's reader touches the path, so any store that Spark knows will do."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
