@@ -219,3 +219,29 @@ SQL: dict[str, str] = {
     "retrieval_eval": f"WITH qs AS (SELECT item_id AS query_id, text AS query FROM benchmark), {_BM25}, wi AS (SELECT DISTINCT id AS query_id, array_to_string(w[i:i + 9], ' ') AS g FROM {_RUNS.format('item_id', 'benchmark')}), wd AS (SELECT DISTINCT id, array_to_string(w[i:i + 9], ' ') AS g FROM {_RUNS.format('doc_id', 'documents')}), good AS (SELECT DISTINCT query_id, id FROM wd JOIN wi USING (g)), f AS (SELECT query_id, min(rank) AS first FROM best JOIN good USING (query_id, id) WHERE rank <= 10 GROUP BY 1) SELECT count(first) AS hits, count(*) AS queries, round(avg(coalesce(1 / CAST(first AS DOUBLE), 0)), 6) AS mrr FROM qs LEFT JOIN f USING (query_id)",
     "search_nodes": GRAPH + f", k AS (SELECT DISTINCT {_TAG} AS term FROM part WHERE p_partkey % 100 = 0), m AS (SELECT term, node_id, name, label FROM nodes JOIN k ON contains(regexp_replace(lower(name), '[- ]', '', 'g'), regexp_replace(lower(term), '[- ]', '', 'g')) OR contains(regexp_replace(lower(term), '[- ]', '', 'g'), regexp_replace(lower(name), '[- ]', '', 'g')) WHERE regexp_replace(name, '[- ]', '', 'g') <> '') SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY term ORDER BY node_id) <= 20",
 }
+
+_JOB = "CASE WHEN o_orderstatus = 'P' THEN 'processing' WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'completed' END"
+_POINTS = "p AS (SELECT 't' || (conv_id % 2) AS tenant_id, conv_id, text, sha256('t' || (conv_id % 2) || '|' || conv_id || '|' || turn) AS point_id FROM conversations)"
+
+SQL |= {
+    "valid_subgraph": GRAPH + """SELECT rel_type, count(*) AS n FROM edges e JOIN nodes s ON s.node_id = e.src WHERE (s.event_time IS NULL OR s.event_time <= '1996-06-01T00:00:00') AND (e.event_time IS NULL OR e.event_time <= '1996-06-01T00:00:00')
+      AND (length(e.edge_id) % 2 <> 0 OR '1997-01-01T00:00:00' >= '1996-06-01T00:00:00') GROUP BY 1""",
+    "duplicate_total": GRAPH + ", g AS (SELECT count(*) AS n FROM nodes GROUP BY regexp_replace(name, '[0-9]', '', 'g'), label HAVING count(*) > 1) SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS duplicates, count(*) AS groups FROM g",
+    "compliance_context": "SELECT conv_id AS document_id, length(x) AS n_chars, sha256(x) AS text_hash FROM (SELECT conv_id, left(string_agg(text, chr(10) ORDER BY turn, text), 4000) AS x FROM conversations GROUP BY 1)",
+    "hit_filenames": "SELECT 3 * vec_id AS id, coalesce(source, 'Document') AS filename FROM embeddings LEFT JOIN documents ON doc_id = 3 * vec_id",
+    "citations": f"WITH {_DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS citation FROM dn) SELECT query_id, citation, id, CASE WHEN length(text) > 180 THEN left(text, 180) || '...' ELSE text END AS snippet FROM r JOIN documents ON doc_id = id WHERE citation <= 10",
+    "vector_upsert": f"WITH {_POINTS} SELECT tenant_id, count(*) AS n, count(DISTINCT point_id) AS points, count(*) FILTER (conv_id % 3 = 0) AS new, min(point_id) AS least FROM p WHERE NOT (conv_id % 5 = 0 AND tenant_id = 't1') GROUP BY 1",
+    "purge_stuck": "SELECT (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P') AS documents, (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')) AS chunks",
+    "active_recent_jobs": f"SELECT {_JOB} AS status, count(*) AS n FROM orders WHERE o_custkey % 100 % 5 NOT IN (0, 1) AND o_orderdate >= TIMESTAMP '1998-08-01 00:00:00' - INTERVAL 365 DAY GROUP BY 1",
+    "job_status": f"""SELECT CAST(o_orderkey AS VARCHAR) AS job_id, {_JOB} AS status, CASE WHEN {_JOB} = 'completed' THEN coalesce(n, 0) END AS n_chunks, {_JOB} <> 'completed' OR coalesce(n, 0) > 0 AS passes
+      FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_linenumber > 1 GROUP BY 1) ON l_orderkey = o_orderkey""",
+    "job_progress": """SELECT job, stage, processed, total, CAST(CASE WHEN processed = total THEN 100 ELSE least(99, 100 * processed // total) END AS BIGINT) AS percent
+      FROM (SELECT user_id AS job, last(event_type ORDER BY ts, event_id) AS stage, count(*) FILTER (event_type <> 'error') AS processed, count(*) AS total FROM events GROUP BY 1)""",
+    "node_metrics": GRAPH + """, deg AS (SELECT n AS node_id, count(*) AS degree FROM (SELECT src AS n FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1), fed AS (SELECT dst AS node_id, count(*) AS f FROM edges WHERE rel_type = 'FEEDS' GROUP BY 1)
+      SELECT label, count(degree) AS linked, CAST(sum(degree) AS BIGINT) AS degrees, CAST(sum(f) AS BIGINT) AS fed_by FROM nodes LEFT JOIN deg USING (node_id) LEFT JOIN fed USING (node_id) GROUP BY 1""",
+    "applicable_regulations": GRAPH + """, near AS (SELECT DISTINCT x.source_doc_id, n.name AS regulation FROM und JOIN nodes n ON n.node_id = und.b AND n.label = 'Regulation' JOIN nodes x ON x.node_id = und.a),
+      k AS (SELECT *, row_number() OVER (PARTITION BY source_doc_id ORDER BY regulation) AS r FROM near) SELECT source_doc_id, regulation FROM k WHERE r <= 10""",
+    "regulation_scope": GRAPH + "SELECT node_id, regexp_replace(name, '[^a-zA-Z0-9_]', '_', 'g') AS identifier FROM nodes WHERE label = 'Regulation' AND (contains(lower(name), 'an') OR contains(lower(canonical_id), 'an'))",
+    "lessons_evidence": GRAPH + "SELECT DISTINCT und.a AS incident, o.name AS other FROM und JOIN nodes i ON i.node_id = und.a AND i.label = 'Incident' JOIN nodes o ON o.node_id = und.b WHERE contains(o.name, 'Pump') ORDER BY 1, 2 LIMIT 10",
+    "dashboard_summary": GRAPH + f"SELECT (SELECT count(*) FROM orders WHERE {_JOB} = 'completed') AS completed, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM assets) AS assets, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM conversations) AS chunks",
+}

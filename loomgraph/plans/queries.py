@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..operators import algorithms as A
 from ..operators import dml as D
 from ..operators import graph as G
+from ..operators import records as RC
 from ..operators import retrieval as R
 from ..operators import scoring as S
 from ..streaming import state as ST
@@ -641,3 +642,105 @@ def extract_entities(t):
 @query
 def extract_relationships(t):
     return X.extract(FX.sentences(t))[1].groupBy("source", "target", "type").agg(F.max("confidence").alias("confidence"), F.countDistinct("id").alias("n_texts"))
+
+
+# --- registry, vectors, evidence
+
+
+@query
+def valid_subgraph(t):
+    nodes = FX.nodes(t).select("node_id", F.col("event_time").alias("valid_from"), F.lit(None).cast("string").alias("valid_to"))
+    edges = FX.edges(t).withColumnsRenamed({"event_time": "valid_from"}).withColumn("valid_to", F.when(F.length("edge_id") % 2 == 0, "1997-01-01T00:00:00"))
+    return RC.valid_at(nodes, edges, "1996-06-01T00:00:00").groupBy("rel_type").agg(F.count("*").alias("n"))
+
+
+@query
+def duplicate_total(t):
+    return RC.duplicate_total(FX.nodes(t).withColumn("name", F.regexp_replace("name", "[0-9]", "")))
+
+
+@query
+def compliance_context(t):
+    chunks = t.conversations.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_index"), "text")
+    return RC.context(chunks).select("document_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_hash"))
+
+
+@query
+def hit_filenames(t):
+    docs = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("filename"))
+    return RC.with_filename(vectors_of(t).select(F.col("id") * 3).toDF("id"), docs)
+
+
+@query
+def citations(t):
+    return RC.citations(R.dense_many(vectors_of(t), asked_vectors(t), 10), chunks_of(t))
+
+
+def points_of(t) -> DataFrame:
+    p = t.conversations.select(F.concat(F.lit("t"), (F.col("conv_id") % 2).cast("string")).alias("tenant_id"), F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_index"), "text")
+    return p.withColumn("point_id", RC.point_id(F.col("tenant_id"), F.col("document_id"), F.col("chunk_index"))).drop("chunk_index")
+
+
+@query
+def vector_upsert(t):
+    """First turns come again with a new text, and the points of every fifth conversation of one tenant go."""
+    points = points_of(t)
+    again = points_of(t).where("document_id % 3 = 0").withColumn("text", F.lit("new"))
+    left = RC.delete_vectors(RC.upsert_vectors(points, again), points.where("document_id % 5 = 0 AND tenant_id = 't1'"))
+    return left.groupBy("tenant_id").agg(F.count("*").alias("n"), F.countDistinct("point_id").alias("points"), F.count_if(F.col("text") == "new").alias("new"), F.min("point_id").alias("least"))
+
+
+@query
+def purge_stuck(t):
+    docs = t.orders.select(F.col("o_orderkey").alias("document_id"), F.when(F.col("o_orderstatus") == "P", "deleting").otherwise("completed").alias("status"))
+    left, chunks = RC.purge(docs, t.lineitem.select(F.col("l_orderkey").alias("document_id")))
+    return left.agg(F.count("*").alias("documents")).crossJoin(chunks.agg(F.count("*").alias("chunks")))
+
+
+@query
+def active_recent_jobs(t):
+    j = FX.jobs(t).withColumn("status", F.when(F.col("document_id") % 5 == 0, F.lit(None)).when(F.col("document_id") % 5 == 1, "deleted").otherwise(F.col("status")))
+    return RC.recent(RC.active(j), "1998-08-01 00:00:00", 365).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query
+def job_status(t):
+    chunks = t.lineitem.where("l_linenumber > 1").select(F.col("l_orderkey").cast("string").alias("job_id"))
+    return RC.job_status(FX.jobs(t), chunks)
+
+
+@query
+def job_progress(t):
+    steps = t.events.select(F.col("user_id").alias("job"), F.col("ts").alias("at"), F.col("event_id").alias("n"), F.col("event_type").alias("stage"), (F.col("event_type") != "error").alias("done"))
+    return RC.progress(steps)
+
+
+@query
+def node_metrics(t):
+    """Nodes with their degree, and their rank among the FEEDS edges' targets."""
+    nodes, edges = graph(t)
+    into = edges.where("rel_type = 'FEEDS'").groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("fed_by"))
+    return RC.with_metrics(nodes, G.degrees(edges), into).groupBy("label").agg(F.count("degree").alias("linked"), F.sum("degree").alias("degrees"), F.sum("fed_by").alias("fed_by"))
+
+
+@query
+def applicable_regulations(t):
+    return RC.applicable_regulations(*graph(t))
+
+
+@query
+def regulation_scope(t):
+    return RC.in_scope(FX.nodes(t).where("label = 'Regulation'"), "AN").select("node_id", RC.identifier(F.col("name")).alias("identifier"))
+
+
+@query
+def lessons_evidence(t):
+    return RC.lessons(*graph(t), "Pump")
+
+
+@query
+def dashboard_summary(t):
+    nodes, edges = graph(t)
+    done = FX.jobs(t).agg(F.count_if(F.col("status") == "completed").alias("completed"))
+    n = nodes.agg(F.count("*").alias("nodes"), F.count_if(F.col("label") == "Equipment").alias("assets"))
+    return done.crossJoin(n).crossJoin(edges.agg(F.count("*").alias("edges"))).crossJoin(t.conversations.agg(F.count("*").alias("chunks")))
