@@ -241,7 +241,7 @@ SQL |= {
       SELECT label, count(degree) AS linked, CAST(sum(degree) AS BIGINT) AS degrees, CAST(sum(f) AS BIGINT) AS fed_by FROM nodes LEFT JOIN deg USING (node_id) LEFT JOIN fed USING (node_id) GROUP BY 1""",
     "applicable_regulations": GRAPH + """, near AS (SELECT DISTINCT x.source_doc_id, n.name AS regulation FROM und JOIN nodes n ON n.node_id = und.b AND n.label = 'Regulation' JOIN nodes x ON x.node_id = und.a),
       k AS (SELECT *, row_number() OVER (PARTITION BY source_doc_id ORDER BY regulation) AS r FROM near) SELECT source_doc_id, regulation FROM k WHERE r <= 10""",
-    "regulation_scope": GRAPH + "SELECT node_id, regexp_replace(name, '[^a-zA-Z0-9_]', '_', 'g') AS identifier FROM nodes WHERE label = 'Regulation' AND (contains(lower(name), 'an') OR contains(lower(canonical_id), 'an'))",
+    "regulation_scope": GRAPH + "SELECT node_id, regexp_replace(name, '[^a-zA-Z0-9_]', '_', 'g') AS identifier FROM nodes WHERE label = 'Regulation' AND (contains(lower(name), 'nation_1') OR contains(lower(canonical_id), 'nation_1'))",
     "lessons_evidence": GRAPH + "SELECT DISTINCT und.a AS incident, o.name AS other FROM und JOIN nodes i ON i.node_id = und.a AND i.label = 'Incident' JOIN nodes o ON o.node_id = und.b WHERE contains(o.name, 'Pump') ORDER BY 1, 2 LIMIT 10",
     "dashboard_summary": GRAPH + f"SELECT (SELECT count(*) FROM orders WHERE {_JOB} = 'completed') AS completed, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM assets) AS assets, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM conversations) AS chunks",
 }
