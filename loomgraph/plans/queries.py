@@ -730,7 +730,7 @@ def applicable_regulations(t):
 
 @query
 def regulation_scope(t):
-    return RC.in_scope(FX.nodes(t).where("label = 'Regulation'"), "AN").select("node_id", RC.identifier(F.col("name")).alias("identifier"))
+    return RC.in_scope(FX.nodes(t).where("label = 'Regulation'"), "Nation_1").select("node_id", RC.identifier(F.col("name")).alias("identifier"))
 
 
 @query
