@@ -104,6 +104,16 @@ def release() -> None:
         _libc.malloc_trim(0)
 
 
+def releasing(run):
+    """run (a function of the batches of a task) that gives freed memory back when its task ends."""
+
+    def until_end(batches):
+        yield from run(batches)
+        release()
+
+    return until_end
+
+
 def text_of(data) -> str | None:
     return None if data is None else unpack(bytes(data)).decode("utf-8", "surrogatepass")
 

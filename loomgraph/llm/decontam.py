@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_bytes
+from .common import releasing, text_bytes
 from .textvec import chain, word_hashes
 
 BLOCK_BYTES = 8 << 20
@@ -197,7 +197,7 @@ def matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes
                         names=["doc_id", "check", "n_words", "spans", "item_ids", "longest"],
                     )
 
-        part = source.mapInArrow(run, HITS)
+        part = source.mapInArrow(releasing(run), HITS)
         found = part if found is None else found.unionByName(part)
     if n > 1:
         found = _over_blocks(found, n)

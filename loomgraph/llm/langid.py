@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id
+from .common import crc_of_id, release, releasing
 
 DIMENSIONS = 1 << 15
 PER_LANGUAGE = 800
@@ -148,7 +148,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         yield pd.DataFrame({"place": at, "n": df[at]})
 
     df = np.zeros(DIMENSIONS)
-    for r in rows.select("text").mapInPandas(frequencies, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+    for r in rows.select("text").mapInPandas(releasing(frequencies), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
         df[r.place] = r.n
     model = Model(languages, np.log((1 + sum(sizes.values())) / (1 + df)) + 1, np.zeros((DIMENSIONS, len(languages))), np.zeros(len(languages)), 1.0)
 
@@ -160,7 +160,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, per_language / n))) for k, n in sizes.items()))
     h = F.xxhash64(F.lit(11), "doc_id", "text")
     picked = rows.withColumn("h", h).where(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000)
-    sample = sorted(picked.select("text", "lang", "h").mapInPandas(sampled, "lang string, h long, at binary, n binary").collect(), key=lambda r: (r.h, r.lang))
+    sample = sorted(picked.select("text", "lang", "h").mapInPandas(releasing(sampled), "lang string, h long, at binary, n binary").collect(), key=lambda r: (r.h, r.lang))
     index = {k: i for i, k in enumerate(languages)}
     made = []
     for r in sample:
@@ -178,7 +178,9 @@ def identify(docs: DataFrame, model: Model, *columns: str) -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double")
     def predicted(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sent.value.predict(t) for t in text], columns=["lang_pred", "score"])
+        out = pd.DataFrame([sent.value.predict(t) for t in text], columns=["lang_pred", "score"])
+        release()
+        return out
 
     predicted = predicted.asNondeterministic()  # else a filter on its columns runs it twice
     return docs.withColumn("_p", predicted("text")).select(*columns, "_p.lang_pred", "_p.score")

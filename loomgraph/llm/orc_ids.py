@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc32, text_bytes
+from .common import crc32, releasing, text_bytes
 from .tokens import DEFAULT, encoder, vocabulary_path
 
 #: Text bytes that go to one file, and bytes of one stripe.
@@ -64,7 +64,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = DEFAULT, end_id: int
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
-        .mapInArrow(encode_batches(vocabulary_path(tokenizer), end_id), SCHEMA)
+        .mapInArrow(releasing(encode_batches(vocabulary_path(tokenizer), end_id)), SCHEMA)
         .write.option("compression", "zstd")
         .option("orc.stripe.size", STRIPE_BYTES)
         .option("orc.row.index.stride", 1000)

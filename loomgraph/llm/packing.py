@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32, cut
+from .common import crc32, cut, release, releasing
 from .tokens import DEFAULT, encoder, vocabulary_path
 
 #: Pieces of one group: what a task packs at once, whatever the input's size.
@@ -54,7 +54,7 @@ def pieces(docs: DataFrame, capacity: int = 4096, tokenizer: str = DEFAULT, end_
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(releasing(run), PIECES)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -123,6 +123,7 @@ def _packer(capacity: int, round_: int):
         bins, offsets, free = best_fit_decreasing(lengths, capacity)
         if round_ and len(free) >= had:
             return rows.assign(gap=had - bound)[PACKED_COLUMNS]
+        release()
         group = int(key[0])
         return rows.assign(sequence_id=(round_ << 60) + (group << 24) + bins, offset=offsets, free=free[bins].astype(np.int32), gap=len(free) - bound)[PACKED_COLUMNS]
 

@@ -24,7 +24,7 @@ DEFAULT = "word_bpe_49k.json"
 #: Runs whose ids a Python worker keeps (some 120 bytes each); beyond that it starts anew.
 KEPT = 400_000
 #: Code points of one batch.
-BATCH = 1 << 20
+BATCH = 1 << 19
 
 #: Code points whose lower case and class are the same in Python and in the library.
 _SAFE = [chr(i) for i in [*range(0x1C), *range(0x20, 0x130), *range(0x131, 0x180), *range(0x2010, 0x2028), 0x20AC]]
