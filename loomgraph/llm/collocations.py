@@ -6,8 +6,8 @@ counts; a container that grows too large bursts into a node by the next word. Wh
 subtrees are written out whole, each a sorted run. The runs of all tasks are dealt by ranges of the word ids, so that a
 range is a set of prefixes (a hot prefix has several, cut by its next words), and each range adds up its runs.
 
-A phrase can only be frequent if its parts are. So words are counted first, then pairs of frequent words, then longer
-phrases all of whose pairs are frequent. What is frequent is sent to the tasks as a bitmap of bounded size; where it
+A phrase can only be frequent if its parts are. So words are counted first, then pairs of frequent words, then triples
+both of whose pairs are frequent, then longer phrases all of whose triples are. What is frequent is sent to the tasks as a bitmap of bounded size; where it
 says yes wrongly, which only costs work, the exact count settles it. Every count is over all texts, and score and order are
 exact (decimals of 38 digits).
 
@@ -34,6 +34,8 @@ MOST_WORDS, LEAST, TOP = 5, 100, 2000
 UNKNOWN = "und"
 #: Entries of a task's trie before subtrees are written out, and of a container before it bursts.
 BUDGET, BURST = 1_500_000, 32_768
+#: Bytes of text whose phrases are put into a trie at once.
+BATCH_BYTES = 2 << 20
 #: Distinct words that a task holds before it gives their counts away.
 HELD_WORDS = 300_000
 #: Entries of runs that one range adds up, and the most ranges; beyond that ranges grow, which Spark's aggregation spills.
@@ -107,7 +109,7 @@ def batches_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for part, n in slices(text.encode("utf-8", "surrogatepass")) if text else ():
-                if parts and size + len(part) > SLICE:
+                if parts and size + len(part) > BATCH_BYTES:
                     yield Words(parts, langs, again)
                     parts, langs, again, size = [], [], [], 0
                 parts.append(part)
@@ -118,34 +120,35 @@ def batches_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
         yield Words(parts, langs, again)
 
 
-def phrases_of(words: Words, known: np.ndarray, pairs: np.ndarray | None) -> np.ndarray:
-    """Word ids of the batch's phrases, a row each: pairs of known words, or with pairs (a bitmap) all longer phrases
-    whose pairs are in it. Shorter ones end in zeros."""
-    ids, n = words.ids, len(words.ids)
-    if n < 2:
-        return np.zeros((0, 2 if pairs is None else MOST_WORDS), np.uint64)
+def phrases_of(words: Words, known: np.ndarray, *frequent: np.ndarray) -> np.ndarray:
+    """Word ids of the batch's phrases, a row each: pairs of known words; with a bitmap of pairs the triples whose
+    pairs are in it; with one of triples too all longer phrases whose triples are in that. Shorter ones end in zeros."""
+    ids = words.ids
+    sizes = [(2,), (3,), range(4, MOST_WORDS + 1)][len(frequent)]
+    made = [np.zeros((0, sizes[-1]), np.uint64)]
     have = within(known, ids)
-    linked = words.joined & have[1:] & have[:-1]
-    if pairs is None:
-        at = np.flatnonzero(linked & words.new[1:])
-        return np.stack([ids[at], ids[at + 1]], axis=1)
-    at = np.flatnonzero(linked)
-    linked[at[~within(pairs, pair_hash(ids[at], ids[at + 1]))]] = False
-    made, run = [], linked
-    for k in range(3, MOST_WORDS + 1):
-        run = run[:-1] & linked[k - 2 :]
-        at = np.flatnonzero(run & words.new[k - 1 :])
-        rows = np.zeros((len(at), MOST_WORDS), np.uint64)
+    run, size = words.joined & have[1:] & have[:-1] if len(ids) else np.zeros(0, bool), 2
+    for bits in frequent:  # run: where a phrase of `size` words may begin
+        at = np.flatnonzero(run)
+        run[at[~within(bits, phrase_hash(*(ids[at + i] for i in range(size))))]] = False
+        run, size = run[:-1] & run[1:], size + 1
+    for k in sizes:
+        if k > size:
+            run, size = run[:-1] & run[1:], k
+        at = np.flatnonzero(run)
+        at = at[words.new[at + k - 1]]
+        rows = np.zeros((len(at), sizes[-1]), np.uint64)
         for i in range(k):
             rows[:, i] = ids[at + i]
         made.append(rows)
-        if not len(run):
-            break
     return np.concatenate(made)
 
 
-def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
+def phrase_hash(*ids: np.ndarray) -> np.ndarray:
+    h = ids[0]
+    for x in ids[1:]:
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + x)
+    return h
 
 
 def within(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -163,6 +166,17 @@ def summed(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return rows[first], np.add.reduceat(counts, first)
 
 
+def gathered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows, those of one first word together, and how often each occurs."""
+    codes, _ = pd.factorize(phrase_hash(*rows.T))
+    first = np.zeros(codes.max() + 1, np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    if (rows[first[codes]] != rows).any():  # two phrases with one hash
+        return summed(rows, np.ones(len(rows), np.int64))
+    order = np.argsort(rows[first, 0])
+    return rows[first[order]], np.bincount(codes)[order]
+
+
 class HatTrie:
     """Counts of rows of word ids: nodes by the first words, below them containers of the rests."""
 
@@ -181,7 +195,7 @@ class HatTrie:
         return sum(x.size() if isinstance(x, HatTrie) else x.size for x in self.children.values())
 
     def add(self, rows: np.ndarray, counts: np.ndarray) -> int:
-        """Takes distinct rows in order; returns how many entries the trie has more."""
+        """Takes rows of which those of one first word are together; returns how many entries the trie has more."""
         heads = rows[:, 0]
         cuts = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]])).tolist() + [len(rows)]
         rests, more = rows[:, 1:], 0
@@ -233,11 +247,11 @@ class HatTrie:
         return got
 
 
-def counted_in_tries(docs: DataFrame, known: np.ndarray, pairs: np.ndarray | None, budget: int = 0) -> DataFrame:
-    """w1, ..., n: sorted runs of phrases, written to the checkpoint folder."""
-    width, budget = 2 if pairs is None else MOST_WORDS, budget or BUDGET
+def counted_in_tries(docs: DataFrame, known: np.ndarray, *frequent: np.ndarray, budget: int = 0) -> DataFrame:
+    """w1, ..., n: sorted runs of phrases (see phrases_of), written to the checkpoint folder."""
+    width, budget = (2, 3, MOST_WORDS)[len(frequent)], budget or BUDGET
     names = [f"w{i}" for i in range(1, width + 1)]
-    sent = docs.sparkSession.sparkContext.broadcast((known, pairs))
+    sent = docs.sparkSession.sparkContext.broadcast((known, *frequent))
 
     def out(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -259,7 +273,7 @@ def counted_in_tries(docs: DataFrame, known: np.ndarray, pairs: np.ndarray | Non
         for words in batches_of_words(batches):
             rows = phrases_of(words, *sent.value)
             if len(rows):
-                entries += trie.add(*summed(rows, np.ones(len(rows), np.int64)))
+                entries += trie.add(*gathered(rows))
             if entries > budget:
                 yield from out(trie.taken(trie.largest(entries - budget // 2)))
                 entries = trie.size()
@@ -332,10 +346,13 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, Da
     every = counted_words(docs)
     totals = cut(every.groupBy("lang").agg(F.sum("n").alias("total")))
     words = cut(every.where(F.col("n") >= least))
-    known = bitmap(words.select("id"), lambda x: x)
-    two = merged(counted_in_tries(docs, known, None), least)
-    more = merged(counted_in_tries(docs, known, bitmap(two.select("w1", "w2"), pair_hash)), least)
-    return words, totals, two.select(path(2).alias("path"), "n").unionByName(more.select(path(MOST_WORDS).alias("path"), "n"))
+    known = bitmap(words.select("id"), phrase_hash)
+    two = merged(counted_in_tries(docs, known), least)
+    pairs = bitmap(two.select("w1", "w2"), phrase_hash)
+    three = merged(counted_in_tries(docs, known, pairs), least)
+    more = merged(counted_in_tries(docs, known, pairs, bitmap(three.select("w1", "w2", "w3"), phrase_hash)), least)
+    found = two.select(path(2).alias("path"), "n").unionByName(three.select(path(3).alias("path"), "n"))
+    return words, totals, found.unionByName(more.select(path(MOST_WORDS).alias("path"), "n"))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, percent: int = 100) -> DataFrame:

@@ -160,8 +160,8 @@ def test_collocations(spark, monkeypatch):
             whole["pairs"] += max(0, len(w) - 1)
             whole["long"] += sum(max(0, len(w) - k + 1) for k in (3, 4, 5))
     held = [collocations.Words(*map(list, zip(*[(p, "en", n) for p, n in collocations.slices(t.encode())], strict=True))) for t in texts if t]
-    assert sum(len(collocations.phrases_of(w, known, None)) for w in held) == whole["pairs"]
-    assert sum(len(collocations.phrases_of(w, known, known)) for w in held) == whole["long"]
+    assert sum(len(collocations.phrases_of(w, known)) for w in held) == whole["pairs"]
+    assert sum(len(collocations.phrases_of(w, known, known)) + len(collocations.phrases_of(w, known, known, known)) for w in held) == whole["long"]
     assert collocations.collocations(frame(spark, [])).collect() == [] and collocations.collocations(frame(spark, rows), 10_000).collect() == []
 
 
@@ -171,7 +171,7 @@ def test_trie_bursts_and_gives_sorted_runs():
     for _ in range(200):
         rows = np.minimum(rng.zipf(1.5, (60, 4)), 9).astype(np.uint64)
         want.update(map(tuple, rows.tolist()))
-        trie.add(*collocations.summed(rows, np.ones(len(rows), np.int64)))
+        trie.add(*collocations.gathered(rows))
         if trie.size() > 1500:
             runs.append(list(trie.taken(trie.largest(700))))
     assert any(isinstance(x, collocations.HatTrie) for x in trie.children.values()) and len(runs) > 1
@@ -188,10 +188,10 @@ def test_trie_bursts_and_gives_sorted_runs():
 
 
 def test_small_tries_change_nothing(spark):
-    rows = [(i, " ".join(f"v{(i * j) % 17}" for j in range(60)) * 300, "en") for i in range(80)]
+    rows = [(i, (" ".join(f"v{(i * j) % 17}" for j in range(60)) + " ") * 600, "en") for i in range(80)]
     docs = frame(spark, rows).select("lang", "text").coalesce(2)
     everything = np.full(64, ~np.uint64(0))
-    few = collocations.counted_in_tries(docs, everything, None, budget=50)
-    many = collocations.counted_in_tries(docs, everything, None)
+    few = collocations.counted_in_tries(docs, everything, budget=50)
+    many = collocations.counted_in_tries(docs, everything)
     total = lambda runs: pd.DataFrame(runs.groupBy("w1", "w2").sum("n").toPandas()).sort_values(["w1", "w2"]).to_numpy().tolist()
-    assert few.count() > many.count() and total(few) == total(many) and sum(r[2] for r in total(few)) == 80 * (60 * 300 - 300)
+    assert few.count() > many.count() and total(few) == total(many) and sum(r[2] for r in total(few)) == 80 * (60 * 600 - 1)
