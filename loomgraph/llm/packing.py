@@ -134,16 +134,17 @@ PACKED_COLUMNS = [x.split()[0] for x in PACKED.split(", ")]
 
 
 def pack(rows: DataFrame, capacity: int = 4096, group_rows: int = GROUP_ROWS, rounds: int = 2) -> DataFrame:
-    """rows (as from `pieces`) with sequence_id and offset."""
-    rows = cut(rows)
+    """rows (as from `pieces`) with sequence_id and offset. Rows are dealt by a hash of their values and their place, so
+    that equal rows, however many, are spread too; the place is written once and so stays when a task runs again."""
+    rows = cut(rows.withColumn("place", F.monotonically_increasing_id()))
     full = rows.where(F.col("length") >= capacity)
     n = max(1, -(-(rows.count()) // group_rows))
     if n >= 1 << 36:
         raise ValueError("too many groups for the sequence ids")
-    spread = F.xxhash64("doc_id", "piece", "ids_crc32")
+    spread = F.xxhash64("doc_id", "piece", "ids_crc32", "place")
     # a full piece is a sequence of its own; its id is made from its task and place, below all others
-    alone = full.select("*", (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    part = rows.where(F.col("length") < capacity).withColumn("group", F.pmod(spread, F.lit(n)))
+    alone = full.drop("place").select("*", (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    part = rows.where(F.col("length") < capacity).select("*", F.pmod(spread, F.lit(n)).alias("group")).drop("place")
     packed = cut(part.groupBy("group").applyInPandas(_packer(capacity, 0), PACKED))
     done = [alone]
     for r in range(1, rounds + 1):

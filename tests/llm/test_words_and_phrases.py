@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from loomgraph.llm import collocations, spelling, token_counts
+from loomgraph.llm import collocations, packing, spelling, token_counts
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, word string, n long, path string, lengths int"
@@ -195,3 +195,11 @@ def test_small_tries_change_nothing(spark):
     many = collocations.counted_in_tries(docs, everything)
     total = lambda runs: pd.DataFrame(runs.groupBy("w1", "w2").sum("n").toPandas()).sort_values(["w1", "w2"]).to_numpy().tolist()
     assert few.count() > many.count() and total(few) == total(many) and sum(r[2] for r in total(few)) == 80 * (60 * 600 - 1)
+
+
+def test_equal_pieces_are_spread(spark):
+    """4,000 equal rows in groups of 500: no group has much more, so no partition packs them all."""
+    rows = [(7, 0, 0, 100, 1)] * 4000 + [(i, 0, 0, 50 + i % 40, i) for i in range(1000)]
+    got = packing.pack(spark.createDataFrame(rows, packing.PIECES), capacity=1000, group_rows=500, rounds=0).toPandas()
+    assert len(got) == 5000 and got.groupby("sequence_id")["length"].sum().max() <= 1000
+    assert (got["sequence_id"].to_numpy() >> 24 & 0xFFFF).tolist() and got.groupby(got["sequence_id"] // (1 << 24)).size().max() < 700
