@@ -82,7 +82,7 @@ def classify(kind: Column, name: Column) -> Column:
     return ladder
 
 
-#: Types whose relationships a model's word alone makes more certain.
+#: Types whose relationships a model's word alone makes more certain.
 STRONG = ["CAUSED_BY", "PERFORMED_ON", "PREVENTS", "COMPLIES_WITH"]
 
 
@@ -116,7 +116,7 @@ def entity_confidence(method: Column, n_aliases: Column, name: Column, prior: Co
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), 6)
 
 
-#: (pattern, type) in order; the first that yields a string keeps it.
+#: Fixed values: (pattern, type) in order; the first that yields a string keeps it.
 ENTITY_PATTERNS = [
     (TAG, "Equipment"),
     (r"\b(WO-\d{4,6})\b", "Incident"),
@@ -135,6 +135,18 @@ def regex_entities(docs: DataFrame, id_column: str = "id") -> DataFrame:
     return rows.select("id", "name", F.element_at(F.array(*(F.lit(t) for _, t in ENTITY_PATTERNS)), F.col("i") + 1).alias("type"), F.lit(0.85).alias("confidence"))
 
 
+def _typed(kind: str):
+    return lambda m: F.struct(F.trim(m).alias("name"), F.lit(kind).alias("type"))
+
+
+def arriving_entities(docs: DataFrame) -> DataFrame:
+    """id, nth, name, type, source, confidence: as regex_entities, with the order in which a text's names are found."""
+    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), _typed(k)) for p, k in ENTITY_PATTERNS)))
+    rows = docs.select("id", F.posexplode_outer(found).alias("nth", "e")).where("e IS NOT NULL")
+    return rows.groupBy("id", "e.name").agg(F.min("nth").alias("nth"), F.min_by("e.type", "nth").alias("type")).select("id", "nth", "name", "type", F.lit("regex").alias("source"), F.lit(0.85).alias("confidence"))
+
+
+#: Fixed values: (pattern, relationship).
 RULES = [
     (r"(?i)(WO-\d+)[^\n]*?(?:performed on|rebuild of|maintenance on|repair of)[^\n]*?([A-Z]{1,3}-\d{2,4})", "PERFORMED_ON"),
     (r"(?i)([A-Z]{1,3}-\d{2,4})\s+(?:feeds?|supplies?|connects? to)\s+([A-Z]{1,3}-\d{2,4})", "FEEDS"),
@@ -172,7 +184,7 @@ def merge_relationships(rels: DataFrame) -> DataFrame:
     return rels.groupBy(canonicalize(F.col("source")).alias("source"), canonicalize(F.col("target")).alias("target"), remap_relationship(F.col("type")).alias("type")).agg(F.max("confidence").alias("confidence"), F.countDistinct("id").alias("n_texts"))
 
 
-#: A line is a heading if its trimmed form matches any of these, whatever its case.
+#: Fixed value: a line is a heading if its trimmed form matches any of these, whatever its case.
 HEADINGS = r"(?i)^(?:\d+\.\d*\s+[A-Z]|[A-Z][A-Z\s]{4,}$|(?:WARNING|CAUTION|NOTE)\s*:|(?:WO-|Work Order|Job:)|Section\s+\d+)"
 
 

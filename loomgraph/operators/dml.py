@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,13 +32,6 @@ def upsert_relationships(rows: DataFrame, nodes: DataFrame, least: float = 0.40)
     return kept.groupBy("src", "dst", "rel_type").agg(F.max("confidence").alias("confidence"), F.min("event_time").alias("event_time"))
 
 
-def resolve_endpoint(names: DataFrame, nodes: DataFrame) -> DataFrame:
-    """name, node_id by id, alias or short id: one equi-join for each rule, united, so no nested loop is needed."""
-    arms = [nodes.select(F.col("canonical_id").alias("name"), "node_id"), nodes.select(F.explode("aliases").alias("name"), "node_id"), nodes.select(F.col("short_id").alias("name"), "node_id")]
-    known = arms[0].unionByName(arms[1]).unionByName(arms[2]).distinct()
-    return names.select("name").distinct().join(known, "name")
-
-
 def delete_document(nodes: DataFrame, edges: DataFrame, doc_id: int) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) without the document's edges, and without its nodes that are then isolated."""
     left = edges.where(~F.col("source_doc_id").eqNullSafe(F.lit(doc_id)))
@@ -102,38 +94,3 @@ def watchdog(jobs: DataFrame, as_of: str, minutes: int = 15) -> DataFrame:
     late = F.col("updated_at") < F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {minutes} MINUTES")
     stuck = F.col("status").isin("pending", "processing", "deleting") & late
     return jobs.withColumn("new_status", F.when(stuck & (F.col("status") == "deleting"), "failed_delete").when(stuck, "failed").otherwise(F.col("status")))
-
-
-def merge_entities(rows: DataFrame) -> DataFrame:
-    """id, name, type, n_aliases: greedy clusters within each document (id, name, type), in order of name.
-
-    An entity joins the first cluster one of whose names lies in its own or the other way round, or is
-    fewer than three edits away; the longer name stands for the cluster. Depends on order, so one task
-    does a document's entities; those are few.
-    """
-
-    def edits(a: str, b: str) -> int:
-        if abs(len(a) - len(b)) > 2:
-            return 3
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            old, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
-        return row[-1]
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[dict] = []
-        for r in f.sort_values("name").itertuples():
-            n = r.name.lower()
-            for c in clusters:
-                m = c["name"].lower()
-                if n in m or m in n or edits(n, m) < 3:
-                    c["aliases"].add(r.name)
-                    c["name"] = max(c["name"], r.name, key=len)
-                    break
-            else:
-                clusters.append({"name": r.name, "type": r.type, "aliases": {r.name}})
-        return pd.DataFrame({"id": f["id"].iloc[0], "name": [c["name"] for c in clusters], "type": [c["type"] for c in clusters], "n_aliases": [len(c["aliases"]) for c in clusters]})
-
-    return rows.groupBy("id").applyInPandas(run, "id long, name string, type string, n_aliases long")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import TAG, intent, normalized
+from ..functions.text import TAG, intent
 from ..session import checkpointed
 from ..vocab import INTENT_SECTIONS
 
@@ -224,14 +224,6 @@ def fulltext(nodes: DataFrame, term: str, limit: int = 20) -> DataFrame:
     return nodes.where(F.contains(n, F.lit(t)) | F.contains(F.lit(t), n)).select("node_id", "name", "label").orderBy("node_id").limit(limit)
 
 
-def search_nodes(nodes: DataFrame, terms_: DataFrame, limit: int = 20) -> DataFrame:
-    """term, node_id, name, label: for each term (column term) the first nodes whose name holds it or lies in it, without case, hyphens and spaces."""
-    n, t = normalized(F.col("name")), normalized(F.col("term"))
-    named = nodes.select("node_id", "name", "label", n.alias("_n")).where("_n <> ''")
-    met = named.join(terms_.select("term", t.alias("_t")).where("_t <> ''").distinct(), F.contains("_n", F.col("_t")) | F.contains(F.col("_t"), F.col("_n")))
-    return met.withColumn("_r", F.row_number().over(Window.partitionBy("term").orderBy("node_id"))).where(F.col("_r") <= limit).select("term", "node_id", "name", "label")
-
-
 def merge_queries(found: DataFrame, top: int = 8) -> DataFrame:
     """Chunks that several queries found (id, rerank, rrf): each once, the best first."""
     each = found.groupBy("id").agg(F.max(F.struct("rerank", "rrf")).alias("b"), F.min("text").alias("text"))

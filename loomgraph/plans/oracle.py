@@ -136,6 +136,10 @@ _RUNS = "(SELECT {0} AS id, w, unnest(range(1, CAST(len(w) - 8 AS BIGINT))) AS i
 _WINDOW = "strftime({0}, '%Y-%m-%dT%H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total"
 _DELETE = GRAPH + ", le AS (SELECT * FROM edges WHERE source_doc_id IS DISTINCT FROM 3), ln AS (SELECT * FROM nodes WHERE NOT (source_doc_id = 3 AND node_id NOT IN (SELECT src FROM le UNION SELECT dst FROM le)))"
 
+_ENDS = f"""WITH r AS (SELECT CAST(p_partkey AS BIGINT) AS k, {_TAG} AS ref, CASE p_partkey % 3 WHEN 0 THEN replace({_TAG}, '-', '') WHEN 1 THEN right(replace({_TAG}, '-', ''), 3) ELSE 'X1-' || replace({_TAG}, '-', '') END AS cid FROM part),
+n AS (SELECT 'E:' || p_partkey AS node_id, replace({_TAG}, '-', '') AS canonical_id, {_TAG} AS alias, regexp_extract(replace({_TAG}, '-', ''), '[0-9]+') AS short_id FROM part),
+hit AS (SELECT DISTINCT ref, cid, node_id FROM r JOIN n ON canonical_id = cid OR ref = alias OR short_id = cid OR ends_with(canonical_id, cid) OR ends_with(cid, canonical_id))"""
+
 SQL: dict[str, str] = {
     "label_stats": GRAPH + "SELECT label, count(*) AS n FROM nodes GROUP BY 1",
     "neighbors": GRAPH + f"SELECT n.node_id, n.name, n.label, u.rel_type FROM und u JOIN nodes n ON n.node_id = u.b WHERE u.a IN (SELECT node_id FROM nodes WHERE name = '{SEED_NAME}') ORDER BY 1, 4 LIMIT 50",
@@ -217,6 +221,9 @@ SQL: dict[str, str] = {
     "eval_precision_recall": "WITH x AS (SELECT count(*) FILTER (n_chars >= 1000 AND quality = 1) AS tp, count(*) FILTER (n_chars >= 1000) AS said, count(*) FILTER (quality = 1) AS t FROM labels JOIN documents USING (doc_id)), y AS (SELECT tp / CAST(greatest(said, 1) AS DOUBLE) AS p, tp / CAST(greatest(t, 1) AS DOUBLE) AS r FROM x) SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1 FROM y",
     "latency_p95_exclusive": "WITH s AS (SELECT event_type, list_sort(list(value)) AS v, count(value) AS n, median(value) AS p50 FROM events GROUP BY 1), j AS (SELECT *, CAST(0.95 AS DOUBLE) * (n + 1) AS pos, CAST(least(greatest(floor(CAST(0.95 AS DOUBLE) * (n + 1)), 1), n - 1) AS BIGINT) AS j FROM s) SELECT event_type, round(p50, 6) AS p50, round(v[j] + (pos - j) * (v[j + 1] - v[j]), 6) AS p95 FROM j",
     "retrieval_eval": f"WITH qs AS (SELECT item_id AS query_id, text AS query FROM benchmark), {_BM25}, wi AS (SELECT DISTINCT id AS query_id, array_to_string(w[i:i + 9], ' ') AS g FROM {_RUNS.format('item_id', 'benchmark')}), wd AS (SELECT DISTINCT id, array_to_string(w[i:i + 9], ' ') AS g FROM {_RUNS.format('doc_id', 'documents')}), good AS (SELECT DISTINCT query_id, id FROM wd JOIN wi USING (g)), f AS (SELECT query_id, min(rank) AS first FROM best JOIN good USING (query_id, id) WHERE rank <= 10 GROUP BY 1) SELECT count(first) AS hits, count(*) AS queries, round(avg(coalesce(1 / CAST(first AS DOUBLE), 0)), 6) AS mrr FROM qs LEFT JOIN f USING (query_id)",
+    "search_descriptions": GRAPH + f", k AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN 'check ' || {_WORD} || ' ' || {_TAG} || ' now' WHEN 1 THEN 'in ' || p_partkey ELSE substr({_TAG}, 1, 4) END AS term FROM part WHERE p_partkey % 100 < 3), z AS (SELECT term, regexp_replace(lower(term), '[- ]', '', 'g') AS t FROM k), s AS (SELECT node_id, name, label, unnest([regexp_replace(lower(name), '[- ]', '', 'g'), regexp_replace(lower('made in ' || source_doc_id || '-' || length(node_id)), '[- ]', '', 'g')]) AS said FROM nodes), m AS (SELECT DISTINCT term, node_id, name, label FROM s JOIN z ON said <> '' AND (contains(said, t) OR contains(t, said))) SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY term ORDER BY node_id) <= 20",
+    "resolve_endpoints": _ENDS + "SELECT cid, ref, count(*) AS n, min(node_id) AS first FROM hit GROUP BY ALL",
+    "upsert_resolved": _ENDS + ", b AS (SELECT DISTINCT ref AS target, cid AS target_cid, k - 7 AS k FROM r), x AS (SELECT s.node_id AS src, d.node_id AS dst, k % 10 / CAST(10 AS DOUBLE) AS confidence, CASE WHEN k % 2 = 0 THEN CAST(k AS VARCHAR) END AS event_time, 'seen with ' || target AS evidence FROM r JOIN b USING (k) JOIN hit s ON s.ref = r.ref AND s.cid = r.cid JOIN hit d ON d.ref = target AND d.cid = target_cid WHERE s.node_id <> d.node_id AND k % 10 / CAST(10 AS DOUBLE) >= CAST(0.4 AS DOUBLE)) SELECT src, dst, 'CONNECTED_TO' AS rel_type, max(confidence) AS confidence, min(event_time) AS event_time, first(evidence ORDER BY length(evidence) DESC, evidence) AS evidence FROM x GROUP BY src, dst",
     "search_nodes": GRAPH + f", k AS (SELECT DISTINCT {_TAG} AS term FROM part WHERE p_partkey % 100 = 0), m AS (SELECT term, node_id, name, label FROM nodes JOIN k ON contains(regexp_replace(lower(name), '[- ]', '', 'g'), regexp_replace(lower(term), '[- ]', '', 'g')) OR contains(regexp_replace(lower(term), '[- ]', '', 'g'), regexp_replace(lower(name), '[- ]', '', 'g')) WHERE regexp_replace(name, '[- ]', '', 'g') <> '') SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY term ORDER BY node_id) <= 20",
 }
 

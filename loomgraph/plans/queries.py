@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import ordering
 from ..functions import text as X
 from ..operators import algorithms as A
+from ..operators import ann, community, estimates, paths
 from ..operators import dml as D
 from ..operators import graph as G
+from ..operators import names as N
 from ..operators import records as RC
 from ..operators import retrieval as R
 from ..operators import scoring as S
@@ -133,7 +135,7 @@ def shortest_path(t):
 
 @query
 def k_shortest_paths(t):
-    return G.paths(FX.edges(t).where("rel_type = 'FEEDS'"), *PATH_ENDS, 5, directed=True, k=3)
+    return paths.k_shortest(FX.edges(t).where("rel_type = 'FEEDS'"), *PATH_ENDS, 3)
 
 
 def feeds(t):
@@ -172,7 +174,26 @@ def betweenness(t):
 
 @query
 def communities(t):
-    return A.communities(*feeds(t))
+    return community.communities(*feeds(t))
+
+
+@query
+def community_members(t):
+    """Members of the communities of the equipment that feeds each other, with the rest of the equipment by itself."""
+    nodes = FX.nodes(t).where("label = 'Equipment'")
+    return community.members(community.communities(nodes, FX.edges(t).where("rel_type = 'FEEDS'")), nodes)
+
+
+@query
+def closeness_estimate(t):
+    nodes, edges = feeds(t)
+    return estimates.closeness(edges, nodes.count())
+
+
+@query
+def betweenness_estimate(t):
+    nodes, edges = feeds(t)
+    return estimates.betweenness(edges, nodes.count())
 
 
 # --- scores
@@ -309,7 +330,7 @@ def entity_confidence(t):
 
 @query
 def entity_merge(t):
-    return D.merge_entities(X.regex_entities(FX.sentences(t)))
+    return N.merge_entities(X.arriving_entities(FX.sentences(t))).select("id", "place", "name", "type", "confidence", F.size("aliases").alias("n_aliases"))
 
 
 @query
@@ -398,6 +419,13 @@ def dense_topk(t):
     return R.dense_many(vectors_of(t), asked_vectors(t), 10).select("query_id", "id", F.round("score", 5).alias("score"))
 
 
+@query
+def vector_index_topk(t):
+    """The ten nearest by the index of inverted lists; recall against dense_topk is measured in the tests."""
+    centroids = ann.fit(vectors_of(t))
+    return ann.search(ann.assign(vectors_of(t), centroids), centroids, asked_vectors(t), 10).select("query_id", "id", F.round("score", 5).alias("score"))
+
+
 @query
 def rrf_fusion(t):
     """Documents by words and by vectors; an item's vector is that of its own number."""
@@ -416,7 +444,44 @@ def mmr(t):
 @query
 def search_nodes(t):
     """Nodes by the tags of every hundredth part."""
-    return R.search_nodes(FX.nodes(t), t.part.where("p_partkey % 100 = 0").select(FX.tag_of(F.col("p_partkey")).alias("term")))
+    return N.search(FX.nodes(t), t.part.where("p_partkey % 100 = 0").select(FX.tag_of(F.col("p_partkey")).alias("term")))
+
+
+@query
+def search_descriptions(t):
+    """Nodes by name and description; terms are sentences that hold names, pieces of names, and two letters."""
+    nodes = FX.nodes(t).withColumn("description", F.concat(F.lit("made in "), F.col("source_doc_id").cast("string"), F.lit("-"), F.length("node_id").cast("string")))
+    tag = FX.tag_of(F.col("p_partkey"))
+    term = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("check "), FX.tag_word(F.col("p_partkey")), F.lit(" "), tag, F.lit(" now"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("in "), F.col("p_partkey").cast("string"))).otherwise(F.substring(tag, 1, 4))
+    return N.search(nodes, t.part.where("p_partkey % 100 < 3").select(term.alias("term")))
+
+
+def references_of(t) -> DataFrame:
+    """ref, cid of every part as texts write it: the whole id, its end, or with a plant's prefix."""
+    whole = F.regexp_replace(FX.tag_of(F.col("p_partkey")), "-", "")
+    cid = F.when(F.col("p_partkey") % 3 == 0, whole).when(F.col("p_partkey") % 3 == 1, F.substring(whole, -3, 3)).otherwise(F.concat(F.lit("X1-"), whole))
+    return t.part.select(F.col("p_partkey").cast("long").alias("k"), FX.tag_of(F.col("p_partkey")).alias("ref"), cid.alias("cid"))
+
+
+def endpoints_of(t) -> DataFrame:
+    equipment = FX.nodes(t).where("label = 'Equipment'")
+    return equipment.select("node_id", "canonical_id", F.array(F.split("name", " ")[1]).alias("aliases"), F.regexp_extract("canonical_id", "[0-9]+", 0).alias("short_id"))
+
+
+@query
+def resolve_endpoints(t):
+    refs = references_of(t).select("ref", "cid")
+    return N.resolve(refs, endpoints_of(t)).groupBy("cid", "ref").agg(F.count("*").alias("n"), F.min("node_id").alias("first"))
+
+
+@query
+def upsert_resolved(t):
+    """Each part's reference is connected with that of the part 7 keys on."""
+    r = references_of(t)
+    to = r.select((F.col("k") - 7).alias("k"), F.col("ref").alias("target"), F.col("cid").alias("target_cid"))
+    rels = r.withColumnsRenamed({"ref": "source", "cid": "source_cid"}).join(to, "k")
+    rels = rels.select("source", "source_cid", "target", "target_cid", F.lit("CONNECTED_TO").alias("rel_type"), (F.col("k") % 10 / F.lit(10.0)).alias("confidence"), F.when(F.col("k") % 2 == 0, F.col("k").cast("string")).alias("event_time"), F.concat(F.lit("seen with "), "target").alias("evidence"))
+    return N.upsert_resolved(rels, endpoints_of(t))
 
 
 @query

@@ -39,7 +39,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.queries()) - {"risk_assets", "pagerank_20", "k_shortest_paths", "closeness", "shortest_path", "hybrid_rank", "betweenness", "communities"}))
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - {"risk_assets", "pagerank_20", "k_shortest_paths", "closeness", "shortest_path", "hybrid_rank", "betweenness", "communities", "community_members", "closeness_estimate", "betweenness_estimate", "vector_index_topk"}))
 def test_query(spark, duck, name):
     df = queries.queries()[name](spark, SF)
     cols = sorted(df.columns)
@@ -70,7 +70,6 @@ def test_algorithms(ring):
     between = {r.node_id: r.betweenness for r in A.betweenness(edges, 6).collect()}
     assert between["2"] > between["3"] and between["5"] == 0
     assert {r.node_id for r in G.orphans(nodes, edges).collect()} == {"6"}
-    assert len({r.community for r in A.communities(nodes, edges).collect()}) >= 2
 
 
 def test_feeds_of_all_parts(spark, tmp_path):
@@ -135,11 +134,6 @@ def test_queries_read_all_rows(spark):
     assert q("cooccurrence_edges").count() == len(pairs)
 
 
-def test_entities_merge(spark):
-    rows = spark.createDataFrame([(1, "P-101", "Equipment"), (1, "P-102", "Equipment"), (1, "Boiler", "Equipment")], "id long, name string, type string")
-    assert sorted((r.name, r.n_aliases) for r in D.merge_entities(rows).collect()) == [("Boiler", 1), ("P-101", 2)]
-
-
 def test_upload_and_merge(spark):
     base = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d"), (3, "e")], "k long, v string")
