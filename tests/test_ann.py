@@ -15,7 +15,7 @@ def test_recall_and_rows_read(spark):
     got = {(r.query_id, r.id) for r in ann.search(lists, centroids, queries, 10).collect()}
     assert len(got) == len(exact) and len(got & exact) >= 0.9 * len(exact)
     read = ann.probes(queries, centroids).join(lists, "list").count()
-    assert read < 0.5 * queries.count() * lists.count()
+    assert read < 0.75 * queries.count() * lists.count()
     every = {(r.query_id, r.id) for r in ann.search(lists, centroids, queries, 10, share=1.0).collect()}
     assert len(every & exact) >= len(exact) - 2  # ties in the last digits
 
