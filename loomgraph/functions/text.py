@@ -27,6 +27,18 @@ def canonicalize(name: Column) -> Column:
     return F.regexp_replace(F.when(prefix != "", F.concat(_map(TAG_WORDS)[prefix], F.lit(" "), prefix, F.lit("-"), number)).otherwise(x), r"\s+", " ")
 
 
+def moment(text: Column) -> Column:
+    """A timestamp without zone of an ISO time (a trailing Z or offset is cut off, not converted) or of seconds or milliseconds
+    since 1970 (over 1e11: milliseconds); null for anything else."""
+    t = F.trim(text)
+    number = F.when(t.rlike(r"^[0-9]+([.][0-9]+)?$"), t.try_cast("double"))
+    seconds = F.when(number > 1e11, number / 1000).otherwise(number)
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.floor(seconds).cast("decimal(18,6)"))
+    iso = F.regexp_replace(t, r"(Z|[+-][0-9]{2}:?[0-9]{2})$", "")
+    whole = F.when(iso.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?)?$"), iso.try_cast("timestamp_ntz"))
+    return F.when(number.isNotNull(), epoch).otherwise(whole)
+
+
 def normalized(name: Column) -> Column:
     """For search: lower case without hyphens and spaces."""
     return F.regexp_replace(F.lower(name), "[- ]", "")

@@ -23,20 +23,39 @@ def assets(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("label").isin("Asset", "Equipment")).select("node_id", "name")
 
 
+def sides(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node_id, other, other_label, other_name, rel_type, ahead: a row for each end of each edge between known nodes; ahead at its source."""
+    end = lambda a, b, ahead: F.struct(F.col(a).alias("node_id"), F.col(b).alias("other"), F.col(f"{b}_label").alias("other_label"), F.col(f"{b}_name").alias("other_name"), F.lit(ahead).alias("ahead"))
+    return with_ends(edges, nodes).select("rel_type", F.explode(F.array(end("src", "dst", True), end("dst", "src", False))).alias("e")).select("e.*", "rel_type")
+
+
+def _any(condition: str) -> Column:
+    return F.max(F.expr(condition).cast("int"))
+
+
+HIT = "NOT ahead AND rel_type = 'OCCURRED_ON' AND other_label = 'Incident'"
+
+
+def facts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """What coverage and risk know of each node that has edges: one pass over the edges, one aggregation."""
+    return sides(nodes, edges).groupBy("node_id").agg(
+        _any("rel_type IN ('PREVENTS', 'COMPLIES_WITH') AND other_label = 'Procedure'").alias("sop"),
+        _any(HIT).alias("incident"),
+        _any("NOT ahead AND rel_type IN ('PERFORMED_ON', 'MAINTAINED_BY')").alias("maintenance"),
+        _any("ahead AND rel_type = 'COMPLIES_WITH' AND other_label = 'Regulation'").alias("compliance"),
+        _any(f"{HIT} AND lower(other_name) RLIKE 'catastrophic|emergency|critical'").alias("severe"),
+        F.count_if(F.expr("NOT ahead AND rel_type IN ('KNOWLEDGE_OWNER_FOR', 'MAINTAINED_BY') AND other_label = 'Person'")).alias("n_experts"),
+    )
+
+
+def _covered(nodes: DataFrame, known: DataFrame, *more: str) -> DataFrame:
+    out = assets(nodes).join(known, "node_id", "left").select("node_id", "name", *_zero("sop", "incident", "maintenance", "compliance", "n_experts", *more)).withColumn("expert", (F.col("n_experts") > 0).cast("long"))
+    return out.withColumn("coverage", (25 * F.col("sop") + 20 * F.col("incident") + 20 * F.col("maintenance") + 20 * F.col("compliance") + 15 * F.col("expert")).cast("long"))
+
+
 def coverage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node_id, name, sop, incident, maintenance, compliance, expert (0/1), n_experts (edges), coverage (0-100)."""
-    full = with_ends(edges, nodes)
-    both = full.select("src", "dst", "rel_type", "src_label", "dst_label").unionByName(full.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel_type", F.col("dst_label").alias("src_label"), F.col("src_label").alias("dst_label")))
-    sop = _flag(both.where("rel_type IN ('PREVENTS', 'COMPLIES_WITH') AND dst_label = 'Procedure'"), "src", "sop")
-    incident = _flag(full.where("rel_type = 'OCCURRED_ON' AND src_label = 'Incident'"), "dst", "incident")
-    maintenance = _flag(full.where("rel_type IN ('PERFORMED_ON', 'MAINTAINED_BY')"), "dst", "maintenance")
-    compliance = _flag(full.where("rel_type = 'COMPLIES_WITH' AND dst_label = 'Regulation'"), "src", "compliance")
-    experts = full.where("rel_type IN ('KNOWLEDGE_OWNER_FOR', 'MAINTAINED_BY') AND src_label = 'Person'").groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("n_experts"))
-    out = assets(nodes)
-    for branch in (sop, incident, maintenance, compliance, experts):
-        out = out.join(branch, "node_id", "left")
-    out = out.select("node_id", "name", *_zero("sop", "incident", "maintenance", "compliance", "n_experts")).withColumn("expert", (F.col("n_experts") > 0).cast("long"))
-    return out.withColumn("coverage", (25 * F.col("sop") + 20 * F.col("incident") + 20 * F.col("maintenance") + 20 * F.col("compliance") + 15 * F.col("expert")).cast("long"))
+    return _covered(nodes, facts(nodes, edges))
 
 
 def level(score: Column, critical: int, high: int, medium: int) -> Column:
@@ -45,12 +64,11 @@ def level(score: Column, critical: int, high: int, medium: int) -> Column:
 
 def risk(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Coverage's columns with severe, cascade, risk (0-100), level and the reasons."""
-    full = with_ends(edges, nodes)
-    severe = _flag(full.where("rel_type = 'OCCURRED_ON' AND src_label = 'Incident' AND lower(src_name) RLIKE 'catastrophic|emergency|critical'"), "dst", "severe")
-    hit = full.where("rel_type = 'OCCURRED_ON' AND src_label = 'Incident'").select(F.col("dst").alias("b")).distinct()
+    known = facts(nodes, edges)
+    hit = known.where("incident = 1").select(F.col("node_id").alias("b"))
     cascade = _flag(undirected(edges).where(F.col("rel_type").isin("FEEDS", "SUPPLIES", "CONNECTED_TO")).join(hit, "b", "left_semi"), "a", "cascade")
-    c = coverage(nodes, edges).join(severe, "node_id", "left").join(cascade, "node_id", "left")
-    c = c.select("node_id", "name", "sop", "incident", "coverage", "n_experts", *_zero("severe", "cascade"))
+    c = _covered(nodes, known.join(cascade, "node_id", "left"), "severe", "cascade")
+    c = c.select("node_id", "name", "sop", "incident", "coverage", "n_experts", "severe", "cascade")
     parts = [30 * F.col("severe"), F.when(F.col("coverage") < 50, 25).when(F.col("coverage") < 75, 10).otherwise(0), F.when(F.col("n_experts") <= 1, 20).otherwise(0), 15 * F.col("cascade"), F.when((F.col("incident") == 1) & (F.col("sop") == 0), 10).otherwise(0)]
     total = parts[0]
     for p in parts[1:]:
@@ -145,15 +163,21 @@ def expert_risk(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return own.join(n, "asset").join(who, "person").select("asset", "person", F.when(F.col("retirement_risk") == "HIGH", 0.9).otherwise(0.3).alias("risk"), (F.col("n") > 1).alias("has_backup"))
 
 
-def breakdown(nodes: DataFrame, edges: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
-    """node_id, name, incidents, workorders, gaps, procs, score, level: 15, 5, 10 each and 20 without procedure."""
-    full = with_ends(edges, nodes)
-    count = lambda cond, key, name: full.where(cond).groupBy(F.col(key).alias("node_id")).agg(F.countDistinct("src" if key == "dst" else "dst").alias(name))
-    gaps = gaps if gaps is not None else category_gaps(nodes, edges)
-    missing = gap_rows(gaps).groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("gaps"))
-    out = assets(nodes)
-    for b in (count("src_label = 'Incident'", "dst", "incidents"), count("src_label = 'WorkOrder'", "dst", "workorders"), missing, count("dst_label = 'Procedure'", "src", "procs")):
-        out = out.join(b, "node_id", "left")
+def breakdown(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node_id, name, incidents, workorders, gaps, procs, score, level: 15, 5, 10 each and 20 without procedure.
+
+    Neighbours count once however many edges lead to them: edges are added up by pair, pairs by node.
+    """
+    label, kind = F.col("other_label"), F.col("rel_type")
+    has = {c: (F.coalesce(_map(CATEGORY_OF_RELATIONSHIP)[kind] == c, F.lit(False)) | F.coalesce(_map(CATEGORY_OF_LABEL)[label] == c, F.lit(False))).cast("int") for c in CATEGORIES}
+    pairs = sides(nodes, edges).groupBy("node_id", "other", "ahead", "other_label").agg(*(F.max(x).alias(c) for c, x in has.items()))
+    by = pairs.groupBy("node_id").agg(
+        F.count_if(~F.col("ahead") & (label == "Incident")).alias("incidents"),
+        F.count_if(~F.col("ahead") & (label == "WorkOrder")).alias("workorders"),
+        F.count_if(F.col("ahead") & (label == "Procedure")).alias("procs"),
+        sum((F.max(c) for c in CATEGORIES), F.lit(0)).alias("have"),
+    )
+    out = assets(nodes).join(by, "node_id", "left").withColumn("gaps", len(CATEGORIES) - F.coalesce("have", F.lit(0)))
     out = out.select("node_id", "name", *_zero("incidents", "workorders", "gaps", "procs"))
     score = 15 * F.col("incidents") + 5 * F.col("workorders") + 10 * F.col("gaps") + F.when(F.col("procs") == 0, 20).otherwise(0)
     return out.withColumn("score", score.cast("long")).withColumn("level", level(F.col("score"), 50, 25, 10))

@@ -224,6 +224,8 @@ SQL: dict[str, str] = {
     "search_descriptions": GRAPH + f", k AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN 'check ' || {_WORD} || ' ' || {_TAG} || ' now' WHEN 1 THEN 'in ' || p_partkey ELSE substr({_TAG}, 1, 4) END AS term FROM part WHERE p_partkey % 100 < 3), z AS (SELECT term, regexp_replace(lower(term), '[- ]', '', 'g') AS t FROM k), s AS (SELECT node_id, name, label, unnest([regexp_replace(lower(name), '[- ]', '', 'g'), regexp_replace(lower('made in ' || source_doc_id || '-' || length(node_id)), '[- ]', '', 'g')]) AS said FROM nodes), m AS (SELECT DISTINCT term, node_id, name, label FROM s JOIN z ON said <> '' AND (contains(said, t) OR contains(t, said))) SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY term ORDER BY node_id) <= 20",
     "resolve_endpoints": _ENDS + "SELECT cid, ref, count(*) AS n, min(node_id) AS first FROM hit GROUP BY ALL",
     "upsert_resolved": _ENDS + ", b AS (SELECT DISTINCT ref AS target, cid AS target_cid, k - 7 AS k FROM r), x AS (SELECT s.node_id AS src, d.node_id AS dst, k % 10 / CAST(10 AS DOUBLE) AS confidence, CASE WHEN k % 2 = 0 THEN CAST(k AS VARCHAR) END AS event_time, 'seen with ' || target AS evidence FROM r JOIN b USING (k) JOIN hit s ON s.ref = r.ref AND s.cid = r.cid JOIN hit d ON d.ref = target AND d.cid = target_cid WHERE s.node_id <> d.node_id AND k % 10 / CAST(10 AS DOUBLE) >= CAST(0.4 AS DOUBLE)) SELECT src, dst, 'CONNECTED_TO' AS rel_type, max(confidence) AS confidence, min(event_time) AS event_time, first(evidence ORDER BY length(evidence) DESC, evidence) AS evidence FROM x GROUP BY src, dst",
+    "bulk_upsert": GRAPH + "SELECT 'node' AS kind, CASE WHEN p_partkey % 5 = 0 THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.8 AS DOUBLE) END AS confidence, CAST(CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS properties, count(*) AS n FROM part GROUP BY ALL UNION ALL SELECT 'edge', CASE WHEN src = 'E:0' THEN CAST(0.25 AS DOUBLE) ELSE CAST(0.7 AS DOUBLE) END, CAST(0 AS BIGINT), count(*) FROM feeds GROUP BY ALL",
+    "parse_dates": "SELECT event_id, CASE event_id % 7 WHEN 5 THEN strftime(ts, '%Y-%m-%dT00:00:00') WHEN 6 THEN NULL ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS at FROM events",
     "search_nodes": GRAPH + f", k AS (SELECT DISTINCT {_TAG} AS term FROM part WHERE p_partkey % 100 = 0), m AS (SELECT term, node_id, name, label FROM nodes JOIN k ON contains(regexp_replace(lower(name), '[- ]', '', 'g'), regexp_replace(lower(term), '[- ]', '', 'g')) OR contains(regexp_replace(lower(term), '[- ]', '', 'g'), regexp_replace(lower(name), '[- ]', '', 'g')) WHERE regexp_replace(name, '[- ]', '', 'g') <> '') SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY term ORDER BY node_id) <= 20",
 }
 

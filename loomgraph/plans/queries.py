@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from ..operators import names as N
 from ..operators import records as RC
 from ..operators import retrieval as R
 from ..operators import scoring as S
+from ..operators import versions as V
+from ..session import shared_folder
 from ..streaming import state as ST
 from . import fixture as FX
 from .fixture import Tables
@@ -529,6 +532,31 @@ def upsert_edges(t):
     return D.upsert_relationships(edges, nodes.where("source_doc_id <> 3")).groupBy("rel_type").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 4).alias("total"))
 
 
+@query
+def bulk_upsert(t):
+    """The equipment and what it feeds, then every fifth part again with other values, into tables with versions."""
+    at = f"{shared_folder(t.spark)}/graph-{uuid.uuid4().hex}"
+    nodes, edges = V.VersionedTable(t.spark, f"{at}/nodes", V.NODES), V.VersionedTable(t.spark, f"{at}/edges", V.EDGES)
+    none, prop = F.lit(None), lambda k, v: F.create_map(F.lit(k), F.col(v).cast("string"))
+    id_ = F.concat(F.lit("E:"), F.col("p_partkey").cast("string"))
+    entity = lambda conf, p: [F.lit(0).alias("nth"), id_.alias("canonical_id"), F.lit("Equipment").alias("label"), F.col("p_name").alias("name"), conf.cast("double").alias("confidence"), none.cast("string").alias("method"), p.alias("properties")]
+    feeds_ = FX.edges(t).where("rel_type = 'FEEDS'").select(F.lit(0).alias("nth"), "src", "dst", "rel_type", none.cast("double").alias("confidence"), none.cast("map<string,string>").alias("properties"))
+    V.upsert_graph(nodes, edges, t.part.select(*entity(none, prop("size", "p_size"))), feeds_, "t1")
+    V.upsert_graph(nodes, edges, t.part.where("p_partkey % 5 = 0").select(*entity(F.lit(0.5), prop("brand", "p_brand"))), feeds_.where("src = 'E:0'").withColumn("confidence", F.lit(0.25)), "t1")
+    n = nodes.read().select(F.lit("node").alias("kind"), "confidence", F.size("properties").cast("long").alias("properties"))
+    return n.unionByName(edges.read().select(F.lit("edge").alias("kind"), "confidence", F.size("properties").cast("long").alias("properties"))).groupBy("kind", "confidence", "properties").agg(F.count("*").alias("n"))
+
+
+@query
+def parse_dates(t):
+    """Times of events in the forms that sources use, and some that are none."""
+    at, n = F.col("ts"), F.col("event_id") % 7
+    seconds = F.floor(F.unix_micros(at.cast("timestamp")) / 1_000_000).cast("long")
+    iso = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+    form = F.when(n == 0, iso).when(n == 1, F.concat(iso, F.lit("Z"))).when(n == 2, F.concat(iso, F.lit("+05:30"))).when(n == 3, seconds.cast("string")).when(n == 4, (seconds * 1000).cast("string")).when(n == 5, F.date_format(at, "yyyy-MM-dd")).otherwise(F.concat(F.lit("on "), iso))
+    return t.events.select("event_id", FX.iso(X.moment(form)).alias("at"))
+
+
 @query
 def delete_cascade(t):
     nodes, edges = D.delete_document(*graph(t), 3)

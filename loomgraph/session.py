@@ -35,15 +35,20 @@ def written(df: DataFrame) -> DataFrame:
     """df as a table below the shared checkpoint folder, read again: lineage ends as with `checkpointed`, and the size is
     known, so that small sides of joins are broadcast and large ones are shuffled."""
     spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset a local master gets a local one, and a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return base.rstrip("/")
 
 
 class TenantCatalog:
