@@ -203,3 +203,14 @@ def test_equal_pieces_are_spread(spark):
     got = packing.pack(spark.createDataFrame(rows, packing.PIECES), capacity=1000, group_rows=500, rounds=0).toPandas()
     assert len(got) == 5000 and got.groupby("sequence_id")["length"].sum().max() <= 1000
     assert (got["sequence_id"].to_numpy() >> 24 & 0xFFFF).tolist() and got.groupby(got["sequence_id"] // (1 << 24)).size().max() < 700
+
+
+def test_language_stage_without_labels(spark):
+    """Where no row has a lang nothing was learnt, so no document goes; repeated rows and nulls stay as they are."""
+    import corpus_pipeline
+
+    rows = [(1, "a text", None, "s", 6, 0), (1, "a text", None, "s", 6, 0), (2, None, None, None, None, 0), (3, "", None, "s", 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score int")
+    got = corpus_pipeline.language_id(spark, docs, "").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted((r[:5] for r in rows), key=repr)
+    assert corpus_pipeline.language_id(spark, docs.where("false"), "").collect() == []
