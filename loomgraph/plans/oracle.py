@@ -88,6 +88,13 @@ pr{i} AS MATERIALIZED (SELECT f.node_id, (1 - CAST(0.85 AS DOUBLE)) / n + CAST(0
     return out + f",\npr AS (SELECT node_id, r AS rank FROM pr{rounds})"
 
 
+def _equipment_rank(rounds: int = 20) -> str:
+    out = ",\nod AS (SELECT src, count(*) AS o FROM feeds GROUP BY 1), er0 AS MATERIALIZED (SELECT node_id, 1 - CAST(0.85 AS DOUBLE) AS r FROM assets)"
+    for i in range(1, rounds + 1):
+        out += f", er{i} AS MATERIALIZED (SELECT a.node_id, 1 - CAST(0.85 AS DOUBLE) + CAST(0.85 AS DOUBLE) * coalesce(x.s, 0) AS r FROM assets a LEFT JOIN (SELECT dst, sum(r / o) AS s FROM feeds JOIN od USING (src) JOIN er{i - 1} p ON p.node_id = feeds.src GROUP BY 1) x ON x.dst = a.node_id)"
+    return out + f" SELECT node_id, name, round(r, 6) AS score FROM er{rounds} JOIN assets USING (node_id) ORDER BY 3 DESC, 1 LIMIT 50"
+
+
 _HOP2 = f""",
 seed AS (SELECT node_id FROM nodes WHERE name = '{SEED_NAME}'), h1 AS (SELECT DISTINCT b AS node_id FROM und WHERE a IN (SELECT node_id FROM seed)), h2 AS (SELECT DISTINCT b AS node_id FROM und WHERE a IN (SELECT node_id FROM h1)),
 hops AS (SELECT node_id, min(h) AS hops FROM (SELECT node_id, 0 AS h FROM seed UNION ALL SELECT node_id, 1 FROM h1 UNION ALL SELECT node_id, 2 FROM h2) GROUP BY 1)
@@ -226,6 +233,7 @@ SQL: dict[str, str] = {
     "upsert_resolved": _ENDS + ", b AS (SELECT DISTINCT ref AS target, cid AS target_cid, k - 7 AS k FROM r), x AS (SELECT s.node_id AS src, d.node_id AS dst, k % 10 / CAST(10 AS DOUBLE) AS confidence, CASE WHEN k % 2 = 0 THEN CAST(k AS VARCHAR) END AS event_time, 'seen with ' || target AS evidence FROM r JOIN b USING (k) JOIN hit s ON s.ref = r.ref AND s.cid = r.cid JOIN hit d ON d.ref = target AND d.cid = target_cid WHERE s.node_id <> d.node_id AND k % 10 / CAST(10 AS DOUBLE) >= CAST(0.4 AS DOUBLE)) SELECT src, dst, 'CONNECTED_TO' AS rel_type, max(confidence) AS confidence, min(event_time) AS event_time, first(evidence ORDER BY length(evidence) DESC, evidence) AS evidence FROM x GROUP BY src, dst",
     "bulk_upsert": GRAPH + "SELECT 'node' AS kind, CASE WHEN p_partkey % 5 = 0 THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.8 AS DOUBLE) END AS confidence, CAST(CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS properties, count(*) AS n FROM part GROUP BY ALL UNION ALL SELECT 'edge', CASE WHEN src = 'E:0' THEN CAST(0.25 AS DOUBLE) ELSE CAST(0.7 AS DOUBLE) END, CAST(0 AS BIGINT), count(*) FROM feeds GROUP BY ALL",
     "parse_dates": "SELECT event_id, CASE event_id % 7 WHEN 5 THEN strftime(ts, '%Y-%m-%dT00:00:00') WHEN 6 THEN NULL ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS at FROM events",
+    "equipment_pagerank": GRAPH + _equipment_rank(),
     "search_nodes": GRAPH + f", k AS (SELECT DISTINCT {_TAG} AS term FROM part WHERE p_partkey % 100 = 0), m AS (SELECT term, node_id, name, label FROM nodes JOIN k ON contains(regexp_replace(lower(name), '[- ]', '', 'g'), regexp_replace(lower(term), '[- ]', '', 'g')) OR contains(regexp_replace(lower(term), '[- ]', '', 'g'), regexp_replace(lower(name), '[- ]', '', 'g')) WHERE regexp_replace(name, '[- ]', '', 'g') <> '') SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY term ORDER BY node_id) <= 20",
 }
 

@@ -152,6 +152,11 @@ def pagerank_20(t):
     return A.pagerank(nodes, edges).select("node_id", F.round("rank", 9).alias("rank"))
 
 
+@query
+def equipment_pagerank(t):
+    return A.equipment_pagerank(*graph(t))
+
+
 @query
 def node_similarity(t):
     return A.similarity(FX.edges(t).where("rel_type = 'FEEDS'"))
