@@ -94,3 +94,40 @@ def watchdog(jobs: DataFrame, as_of: str, minutes: int = 15) -> DataFrame:
     late = F.col("updated_at") < F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {minutes} MINUTES")
     stuck = F.col("status").isin("pending", "processing", "deleting") & late
     return jobs.withColumn("new_status", F.when(stuck & (F.col("status") == "deleting"), "failed_delete").when(stuck, "failed").otherwise(F.col("status")))
+
+
+def new_uploads(batch: DataFrame, documents: DataFrame) -> DataFrame:
+    """The batch (place, filename, file_hash) with `outcome`: `name` where a document has the filename, `batch` where an earlier file
+    of the batch that no name ruled out has the hash, `server` where a document has it, else `upload`. Nulls equal nothing."""
+    named = documents.where("filename IS NOT NULL").select("filename", F.lit(True).alias("by_name")).distinct()
+    hashed = documents.where("file_hash IS NOT NULL").select("file_hash", F.lit(True).alias("by_hash")).distinct()
+    rows = batch.join(named, "filename", "left").join(hashed, "file_hash", "left")
+    first = rows.where("by_name IS NULL").groupBy("file_hash").agg(F.min("place").alias("first"))  # added up before the shuffle, so a hot hash is no hot group
+    rows = rows.join(first, "file_hash", "left")
+    outcome = F.when(F.col("by_name"), "name").when(F.col("first") < F.col("place"), "batch").when(F.col("by_hash"), "server").otherwise("upload")
+    return rows.select("place", "filename", "file_hash", outcome.alias("outcome"))
+
+
+def audited(actions: DataFrame, audit: DataFrame | None = None) -> DataFrame:
+    """The audit table with a row for each action (actor, action, query, at, and any details): details as JSON, without those that are null."""
+    fixed = ["actor", "action", "query", "at"]
+    details = [c for c in actions.columns if c not in fixed]
+    rows = actions.select(*fixed, (F.to_json(F.struct(*details)) if details else F.lit("{}")).alias("details"))
+    return rows if audit is None else audit.unionByName(rows)
+
+
+def cascade(document_id: int, at: str, nodes: DataFrame, edges: DataFrame, documents: DataFrame, chunks: DataFrame, points: DataFrame, audit: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables after a document is deleted: its chunks and points go, then its edges and the nodes of it that are isolated by
+    that; the document stays as `deleted`; the audit gets one row, with how many chunks and points went."""
+    mine = F.col("document_id").eqNullSafe(F.lit(document_id))
+    left_nodes, left_edges = delete_document(nodes, edges, document_id)
+    gone = chunks.where(mine).agg(F.count("*").alias("chunks")).crossJoin(points.where(mine).agg(F.count("*").alias("points")))  # one row each
+    action = gone.select(F.lit("system").alias("actor"), F.lit("delete_document").alias("action"), F.lit(str(document_id)).alias("query"), F.lit(at).alias("at"), "chunks", "points")
+    return {
+        "nodes": left_nodes,
+        "edges": left_edges,
+        "documents": documents.withColumn("status", F.when(mine, "deleted").otherwise(F.col("status"))),
+        "chunks": chunks.where(~mine),
+        "points": points.where(~mine),
+        "audit": audited(action, audit),
+    }

@@ -54,6 +54,30 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, names: list[str], depth: in
     return found.select("node_id", "name", "label", "hops", F.when(F.col("hops") == 0, 1.0).otherwise(0.5).alias("score"))
 
 
+def trail_edges(nodes: DataFrame, edges: DataFrame, names: list[str], depth: int = 3, limit: int = 500) -> DataFrame:
+    """src, dst, rel_type, edge_id, hops: the first edges, by (hops, edge_id), on trails of at most depth edges from the nodes of these
+    names. hops is that of an edge's nearer end: the shortest way there never takes the edge itself, so it is on a trail if hops < depth."""
+    seeds = nodes.where(F.col("name").isin(names)).select("node_id").distinct()
+    near = reachable(seeds, edges, depth - 1)
+    met = undirected(edges).select("edge_id", F.col("a").alias("node_id")).join(near, "node_id").groupBy("edge_id").agg(F.min("hops").alias("hops"))
+    first = met.orderBy("hops", "edge_id").limit(limit)
+    return edges.select("src", "dst", "rel_type", "edge_id").join(first, "edge_id").select("src", "dst", "rel_type", "edge_id", "hops")
+
+
+def health_report(nodes: DataFrame, edges: DataFrame, groups: DataFrame, small: int = 2, samples: int = 10) -> DataFrame:
+    """check, n, samples: how many orphans, shared canonical ids, unsure edges and groups (node_id, community) of at most `small` nodes
+    there are, and the first few of each, `|` between them. Counts are of all rows; a check that finds nothing has n = 0."""
+    sizes = groups.groupBy("community").agg(F.count("*").alias("n")).where(F.col("n") <= small)
+    found = {"orphan_nodes": orphans(nodes, edges).select("node_id"), "duplicate_ids": duplicates(nodes).select("canonical_id"), "low_confidence_edges": low_confidence(edges).select("edge_id"), "small_groups": sizes.select(F.col("community").cast("string"))}
+    out = None
+    for check, rows in found.items():
+        rows = rows.toDF("item")
+        first = rows.orderBy("item").limit(samples).agg(F.array_join(F.array_sort(F.collect_list("item")), "|").alias("samples"))
+        row = rows.agg(F.count("*").alias("n")).crossJoin(first).select(F.lit(check).alias("check"), "n", "samples")  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def induced(edges: DataFrame, kept: DataFrame) -> DataFrame:
     """Edges with both ends in kept (node_id)."""
     ids = kept.select("node_id").distinct()

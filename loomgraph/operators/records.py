@@ -123,3 +123,8 @@ def lessons(nodes: DataFrame, edges: DataFrame, topic: str, most: int = 10) -> D
 def identifier(name: Column) -> Column:
     """A name as an identifier: all but letters, digits and _ becomes _."""
     return F.regexp_replace(name, "[^a-zA-Z0-9_]", "_")
+
+
+def delete_tenant(points: DataFrame, tenant: str) -> DataFrame:
+    """Points of all tenants but one; those of no tenant stay."""
+    return points.where(~F.col("tenant_id").eqNullSafe(F.lit(tenant)))

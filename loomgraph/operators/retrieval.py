@@ -124,11 +124,11 @@ def fuse(chunks: DataFrame, *ranked: DataFrame) -> DataFrame:
     return rrf(*arms, key=["query_id", "text"]).join(ids, ["query_id", "text"])
 
 
-def section_filter(found: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """found without chunks whose section_type doesn't go with the query's intent; other intents take any."""
+def section_filter(found: DataFrame, chunks: DataFrame, queries: DataFrame, kind: Column | None = None) -> DataFrame:
+    """found without chunks whose section_type doesn't go with the query's intent (or the given one); other intents take any."""
     allowed = F.coalesce(*(F.when(F.col("intent") == k, F.col("section_type").isin(v)) for k, v in INTENT_SECTIONS.items()), F.lit(True))
     kinds = chunks.select("id", F.coalesce("section_type", F.lit("general")).alias("section_type"))
-    asked = queries.select("query_id", intent(F.col("query")).alias("intent"))
+    asked = queries.select("query_id", (intent(F.col("query")) if kind is None else kind).alias("intent"))
     return found.join(kinds, "id").join(asked, "query_id").where(allowed).drop("section_type", "intent")
 
 
@@ -237,14 +237,14 @@ def citations(ranked: DataFrame, by: str = "query_id") -> DataFrame:
     return rows.select(by, "citation", "id", F.concat(F.substring("text", 1, 180), F.lit("...")).alias("snippet"))
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 20, top: int = 8) -> DataFrame:
-    """query_id, item, id, text, rrf, rerank: the whole path for each query (query_id, query, embedding).
+def retrieve(chunks: DataFrame, queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 20, top: int = 8, kind: Column | None = None) -> DataFrame:
+    """query_id, item, id, text, rrf, rerank: the whole path for each query (query_id, query, embedding); kind: an intent for all.
 
     chunks: id, text, embedding, section_type. Dense search within the sections that go with the query's intent, BM25, fusion by
     text, diversity, graph nodes of the tags met, rerank by words, compression. id is null for graph nodes; item
     names both.
     """
-    near = section_filter(dense_many(chunks, queries, k), chunks, queries)
+    near = section_filter(dense_many(chunks, queries, k), chunks, queries, kind)
     near = top_k(near.drop("rank"), k)
     fused = checkpointed(fuse(chunks, near, top_k(bm25(chunks, queries), k)))
     asked = queries.select("query_id", "query", F.col("embedding").alias("query_vector"))
@@ -258,3 +258,12 @@ def retrieve(chunks: DataFrame, queries: DataFrame, nodes: DataFrame, edges: Dat
     best = scored.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rerank"), "place", "item"))).where(F.col("_r") <= top)
     short = compress(best.select(F.struct("query_id", "item").alias("id"), "text", "words"))
     return best.drop("text").join(short.select("id.query_id", "id.item", "text"), ["query_id", "item"]).select("query_id", "item", "id", "text", "rrf", "rerank")
+
+
+def recall_at(got: DataFrame, good: DataFrame, ks: list[int]) -> DataFrame:
+    """k, recall, queries: the mean share of a query's relevant rows (query_id, id) among the first k got (query_id, id, rank). Queries
+    without relevant rows have no recall and don't count."""
+    good = good.select("query_id", "id").distinct()
+    rank = good.join(got.groupBy("query_id", "id").agg(F.min("rank").alias("rank")), ["query_id", "id"], "left")
+    per = rank.select("query_id", "rank", F.explode(F.array(*map(F.lit, ks))).alias("k")).groupBy("query_id", "k").agg((F.count_if(F.coalesce(F.col("rank") <= F.col("k"), F.lit(False))) / F.count("*")).alias("recall"))
+    return per.groupBy("k").agg(F.avg("recall").alias("recall"), F.count("*").alias("queries"))

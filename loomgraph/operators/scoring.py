@@ -190,6 +190,43 @@ def risk_assets(scored: DataFrame, ranks: DataFrame, top: int = 20) -> DataFrame
     return x.orderBy(F.desc("score"), "node_id").limit(top)
 
 
+EXPERT_LINKS = ("MAINTAINED_BY", "INSPECTED_BY", "OPERATED_BY", "KNOWLEDGE_OWNER", "OWNED_BY", "KNOWLEDGE_OWNER_FOR")
+
+
+def _joined(parts: list[tuple[Column, Column | str]], by: str, otherwise: str) -> Column:
+    """What applies of (condition, text), in order, as one text."""
+    said = F.array_compact(F.array(*(F.when(c, t) for c, t in parts)))
+    return F.when(F.size(said) > 0, F.array_join(said, by)).otherwise(otherwise)
+
+
+def risk_profiles(nodes: DataFrame, edges: DataFrame, ranks: DataFrame, written_at: DataFrame, as_of: str) -> DataFrame:
+    """What risk_assets scores, told in full, of every asset: node_id, name, score, level, pagerank, reason, action, retiring
+    (names of experts at risk of leaving, `|` between them), sop_age (days since the newest document of its procedures; 0 without any).
+
+    ranks: node_id, rank. written_at: node_id of procedures and `at` (timestamps of their documents; nulls are passed over).
+    """
+    scored = breakdown(nodes, edges).drop("level")
+    at_risk = F.col("retirement_risk") == "HIGH"
+    if "succession_risk" in nodes.columns:
+        at_risk = F.coalesce(at_risk, F.lit(False)) | F.col("succession_risk").isin("High", "Critical")
+    people = nodes.where((F.col("label") == "Person") & at_risk).select(F.col("node_id").alias("src"), F.col("name").alias("person"))
+    retiring = edges.where(F.col("rel_type").isin(*EXPERT_LINKS)).select("src", F.col("dst").alias("node_id")).join(people, "src").select("node_id", "person").distinct()
+    retiring = retiring.groupBy("node_id").agg(F.array_join(F.array_sort(F.collect_list("person")), "|").alias("retiring"))
+    newest = written_at.groupBy(F.col("node_id").alias("dst")).agg(F.max("at").alias("at"))
+    ages = edges.select(F.col("src").alias("node_id"), "dst").join(newest, "dst").groupBy("node_id").agg(F.max("at").alias("newest"))
+    x = scored.join(ranks.select("node_id", F.col("rank").alias("pagerank")), "node_id", "left").join(retiring, "node_id", "left").join(ages, "node_id", "left")
+    boost = F.least(F.lit(30.0), 200 * F.coalesce("pagerank", F.lit(0.0)))
+    total = F.least(F.lit(100.0), F.col("score") + boost)
+    count = lambda c, text: F.concat(F.col(c).cast("string"), F.lit(text))
+    reason = _joined([(F.col("incidents") >= 1, count("incidents", " recent incidents")), (F.col("gaps") > 0, count("gaps", " missing SOPs")), (F.col("procs") == 0, "No active procedures"), (F.col("workorders") > 0, count("workorders", " active work orders")), (boost > 15, "High systemic connectivity (Hub)")], " + ", "Low documentation coverage")
+    action = _joined([(F.col("gaps") > 0, "Create missing SOPs"), (F.col("procs") == 0, "Document standard operating procedures"), (F.col("incidents") > 0, "Review incident root causes")], ". ", "Review documentation coverage")
+    days = F.timestamp_diff("DAY", F.col("newest").cast("timestamp_ntz"), F.lit(as_of).cast("timestamp_ntz"))
+    return x.select(
+        "node_id", "name", F.round(total, 4).alias("score"), level(total, 50, 25, 10).alias("level"), F.round(F.coalesce("pagerank", F.lit(0.0)), 4).alias("pagerank"),
+        reason.alias("reason"), action.alias("action"), F.coalesce("retiring", F.lit("")).alias("retiring"), F.coalesce(F.greatest(F.lit(0), days), F.lit(0)).cast("long").alias("sop_age"),
+    )
+
+
 def risk_timeline(nodes: DataFrame, as_of: str, retire_days: int = 365) -> DataFrame:
     """Retirements of people at HIGH risk (undated: as_of plus a year) and procedures or incidents over a year old."""
     at = F.lit(as_of).cast("timestamp_ntz")

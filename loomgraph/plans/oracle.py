@@ -262,3 +262,82 @@ SQL |= {
     "lessons_evidence": GRAPH + "SELECT DISTINCT und.a AS incident, o.name AS other FROM und JOIN nodes i ON i.node_id = und.a AND i.label = 'Incident' JOIN nodes o ON o.node_id = und.b WHERE contains(o.name, 'Pump') ORDER BY 1, 2 LIMIT 10",
     "dashboard_summary": GRAPH + f"SELECT (SELECT count(*) FROM orders WHERE {_JOB} = 'completed') AS completed, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM assets) AS assets, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM conversations) AS chunks",
 }
+
+_NAME = f"({_WORD} || ' ' || {_TAG})"
+_TAGS = r"'\b([A-Z]{1,3}-\d{2,4}[A-Z]?)\b'"
+_NORM = lambda c: f"regexp_replace(lower({c}), '[- ]', '', 'g')"
+_ASKED = f"""q AS (SELECT CAST(p_partkey AS BIGINT) AS query_id, CASE p_partkey % 4 WHEN 0 THEN 'Why does ' || {_NAME} || ' vibrate' WHEN 1 THEN 'status ' || {_TAG} || ' ' || p_brand WHEN 2 THEN 'the rules of part ' || p_partkey ELSE 'nothing known' END AS query,
+  CASE WHEN p_partkey % 4 = 2 THEN 'is ' || {_NAME} || ' safe' END AS sub FROM part)"""
+_SEEDS = GRAPH + f""", {_ASKED},
+w AS (SELECT query_id, 0 AS n, query AS term FROM q UNION ALL SELECT query_id, 1, sub FROM q WHERE sub IS NOT NULL),
+kw AS (SELECT query_id, unnest(k[1:5]) AS term, generate_subscripts(k[1:5], 1) - 1 AS n FROM (SELECT query_id, list_filter(k0, lambda x, i: list_position(k0, x) = i) AS k FROM (SELECT query_id, list_filter(regexp_extract_all(query, '[A-Za-z0-9][A-Za-z0-9\\-]*'), lambda x: length(x) > 3 AND lower(x) NOT IN ({_q(STOP_WORDS)})) AS k0 FROM q))),
+terms AS (SELECT term, {_NORM("term")} AS t FROM (SELECT term FROM w UNION SELECT term FROM kw)),
+nn AS (SELECT node_id, name, {_NORM("name")} AS m FROM nodes),
+found AS (SELECT term, node_id, name FROM (SELECT term, node_id, name, row_number() OVER (PARTITION BY term ORDER BY node_id) AS r FROM terms JOIN nn ON contains(m, t) OR contains(t, m)) WHERE r <= 20),
+h1 AS (SELECT query_id, n, node_id, name FROM w JOIN found USING (term)),
+kc AS (SELECT query_id, n, term, (SELECT count(*) FROM found f WHERE f.term = kw.term) AS hits FROM kw WHERE query_id NOT IN (SELECT query_id FROM h1)),
+kb AS (SELECT *, coalesce(sum(hits) OVER (PARTITION BY query_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM kc),
+h AS (SELECT * FROM h1 UNION ALL SELECT query_id, n, node_id, name FROM kb JOIN found USING (term) WHERE before < 5),
+five AS (SELECT query_id, 1 AS kind, n, node_id, name FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n, node_id) AS r FROM h) WHERE r <= 5),
+tg AS (SELECT query_id, 0 AS kind, generate_subscripts(g, 1) - 1 AS n, '' AS node_id, unnest(g) AS name FROM (SELECT query_id, regexp_extract_all(query, {_TAGS}, 1) AS g FROM q)),
+u AS (SELECT *, row_number() OVER (PARTITION BY query_id, name ORDER BY kind, n, node_id) AS r FROM (SELECT * FROM five UNION ALL SELECT * FROM tg))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY kind, n, node_id, name) - 1 AS place, name FROM u WHERE r = 1"""
+_GOOD = f"WITH qs AS (SELECT item_id AS query_id, text AS query FROM benchmark), {_BM25}, wi AS (SELECT DISTINCT id AS query_id, array_to_string(w[i:i + 9], ' ') AS g FROM {_RUNS.format('item_id', 'benchmark')}), wd AS (SELECT DISTINCT id, array_to_string(w[i:i + 9], ' ') AS g FROM {_RUNS.format('doc_id', 'documents')}), good AS (SELECT DISTINCT query_id, id FROM wd JOIN wi USING (g))"
+_UPLOADS = "d AS (SELECT doc_id AS place, source || '/' || length(text) AS filename, sha256(text) AS file_hash, source FROM documents), b AS (SELECT *, filename IN (SELECT filename FROM d WHERE place % 50 = 0) AS named FROM d), f AS (SELECT file_hash, min(place) AS first FROM b WHERE NOT named GROUP BY 1)"
+
+SQL |= {
+    "procedures_lookup": GRAPH + f""", q AS (SELECT CAST(p_partkey AS BIGINT) AS query_id, CASE WHEN p_partkey % 4 < 2 THEN {_NAME} WHEN p_partkey % 4 = 2 THEN p_brand ELSE 'no such thing' END AS mode FROM part),
+      near AS (SELECT DISTINCT query_id, p.name FROM q JOIN assets a ON a.name = mode JOIN und ON und.a = a.node_id JOIN nodes p ON p.node_id = und.b AND p.label = 'Procedure'),
+      broad AS (SELECT DISTINCT query_id, p.name FROM q JOIN nodes p ON p.label = 'Procedure' AND contains(p.name, mode)),
+      arms AS (SELECT *, 0 AS arm FROM near UNION ALL SELECT *, 1 FROM broad UNION ALL SELECT query_id, unnest(['General safety', 'Work permits']), 2 FROM q),
+      k AS (SELECT *, row_number() OVER (PARTITION BY query_id, arm ORDER BY name) AS r, min(arm) OVER (PARTITION BY query_id) AS best FROM arms) SELECT query_id, name, arm FROM k WHERE arm = best AND r <= 5""",
+    "regulations_fallback": GRAPH + """, q AS (SELECT DISTINCT source_doc_id, CASE source_doc_id % 3 WHEN 0 THEN 'NATION_' || source_doc_id % 10 WHEN 2 THEN 'no such scope' END AS scope FROM nodes),
+      ok AS (SELECT a, b FROM und JOIN edges USING (edge_id) WHERE edges.rel_type <> 'COMPLIES_WITH' OR source_doc_id % 2 = 0), reg AS (SELECT node_id, name, canonical_id FROM nodes WHERE label = 'Regulation'),
+      near AS (SELECT source_doc_id, name, canonical_id, 0 AS arm FROM (SELECT *, row_number() OVER (PARTITION BY source_doc_id ORDER BY name, canonical_id) AS r FROM (SELECT DISTINCT n.source_doc_id, reg.name, reg.canonical_id FROM nodes n JOIN ok ON ok.a = n.node_id JOIN reg ON reg.node_id = ok.b)) WHERE r <= 10),
+      got AS (SELECT * FROM near UNION ALL SELECT source_doc_id, name, canonical_id, 1 FROM (SELECT DISTINCT source_doc_id FROM q WHERE source_doc_id NOT IN (SELECT source_doc_id FROM near)), (SELECT DISTINCT name, canonical_id FROM reg ORDER BY 1, 2 LIMIT 5)),
+      kept AS (SELECT DISTINCT source_doc_id, name, arm FROM got JOIN q USING (source_doc_id) WHERE contains(lower(name), lower(coalesce(scope, ''))) OR contains(lower(canonical_id), lower(coalesce(scope, ''))))
+      SELECT * FROM kept UNION ALL SELECT source_doc_id, 'General safety', 2 FROM q WHERE source_doc_id NOT IN (SELECT source_doc_id FROM kept)""",
+    "graph_seeds": _SEEDS,
+    "seed_subgraph": GRAPH + f""", st AS (SELECT CAST(p_partkey AS BIGINT) AS query_id, node_id FROM part JOIN nodes ON name = {_NAME}), un AS (SELECT DISTINCT a, b FROM und WHERE rel_type <> 'FEEDS'),
+      l1 AS (SELECT DISTINCT query_id, b AS node_id FROM st JOIN un ON a = node_id), l2 AS (SELECT DISTINCT query_id, b AS node_id FROM l1 JOIN un ON a = node_id),
+      hp AS (SELECT query_id, node_id, min(h) AS hops FROM (SELECT *, 0 AS h FROM st UNION ALL SELECT *, 1 FROM l1 UNION ALL SELECT *, 2 FROM l2) GROUP BY ALL),
+      k AS (SELECT query_id, node_id, hops FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hops, node_id) AS r FROM hp) WHERE r <= 40),
+      en AS (SELECT DISTINCT least(src, dst) AS s, greatest(src, dst) AS d, rel_type FROM edges WHERE rel_type <> 'FEEDS'),
+      m AS (SELECT x.query_id, count(*) AS n_edges FROM k x JOIN en ON s = x.node_id JOIN k y ON y.query_id = x.query_id AND y.node_id = d GROUP BY 1)
+      SELECT query_id, count(*) AS n_nodes, sum(CASE WHEN hops = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END) AS score, max(node_id) AS last, coalesce(any_value(n_edges), 0) AS n_edges FROM k LEFT JOIN m USING (query_id) GROUP BY 1""",
+    "query_routes": f"SELECT conv_id, turn, CASE WHEN intent = 'metadata' THEN 'registry' ELSE 'search' END AS route, CASE WHEN complex THEN 30 ELSE 20 END AS candidates, CASE WHEN complex THEN 15 ELSE 8 END AS answers FROM ({SQL['intent_classify']})",
+    "registry_listing": "SELECT o_orderkey AS id, '- ' || o_orderpriority || ' (Status: ' || CASE o_orderstatus WHEN 'F' THEN 'completed' ELSE 'processing' END || ', Type: pdf, Uploaded: ' || strftime(o_orderdate, '%Y-%m-%d') || ')' AS line FROM orders WHERE o_orderstatus <> 'P'",
+    "lessons_by_topic": GRAPH + f""", tp AS (SELECT DISTINCT CAST(p_partkey % 7 AS BIGINT) AS query_id, {_WORD} AS topic FROM part),
+      dn AS (SELECT q.vec_id AS query_id, v.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id < 7),
+      inc AS (SELECT DISTINCT query_id, und.b AS item FROM tp JOIN nodes o ON contains(o.name, topic) JOIN und ON und.a = o.node_id JOIN nodes i ON i.node_id = und.b AND i.label = 'Incident')
+      SELECT query_id, 'chunk' AS kind, CAST(id AS VARCHAR) AS item, rank FROM dn JOIN tp USING (query_id) WHERE rank <= 5 UNION ALL SELECT query_id, 'incident', item, r FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY item) AS r FROM inc) WHERE r <= 10""",
+    "extract_cached": SENTENCES + f""", kept AS (SELECT id FROM t WHERE id % 3 = 0 AND id % 5 <> 0),
+      nm AS (SELECT id, {_canon("name")} AS name, {_ENT_TYPE} AS type, CAST(0.85 AS DOUBLE) AS confidence, 0 AS arm, i, p FROM (SELECT e.id, name, i, instr(text, name) AS p FROM ent e JOIN t ON t.id = e.id) UNION ALL SELECT id, 'Unit ' || id, 'Entity', CAST(0.6 AS DOUBLE), 1, 0, 0 FROM t WHERE id % 2 = 0),
+      o AS (SELECT id, name, type, confidence, row_number() OVER (PARTITION BY id ORDER BY arm, i, p) - 1 AS place FROM nm WHERE id NOT IN (SELECT id FROM kept))
+      SELECT id, false AS cached, CAST(place AS INTEGER) AS place, name, type, confidence, '' AS target FROM o UNION ALL SELECT id, true, 0, 'kept', 'Document', CAST(0.5 AS DOUBLE), '' FROM kept
+      UNION ALL SELECT id, false, 0, 'Unit ' || id, 'RELATED_TO', CAST(0.7 AS DOUBLE), 'ISO 9001' FROM t WHERE id % 2 = 0 AND id NOT IN (SELECT id FROM kept)""",
+    "extraction_scores": SENTENCES + """, f AS (SELECT DISTINCT id, lower(trim(name)) AS a FROM ent), e AS (SELECT DISTINCT id, lower(trim(b)) AS b FROM (SELECT id, unnest([lower(tag), ' ' || wo, who]) AS b FROM t)),
+      p AS (SELECT * FROM f JOIN e USING (id) WHERE contains(a, b) OR contains(b, a)),
+      sc AS (SELECT id, coalesce(hf / CAST(nf AS DOUBLE), 0) AS p, coalesce(he / CAST(ne AS DOUBLE), 0) AS r FROM (SELECT id, count(*) AS nf FROM f GROUP BY 1) FULL JOIN (SELECT id, count(*) AS ne FROM e GROUP BY 1) USING (id) LEFT JOIN (SELECT id, count(DISTINCT a) AS hf, count(DISTINCT b) AS he FROM p GROUP BY 1) USING (id)),
+      m AS (SELECT count(*) AS texts, avg(p) AS p, avg(r) AS r FROM sc) SELECT texts, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1 FROM m""",
+    "retrieval_recall": _GOOD + ", ks AS (SELECT unnest([1, 3, 5, 10]) AS k), s AS (SELECT k, g.query_id, count(b.rank) FILTER (b.rank <= k) / CAST(count(*) AS DOUBLE) AS recall FROM good g CROSS JOIN ks LEFT JOIN (SELECT * FROM best WHERE rank <= 10) b ON b.query_id = g.query_id AND b.id = g.id GROUP BY ALL) SELECT k, round(avg(recall), 6) AS recall, count(*) AS queries FROM s GROUP BY 1",
+    "trail_edges": GRAPH + _HOP2 + "SELECT src, dst, rel_type, edge_id, least(coalesce(x.hops, 9), coalesce(y.hops, 9)) AS hops FROM edges LEFT JOIN hops x ON x.node_id = src LEFT JOIN hops y ON y.node_id = dst WHERE least(coalesce(x.hops, 9), coalesce(y.hops, 9)) <= 1 ORDER BY hops, edge_id LIMIT 500",
+    "health_report": GRAPH + """, fu AS (SELECT src AS a, dst AS b FROM feeds UNION SELECT dst, src FROM feeds), reach AS (SELECT node_id AS r, node_id AS pos FROM fnodes UNION SELECT reach.r, fu.b FROM reach JOIN fu ON fu.a = reach.pos),
+      sm AS (SELECT component FROM (SELECT pos, min(r) AS component FROM reach GROUP BY 1) GROUP BY 1 HAVING count(*) <= 2),
+      items AS (SELECT 'orphan_nodes' AS k, node_id AS item FROM nodes WHERE node_id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges) UNION ALL SELECT 'duplicate_ids', substr(canonical_id, 1, 4) FROM nodes GROUP BY 2 HAVING count(*) > 1
+        UNION ALL SELECT 'low_confidence_edges', edge_id FROM edges WHERE confidence < 0.5 UNION ALL SELECT 'small_groups', component FROM sm),
+      r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY item) AS r FROM items), ks AS (SELECT unnest(['orphan_nodes', 'duplicate_ids', 'low_confidence_edges', 'small_groups']) AS k)
+      SELECT ks.k AS "check", count(item) AS n, coalesce(string_agg(item, '|' ORDER BY item) FILTER (r <= 10), '') AS samples FROM ks LEFT JOIN r USING (k) GROUP BY 1""",
+    "risk_profiles": BREAKDOWN + _pagerank() + f""", rt AS (SELECT e.dst AS node_id, string_agg(DISTINCT p.name, '|' ORDER BY p.name) AS retiring FROM edges e JOIN nodes p ON p.node_id = e.src AND p.label = 'Person' AND p.retirement_risk = 'HIGH' WHERE e.rel_type = 'MAINTAINED_BY' GROUP BY 1),
+      nw AS (SELECT 'B:' || p_brand AS b, max(l_shipdate) AS shipped FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1), ag AS (SELECT src AS node_id, max(shipped) AS newest FROM edges JOIN nw ON dst = b GROUP BY 1),
+      x AS (SELECT *, least(CAST(30 AS DOUBLE), 200 * coalesce(rank, 0)) AS boost FROM brk3 LEFT JOIN pr USING (node_id) LEFT JOIN rt USING (node_id) LEFT JOIN ag USING (node_id)), y AS (SELECT *, least(CAST(100 AS DOUBLE), score + boost) AS total FROM x)
+      SELECT node_id, round(total, 4) AS score, CASE WHEN total >= 50 THEN 'Critical' WHEN total >= 25 THEN 'High' WHEN total >= 10 THEN 'Medium' ELSE 'Low' END AS level, round(coalesce(rank, 0), 4) AS pagerank,
+        coalesce(nullif(concat_ws(' + ', CASE WHEN incidents >= 1 THEN incidents || ' recent incidents' END, CASE WHEN gaps > 0 THEN gaps || ' missing SOPs' END, CASE WHEN procs = 0 THEN 'No active procedures' END, CASE WHEN workorders > 0 THEN workorders || ' active work orders' END, CASE WHEN boost > 15 THEN 'High systemic connectivity (Hub)' END), ''), 'Low documentation coverage') AS reason,
+        coalesce(nullif(concat_ws('. ', CASE WHEN gaps > 0 THEN 'Create missing SOPs' END, CASE WHEN procs = 0 THEN 'Document standard operating procedures' END, CASE WHEN incidents > 0 THEN 'Review incident root causes' END), ''), 'Review documentation coverage') AS action,
+        coalesce(retiring, '') AS retiring, CAST(coalesce(greatest(0, date_sub('day', newest, TIMESTAMP '{AS_OF}')), 0) AS BIGINT) AS sop_age FROM y""",
+    "upload_batch": f"WITH {_UPLOADS} SELECT place, CASE WHEN named THEN 'name' WHEN first < place THEN 'batch' WHEN file_hash IN (SELECT file_hash FROM d WHERE source IN ('src1', 'src2')) THEN 'server' ELSE 'upload' END AS outcome FROM b LEFT JOIN f USING (file_hash)",
+    "whole_cascade": _DELETE + f""", c AS (SELECT l_orderkey % 100 AS d FROM lineitem), dd AS (SELECT DISTINCT o_orderkey % 100 AS d FROM orders)
+      SELECT 'nodes' AS kind, '' AS said, count(*) AS n FROM ln UNION ALL SELECT 'edges', '', count(*) FROM le UNION ALL SELECT 'chunks', '', count(*) FROM c WHERE d <> 3 UNION ALL SELECT 'points', '', count(*) FROM c WHERE d % 2 = 1 AND d <> 3
+      UNION ALL SELECT 'documents', CASE WHEN d = 3 THEN 'deleted' ELSE 'completed' END, count(*) FROM dd GROUP BY ALL UNION ALL SELECT 'audit', 'system|delete_document|3|{{"chunks":' || count(*) FILTER (d = 3) || ',"points":' || count(*) FILTER (d = 3) || '}}', 1 FROM c""",
+    "tenant_delete": f"WITH {_POINTS} SELECT tenant_id, count(*) AS n FROM p WHERE tenant_id <> 't1' GROUP BY 1",
+}

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import ordering
 from ..functions import text as X
 from ..operators import algorithms as A
-from ..operators import ann, community, estimates, paths
+from ..operators import analytics, ann, community, estimates, paths
 from ..operators import dml as D
+from ..operators import evidence as E
+from ..operators import extraction as EX
 from ..operators import graph as G
 from ..operators import names as N
 from ..operators import records as RC
@@ -20,6 +22,7 @@ from ..operators import retrieval as R
 from ..operators import scoring as S
 from ..operators import versions as V
 from ..session import shared_folder
+from ..sources import files
 from ..streaming import state as ST
 from . import fixture as FX
 from .fixture import Tables
@@ -842,3 +845,173 @@ def dashboard_summary(t):
     done = FX.jobs(t).agg(F.count_if(F.col("status") == "completed").alias("completed"))
     n = nodes.agg(F.count("*").alias("nodes"), F.count_if(F.col("label") == "Equipment").alias("assets"))
     return done.crossJoin(n).crossJoin(edges.agg(F.count("*").alias("edges"))).crossJoin(t.conversations.agg(F.count("*").alias("chunks")))
+
+
+# --- evidence, extraction with a cache, whole deletes
+
+
+def failed_parts(t) -> DataFrame:
+    """query_id, mode of every part: its name, which has procedures next to it or none; its brand; or what nothing is called."""
+    k = F.col("p_partkey")
+    mode = F.when(k % 4 < 2, F.concat(FX.tag_word(k), F.lit(" "), FX.tag_of(k))).when(k % 4 == 2, F.col("p_brand")).otherwise("no such thing")
+    return t.part.select(k.cast("long").alias("query_id"), mode.alias("mode"))
+
+
+@query
+def procedures_lookup(t):
+    return E.procedures(failed_parts(t), *graph(t), kind="Equipment", otherwise=["General safety", "Work permits"])
+
+
+@query
+def regulations_fallback(t):
+    """Each document asks for the regulations of a nation, for all, or for what there is none of."""
+    d = F.col("source_doc_id")
+    scope = F.when(d % 3 == 0, F.concat(F.lit("NATION_"), (d % 10).cast("string"))).when(d % 3 == 1, F.lit(None)).otherwise("no such scope")
+    nodes, edges = graph(t)
+    asked = nodes.select("source_doc_id").distinct().select("source_doc_id", scope.alias("scope"))
+    return E.regulations(asked, nodes, edges.where("rel_type <> 'COMPLIES_WITH' OR source_doc_id % 2 = 0"), otherwise=["General safety"])
+
+
+def questions(t) -> DataFrame:
+    """query_id, query, sub_queries of every part: one that holds a name, one that only its words find, one with a sub-query, one without answer."""
+    k = F.col("p_partkey")
+    name = F.concat(FX.tag_word(k), F.lit(" "), FX.tag_of(k))
+    text = F.when(k % 4 == 0, F.concat(F.lit("Why does "), name, F.lit(" vibrate"))).when(k % 4 == 1, F.concat(F.lit("status "), FX.tag_of(k), F.lit(" "), F.col("p_brand"))).when(k % 4 == 2, F.concat(F.lit("the rules of part "), k.cast("string"))).otherwise("nothing known")
+    return t.part.select(k.cast("long").alias("query_id"), text.alias("query"), F.when(k % 4 == 2, F.array(F.concat(F.lit("is "), name, F.lit(" safe")))).alias("sub_queries"))
+
+
+@query
+def graph_seeds(t):
+    return E.seeds(questions(t), FX.nodes(t))
+
+
+@query
+def seed_subgraph(t):
+    """What lies within two hops of every part's name, a digest for each."""
+    nodes, edges = graph(t)
+    k = F.col("p_partkey")
+    named = t.part.select(k.cast("long").alias("query_id"), F.concat(FX.tag_word(k), F.lit(" "), FX.tag_of(k)).alias("name"))
+    near, inside = E.subgraph(named, nodes, edges.where("rel_type <> 'FEEDS'"), depth=2, limit=40)
+    n = near.groupBy("query_id").agg(F.count("*").alias("n_nodes"), F.sum("score").alias("score"), F.max("node_id").alias("last"))
+    m = inside.groupBy("query_id").agg(F.count("*").alias("n_edges"))
+    return n.join(m, "query_id", "left").select("query_id", "n_nodes", "score", "last", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
+
+
+@query
+def query_routes(t):
+    candidates, answers = E.widths(F.col("text"))
+    return t.conversations.select("conv_id", "turn", E.route(F.col("text")).alias("route"), candidates.alias("candidates"), answers.alias("answers"))
+
+
+@query
+def registry_listing(t):
+    status = F.when(F.col("o_orderstatus") == "P", "deleted").when(F.col("o_orderstatus") == "F", "completed").otherwise("processing")
+    return E.listing(t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("filename"), status.alias("status"), F.lit("pdf").alias("file_type"), F.col("o_orderdate").alias("uploaded")))
+
+
+@query
+def lessons_by_topic(t):
+    """Topics are the words of equipment; each goes with the vector of its number."""
+    k = F.col("p_partkey") % 7
+    topics = t.part.select(k.cast("long").alias("query_id"), FX.tag_word(F.col("p_partkey")).alias("topic")).distinct()
+    hits = R.dense_many(vectors_of(t), t.embeddings.where("vec_id < 7").select(F.col("vec_id").alias("query_id"), "embedding"), 5)
+    return E.lessons(topics, hits, *graph(t))
+
+
+@query
+def similar_incidents(t):
+    nodes, edges = graph(t)
+    chunks = chunks_of(t).join(vectors_of(t), "id", "left").withColumn("section_type", X.section_type(F.lit(None).cast("string"), F.col("text")))
+    queries_ = asked_items(t).join(vectors_of(t).withColumnRenamed("id", "query_id"), "query_id", "left")
+    return E.similar_incidents(chunks, queries_, nodes, edges)
+
+
+@query
+def extract_cached(t):
+    """Every third text has a cached result, some of them broken; a model adds a name of an unknown type, one that is there, and a relationship."""
+    docs = FX.sentences(t)
+    h = EX.content_hash(F.col("text"))
+    old = F.when(F.col("id") % 5 == 0, "{broken").otherwise('{"entities":[{"name":"kept","type":"Document","confidence":0.5}],"relationships":[]}')
+    cache = docs.where("id % 3 = 0").select(h.alias("file_hash"), old.alias("result"))
+    said = F.array(F.struct(F.lit(0).alias("nth"), F.concat(F.lit("Unit "), F.col("id").cast("string")).alias("name"), F.lit("Alien").alias("type")), F.struct(F.lit(1).alias("nth"), F.lit("ISO 9001").alias("name"), F.lit("Person").alias("type")))
+    model = docs.where("id % 2 = 0").select(h.alias("file_hash"), F.inline(said)).withColumn("confidence", F.lit(0.6))
+    rels = docs.where("id % 2 = 0").select(h.alias("file_hash"), F.lit(0).alias("nth"), F.concat(F.lit("Unit "), F.col("id").cast("string")).alias("source"), F.lit("ISO 9001").alias("target"), F.lit("associated with").alias("type"), F.lit(0.7).alias("confidence"))
+    answers, _ = EX.extract_once(docs, cache, model, rels)
+    one = answers.select("id", "cached", F.posexplode("result.entities").alias("place", "e")).select("id", "cached", "place", "e.name", "e.type", "e.confidence", F.lit("").alias("target"))
+    two = answers.select("id", "cached", F.posexplode("result.relationships").alias("place", "e")).select("id", "cached", "place", F.col("e.source").alias("name"), "e.type", "e.confidence", "e.target")
+    return one.unionByName(two)
+
+
+@query
+def extraction_scores(t):
+    """Names that rules find in each text against the three that it was made of, one of them in other letters."""
+    s = FX.sentences(t)
+    k = F.col("p_partkey")
+    expected = t.part.select(k.cast("long").alias("id"), F.explode(F.array(F.lower(FX.tag_of(k)), F.concat(F.lit(" WO-"), (F.lit(10000) + k).cast("string")), F.when(k % 2 == 0, "Ann Lee").otherwise("Bob Ray"))).alias("name"))
+    return N.fuzzy_scores(X.regex_entities(s).select("id", "name"), expected).select("texts", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query
+def retrieval_recall(t):
+    items = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    got = R.top_k(R.bm25(chunks_of(t), items), 10)
+    passages = windows_of(t.benchmark.select(F.col("item_id").alias("id"), "text")).withColumnRenamed("id", "query_id")
+    good = windows_of(chunks_of(t)).join(passages, "window").select("query_id", "id").distinct()
+    return R.recall_at(got, good, [1, 3, 5, 10]).select("k", F.round("recall", 6).alias("recall"), "queries")
+
+
+@query
+def trail_edges(t):
+    return G.trail_edges(*graph(t), [SEED_NAME], 2)
+
+
+@query
+def health_report(t):
+    """Small groups are those of equipment that feed each other."""
+    nodes, edges = graph(t)
+    return G.health_report(nodes.withColumn("canonical_id", F.substring("canonical_id", 1, 4)), edges, A.components(*feeds(t)).withColumnRenamed("component", "community"))
+
+
+@query
+def full_analytics(t):
+    return analytics.full_analytics(*feeds(t), f"{shared_folder(t.spark)}/analytics-{uuid.uuid4().hex}")
+
+
+@query
+def risk_profiles(t):
+    """Procedures have the dates of their parts' shipments as dates of documents."""
+    nodes, edges = graph(t)
+    dates = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("B:"), F.col("p_brand")).alias("node_id"), F.col("l_shipdate").cast("timestamp_ntz").alias("at"))
+    return S.risk_profiles(nodes, edges, A.pagerank(*feeds(t)), dates, AS_OF).drop("name")
+
+
+@query
+def upload_batch(t):
+    """Files of all documents, named by source and length; the server has those of two sources."""
+    d = t.documents.select(F.col("doc_id").alias("place"), F.concat("source", F.lit("/"), F.length("text").cast("string")).alias("filename"), F.sha2("text", 256).alias("file_hash"), "source")
+    have = d.where("source IN ('src1', 'src2')").select(F.concat(F.lit("old-"), F.col("filename")).alias("filename"), "file_hash").unionByName(d.where("place % 50 = 0").select("filename", F.lit(None).cast("string").alias("file_hash")))
+    return D.new_uploads(d.drop("source"), have).select("place", "outcome")
+
+
+@query
+def whole_cascade(t):
+    """How many rows each table has after a document and all that hangs on it is deleted, and what the audit says."""
+    docs = t.orders.select((F.col("o_orderkey") % 100).cast("long").alias("document_id"), F.lit("completed").alias("status")).distinct()
+    chunks = t.lineitem.select((F.col("l_orderkey") % 100).cast("long").alias("document_id"))
+    left = D.cascade(3, AS_OF, *graph(t), docs, chunks, chunks.where("document_id % 2 = 1"))
+    out = left["audit"].select(F.lit("audit").alias("kind"), F.concat_ws("|", "actor", "action", "query", "details").alias("said"), F.lit(1).cast("long").alias("n"))
+    for kind in ("nodes", "edges", "chunks", "points"):
+        out = out.unionByName(left[kind].agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), F.lit("").alias("said"), "n"))
+    return out.unionByName(left["documents"].groupBy(F.col("status").alias("said")).agg(F.count("*").alias("n")).select(F.lit("documents").alias("kind"), "said", "n"))
+
+
+@query
+def tenant_delete(t):
+    return RC.delete_tenant(points_of(t), "t1").groupBy("tenant_id").agg(F.count("*").alias("n"))
+
+
+@query
+def page_chunks(t):
+    """Each conversation as a file, its turns as pages."""
+    pages = t.conversations.select(F.concat(F.lit("conv"), F.col("conv_id").cast("string"), F.lit(".txt")).alias("source_file"), F.lit("txt").alias("file_type"), F.col("turn").cast("int").alias("page"), "text")
+    return files.file_chunks(pages).select("source_file", "page", "chunk_index", F.sha2("text", 256).alias("text_hash"), "section_type")

@@ -4,20 +4,24 @@ from __future__ import annotations
 
 import io
 import json
+import posixpath
 import re
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import chunk, sections
+
 Page = tuple[int, str]
 ROWS_PER_PAGE = 100
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
+_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -95,9 +99,14 @@ def parse_xlsx(data: bytes) -> list[Page]:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_S}si")]
-        titles = [s.get("name", "") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet")]
-        for i, title in enumerate(titles, 1):
-            name, header, sentences = f"xl/worksheets/sheet{i}.xml", None, []
+        targets = {}
+        if "xl/_rels/workbook.xml.rels" in z.namelist():
+            targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        sheets = [(s.get("name", ""), targets.get(s.get(f"{_R}id"))) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet")]
+        for i, (title, target) in enumerate(sheets, 1):
+            # a target is relative to xl/, or to the package if it begins with a slash; a sheet without one goes by its position
+            name = posixpath.normpath(posixpath.join("/xl", target))[1:] if target else f"xl/worksheets/sheet{i}.xml"
+            header, sentences = None, []
             if name not in z.namelist():
                 continue
             at = 0
@@ -130,8 +139,12 @@ def register_parser(extension: str, parser: Callable[[bytes], list[Page]]) -> No
     PARSERS[extension.lower()] = parser
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """source_file, file_type, page, text of every non-blank page below path; unknown types are read as text."""
+def parse_files(spark: SparkSession, path: str) -> DataFrame:
+    """source_file, file_type, page, text, error of all files below path; unknown types are read as text.
+
+    A row for every non-blank page, and for a file that its parser refuses (broken, or a binary .xls or .ppt, for which there is
+    no parser) one row with the error and neither page nor text; the other files' pages come all the same.
+    """
     parsers = dict(PARSERS)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,10 +153,33 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
             for file, data in zip(f["path"], f["content"], strict=True):
                 name = file.rpartition("/")[2]
                 kind = name.rpartition(".")[2].lower()
-                rows += [(name, kind, page, text) for page, text in parsers.get(kind, parse_text)(bytes(data)) if text.strip()]
-            yield pd.DataFrame(rows, columns=["source_file", "file_type", "page", "text"])
+                try:
+                    rows += [(name, kind, page, text, None) for page, text in parsers.get(kind, parse_text)(bytes(data)) if text.strip()]
+                except Exception as e:  # whatever a parser raises is that file's error, not the job's
+                    rows.append((name, kind, None, None, f"{type(e).__name__}: {e}"[:500]))
+            out = pd.DataFrame(rows, columns=["source_file", "file_type", "page", "text", "error"])
+            yield out.astype({"page": "Int32"})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "source_file string, file_type string, page int, text string")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "source_file string, file_type string, page int, text string, error string")
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """source_file, file_type, page, text of every page that `parse_files` could read."""
+    return parse_files(spark, path).where("error IS NULL").drop("error")
+
+
+def file_chunks(pages: DataFrame) -> DataFrame:
+    """source_file, file_type, page, chunk_index, text, section_type, has_risk_signal of pages (source_file, file_type, page, text).
+
+    Each page is cut into sections and these into chunks; chunk_index runs on over a file's pages. Blank pages have no chunk.
+    """
+    told = pages.where(F.trim("text") != "").select(F.struct("source_file", "file_type", "page").alias("id"), "text")
+    rows = chunk(sections(told)).select("id.*", "chunk_index", "text", "section_type", "has_risk_signal")
+    per_page = rows.groupBy("source_file", "page").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("source_file").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    before = per_page.select("source_file", "page", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    rows = rows.join(before, ["source_file", "page"])
+    return rows.select("source_file", "file_type", "page", (F.col("before") + F.col("chunk_index")).cast("int").alias("chunk_index"), "text", "section_type", "has_risk_signal")
 
 
 def write_report(df: DataFrame, path: str) -> None:

@@ -39,7 +39,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.queries()) - {"risk_assets", "pagerank_20", "k_shortest_paths", "closeness", "shortest_path", "hybrid_rank", "betweenness", "communities", "community_members", "closeness_estimate", "betweenness_estimate", "vector_index_topk"}))
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - {"risk_assets", "pagerank_20", "k_shortest_paths", "closeness", "shortest_path", "hybrid_rank", "betweenness", "communities", "community_members", "closeness_estimate", "betweenness_estimate", "vector_index_topk", "full_analytics", "similar_incidents"}))
 def test_query(spark, duck, name):
     df = queries.queries()[name](spark, SF)
     cols = sorted(df.columns)
