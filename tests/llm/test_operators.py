@@ -349,6 +349,23 @@ def test_forms_that_the_base_patterns_miss(spark):
     assert pii.redact(docs, model).where("text LIKE '%<EMAIL>%'").count() == 1 and pii.redact(docs.where("doc_id > 5"), model).count() == 0
 
 
+def test_recall_of_given_secrets(spark):
+    """The strings of 40 hexadecimal digits that the given documents assign to a token: a rare kind, with few rows to set a threshold by."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = pii.find(docs, pii.fit(docs)).select("doc_id", "spans")
+    hit = every = 0
+    for r in docs.join(found, "doc_id").where("text RLIKE 'token = \"[0-9a-f]{40}\"'").collect():
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        for m in re.finditer(r'token = "([0-9a-f]{40})"', r.text):
+            every += 1
+            hit += any(int(a) <= m.start(1) and int(b) >= m.end(1) for _, a, b in spans)
+    assert every >= 10 and hit >= 0.9 * every, (hit, every)
+    # what is added elsewhere stays rare: fewer spans than one in a hundred documents beyond base and tokens
+    base = sum(r.n for r in pii.find(docs, pii.Selector()).selectExpr("n_spans AS n").collect())
+    more = sum(r.n for r in pii.find(docs, pii.fit(docs)).selectExpr("n_spans AS n").collect())
+    assert 0 <= more - base - hit <= docs.count() / 100, (base, more, hit)
+
+
 def test_boosted_trees_learn():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, pii.FEATURES))
