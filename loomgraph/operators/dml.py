@@ -20,8 +20,13 @@ def merge(base: DataFrame, changes: DataFrame, keys: list[str], order: list) ->
 
 
 def upsert_entities(rows: DataFrame) -> DataFrame:
-    """label, canonical_id, confidence (highest), name (of the highest, ties by name), aliases (united, sorted)."""
-    return rows.groupBy("label", "canonical_id").agg(F.max("confidence").alias("confidence"), F.max_by("name", F.struct("confidence", "name")).alias("name"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))), "|").alias("aliases"))
+    """label, canonical_id, confidence (highest), name (of the highest, ties by name), aliases (united, sorted).
+
+    Rows are first added up by alias, so what is collected for a hot id are its distinct aliases, not its rows.
+    """
+    each = rows.select("label", "canonical_id", "confidence", "name", F.explode_outer("aliases").alias("alias"))
+    each = each.groupBy("label", "canonical_id", "alias").agg(F.max("confidence").alias("confidence"), F.max(F.struct("confidence", "name")).alias("best"))
+    return each.groupBy("label", "canonical_id").agg(F.max("confidence").alias("confidence"), F.max("best")["name"].alias("name"), F.array_join(F.array_sort(F.collect_list("alias")), "|").alias("aliases"))
 
 
 def upsert_relationships(rows: DataFrame, nodes: DataFrame, least: float = 0.40) -> DataFrame:

@@ -14,6 +14,7 @@ from loomgraph.operators import evidence as E
 from loomgraph.operators import extraction as EX
 from loomgraph.operators import graph as G
 from loomgraph.operators import names as N
+from loomgraph.operators import records as RC
 from loomgraph.operators import retrieval as R
 from loomgraph.operators import scoring as S
 from loomgraph.sources import files
@@ -222,3 +223,12 @@ def test_trail_edges(spark):
     edges = frame(spark, [(a, b, "FEEDS", f"{a}>{b}", 1) for a, b in chain], EDGES)
     nodes = frame(spark, [(str(i), f"n{i}") for i in range(7)], "node_id string, name string")
     assert [(r.edge_id, r.hops) for r in G.trail_edges(nodes, edges, ["n0"], 3).orderBy("hops").collect()] == [("0>1", 0), ("1>2", 1), ("2>3", 2)]
+
+
+def test_context_and_aliases(spark):
+    chunks = frame(spark, [(1, i, "x" * 30) for i in range(1000)] + [(2, 0, None), (2, 1, None), (3, 0, "y" * 9000), (3, 1, "z"), (4, 0, None), (4, 1, "a"), (4, 1, "b"), (None, 0, "n"), (5, 0, "")], "document_id long, chunk_index int, text string")
+    got = {r.document_id: r.text for r in RC.context(chunks, 100).collect()}
+    assert got == {1: "\n".join(["x" * 30] * 4)[:100], 2: "", 3: "y" * 100, 4: "a\nb", None: "n", 5: ""}
+    rows = frame(spark, [("E", "1", 0.5, "b", ["p", "q", None])] * 3 + [("E", "1", 0.9, "a", ["q", "o"]), ("E", "1", 0.9, "c", None), ("E", "2", None, None, []), ("P", "1", 0.1, "z", ["p"])], "label string, canonical_id string, confidence double, name string, aliases array<string>")
+    got = sorted((r.label, r.canonical_id, r.confidence, r.name, r.aliases) for r in D.upsert_entities(rows).collect())
+    assert got == [("E", "1", 0.9, "c", "o|p|q"), ("E", "2", None, None, ""), ("P", "1", 0.1, "z", "p")]
