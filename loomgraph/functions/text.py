@@ -279,6 +279,15 @@ def row_sentences(df: DataFrame, order: list[str], per_page: int = 100) -> DataF
     return rows.select((F.floor((F.col("row") - 1) / per_page) + 1).cast("long").alias("page"), F.col("row").cast("long").alias("row"), F.concat(F.lit("Row "), F.col("row").cast("string"), F.lit(": "), F.array_join("_f", ", "), F.lit(".")).alias("sentence"))
 
 
+def within_budget(prompt: Column, system: Column, tokens: int) -> Column:
+    """A prompt that fits, with its system prompt, into so many tokens of four characters: of a longer one the end stays, after `...`.
+
+    Where the system prompt leaves no more than three characters the prompt stays whole. A null system prompt has no length.
+    """
+    room = F.lit(4 * tokens) - F.coalesce(F.length(system), F.lit(0))
+    return F.when((F.length(prompt) <= room) | (room <= 3), prompt).otherwise(F.concat(F.lit("..."), F.right(prompt, room - 3)))
+
+
 def near_names(names: DataFrame) -> DataFrame:
     """a, b, d of all pairs of rows (id, name) with a < b and names at most two edits apart.
 

@@ -135,3 +135,14 @@ def identifier(name: Column) -> Column:
 def delete_tenant(points: DataFrame, tenant: str) -> DataFrame:
     """Points of all tenants but one; those of no tenant stay."""
     return points.where(~F.col("tenant_id").eqNullSafe(F.lit(tenant)))
+
+
+def token_usage(calls: DataFrame) -> DataFrame:
+    """One row: prompt, completion and total tokens of calls (prompt_tokens, completion_tokens); nulls count as 0."""
+    p, c = (F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("prompt_tokens", "completion_tokens"))
+    return calls.agg(p, c).withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
+
+
+def has_serious_gap(gaps: Column) -> Column:
+    """Whether any of an array of gaps is High or Critical; without gaps none is."""
+    return F.coalesce(F.exists(gaps, lambda g: F.coalesce(g["risk_level"].isin("High", "Critical"), F.lit(False))), F.lit(False))

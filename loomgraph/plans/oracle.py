@@ -341,3 +341,8 @@ SQL |= {
       UNION ALL SELECT 'documents', CASE WHEN d = 3 THEN 'deleted' ELSE 'completed' END, count(*) FROM dd GROUP BY ALL UNION ALL SELECT 'audit', 'system|delete_document|3|{{"chunks":' || count(*) FILTER (d = 3) || ',"points":' || count(*) FILTER (d = 3) || '}}', 1 FROM c""",
     "tenant_delete": f"WITH {_POINTS} SELECT tenant_id, count(*) AS n FROM p WHERE tenant_id <> 't1' GROUP BY 1",
 }
+
+SQL |= {
+    "prompt_budget": "WITH r AS (SELECT doc_id, text, 400 - length(concat_ws(' ', source, lang)) AS room FROM documents), f AS (SELECT doc_id, CASE WHEN length(text) <= room OR room <= 3 THEN text ELSE '...' || right(text, room - 3) END AS x FROM r) SELECT doc_id, length(x) AS n_chars, sha256(x) AS text_hash FROM f",
+    "token_usage": "SELECT *, prompt_tokens + completion_tokens AS total_tokens FROM (SELECT CAST(coalesce(sum(length(text) // 4) FILTER (role = 'user'), 0) AS BIGINT) AS prompt_tokens, CAST(coalesce(sum(length(text) // 4) FILTER (role <> 'user'), 0) AS BIGINT) AS completion_tokens FROM conversations)",
+}

@@ -1015,3 +1015,17 @@ def page_chunks(t):
     """Each conversation as a file, its turns as pages."""
     pages = t.conversations.select(F.concat(F.lit("conv"), F.col("conv_id").cast("string"), F.lit(".txt")).alias("source_file"), F.lit("txt").alias("file_type"), F.col("turn").cast("int").alias("page"), "text")
     return files.file_chunks(pages).select("source_file", "page", "chunk_index", F.sha2("text", 256).alias("text_hash"), "section_type")
+
+
+@query
+def prompt_budget(t):
+    """Every text as a prompt of at most 100 tokens beside a system prompt, whose length is that of its source and language."""
+    prompt = X.within_budget(F.col("text"), F.concat_ws(" ", "source", "lang"), 100)
+    return t.documents.select("doc_id", F.length(prompt).cast("long").alias("n_chars"), F.sha2(prompt, 256).alias("text_hash"))
+
+
+@query
+def token_usage(t):
+    """Tokens of four characters, those of users as prompts and those of others as completions."""
+    n = F.floor(F.length("text") / 4)
+    return RC.token_usage(t.conversations.select(F.when(F.col("role") == "user", n).alias("prompt_tokens"), F.when(F.col("role") != "user", n).alias("completion_tokens")))

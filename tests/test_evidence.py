@@ -232,3 +232,11 @@ def test_context_and_aliases(spark):
     rows = frame(spark, [("E", "1", 0.5, "b", ["p", "q", None])] * 3 + [("E", "1", 0.9, "a", ["q", "o"]), ("E", "1", 0.9, "c", None), ("E", "2", None, None, []), ("P", "1", 0.1, "z", ["p"])], "label string, canonical_id string, confidence double, name string, aliases array<string>")
     got = sorted((r.label, r.canonical_id, r.confidence, r.name, r.aliases) for r in D.upsert_entities(rows).collect())
     assert got == [("E", "1", 0.9, "c", "o|p|q"), ("E", "2", None, None, ""), ("P", "1", 0.1, "z", "p")]
+
+
+def test_budget_usage_gaps(spark):
+    rows = frame(spark, [("abcdefghij", None), ("abcdefghij", "s"), ("abcdefghij", "s" * 20), (None, "s"), ("", None)], "p string, s string")
+    assert [r[0] for r in rows.select(X.within_budget(F.col("p"), F.col("s"), 2)).collect()] == ["...fghij", "...ghij", "abcdefghij", None, ""]
+    assert tuple(RC.token_usage(frame(spark, [(1, None), (None, 5)], "prompt_tokens long, completion_tokens long")).first()) == (1, 5, 6)
+    gaps = frame(spark, [([("Low",), (None,)],), ([("High",)],), ([],), (None,)], "gaps array<struct<risk_level:string>>")
+    assert [r[0] for r in gaps.select(RC.has_serious_gap(F.col("gaps"))).collect()] == [False, True, False, False]
