@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, in_blocks, release, text_bytes, text_of
+from .common import blocks_of, crc_of_id, in_blocks, release, text_bytes, text_of
 from .counting import BUCKET_HASHES, answers_for, distinct, in_order, totals
 from .textvec import mix, word_hashes
 
@@ -189,9 +189,11 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def score(docs: DataFrame, order: int = ORDER, m: float = M, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs: doc_id, text, held_out; rows that aren't held out train. One row of SCORES for each."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out")
-    blocks = in_blocks(source, block_bytes, "doc_id", "held_out")
+    size = text_bytes(source)
+    number = blocks_of(size, block_bytes)
+    blocks = in_blocks(source, number, "doc_id", "held_out")
     # about one distinct n-gram of each order for every ten bytes
-    buckets = max(1, text_bytes(source) // 10 // BUCKET_HASHES)
+    buckets = max(1, size // 10 // BUCKET_HASHES)
     pairs = min(order, 2)
 
     def read(rows: pd.DataFrame, upto: int) -> tuple[Tokens, np.ndarray]:
@@ -220,7 +222,7 @@ def score(docs: DataFrame, order: int = ORDER, m: float = M, block_bytes: int =
         keys, counts = distinct(np.concatenate([*tokens.grams, starts]), np.concatenate([*(g[trains] for g in tokens.grams), starts[: int((~rows["held_out"].to_numpy(bool)).sum())]]))
         return keys, np.where(keys == 0, 0, counts)
 
-    answers = totals(blocks, ask, 2 * buckets, kind=_ONE)
+    answers = totals(blocks, number, ask, 2 * buckets, kind=_ONE)
     sums = answers.where(F.col("block") < 0).agg(F.sum("kinds"), F.sum("occurrences")).first()
     v, n = int(sums[0] or 0), int(sums[1] or 0)
     known = answers_for(answers)
@@ -231,7 +233,7 @@ def score(docs: DataFrame, order: int = ORDER, m: float = M, block_bytes: int =
             asked = has_state(tokens, counted(tokens, got, k)[0], k)
             return distinct(tokens.grams[k][asked], tokens.grams[k][asked & trains])
 
-        known = known.unionByName(answers_for(totals(blocks, ask_longer, buckets, known=known), k - 1))
+        known = known.unionByName(answers_for(totals(blocks, number, ask_longer, buckets, known=known), k - 1))
 
     def scored(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         rows = rows.reset_index(drop=True)

@@ -123,13 +123,17 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
-def in_blocks(docs: DataFrame, block_bytes: int, *columns: str) -> DataFrame:
-    """columns, the packed text as `z` and a block number.
+def blocks_of(size: int, block_bytes: int) -> int:
+    """The number of blocks for so many bytes of text."""
+    return max(1, -(-size // block_bytes))
 
-    A block is dealt by a hash of id and text, so its expected size is block_bytes whatever
-    source or group of copies holds most rows; the number of blocks grows with the input.
+
+def in_blocks(docs: DataFrame, n: int, *columns: str) -> DataFrame:
+    """columns, the packed text as `z` and a block number from 0 to n - 1.
+
+    A block is dealt by a hash of id and text, so blocks have about the same size whatever source or group of
+    copies holds most rows. Rows that repeat both id and text are in one block.
     """
-    n = max(1, -(-text_bytes(docs) // block_bytes))
     return docs.select(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"), *columns, packed_text("text").alias("z")
     )

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, in_blocks, release, text_bytes, text_of
+from .common import blocks_of, cut, in_blocks, release, text_bytes, text_of
 from .counting import BUCKET_HASHES, answers_for, distinct, in_order, totals
 from .textvec import shingle_sets
 
@@ -86,7 +86,8 @@ def prepare(docs: DataFrame, words: int, percent: int, block_bytes: int) -> Data
     its prefix has a shingle that other documents have too."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("check"))
     size = text_bytes(source)
-    blocks = in_blocks(source, block_bytes, "doc_id", "check")
+    number = blocks_of(size, block_bytes)
+    blocks = in_blocks(source, number, "doc_id", "check")
     bits = min(64, 13 + math.ceil(math.log2(max(2, size / 5))))
     buckets = max(1, size // 6 // BUCKET_HASHES)
 
@@ -97,7 +98,7 @@ def prepare(docs: DataFrame, words: int, percent: int, block_bytes: int) -> Data
         sets = of(rows)
         return distinct(shortened(np.concatenate(sets), bits))
 
-    answers = totals(blocks, ask, buckets)
+    answers = totals(blocks, number, ask, buckets)
 
     def prefixes(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         sets = of(rows)
