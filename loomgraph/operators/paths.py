@@ -1,8 +1,8 @@
 """The k shortest paths by deviations: each next path leaves a found one at some node, its spur, by an edge not taken there.
 
 All spurs of a round are searched together: distances to the target grow by frontiers, one row for each (search, node),
-without the nodes before the spur and the edges taken from it. There is no limit of depth. The driver holds the found
-paths only, k of them, and their candidates.
+without the nodes before the spur and the edges taken from it. Depth is limited if `most` hops are given. The driver holds
+the found paths only, k of them, and their candidates.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ def _text(path: list[str]) -> str:
     return ">".join(path)
 
 
-def _search(step: DataFrame, target: str, roots: list[tuple[list[str], list[str]]]) -> list[list[str] | None]:
-    """For each (path up to the spur, next nodes not to take) the shortest path to target; ties as of the joined text."""
+def _search(step: DataFrame, target: str, roots: list[tuple[list[str], list[str]]], most: int | None = None) -> list[list[str] | None]:
+    """For each (path up to the spur, next nodes not to take) the shortest path to target of at most `most` hops in all; ties as of the joined text."""
     spark = step.sparkSession
     gone = spark.createDataFrame([(i, n) for i, (root, _) in enumerate(roots) for n in root[:-1]], "search int, node string")
     banned = spark.createDataFrame([(i, root[-1], n) for i, (root, taken) in enumerate(roots) for n in taken], "search int, a string, b string")
@@ -33,7 +33,10 @@ def _search(step: DataFrame, target: str, roots: list[tuple[list[str], list[str]
     while True:
         for r in front.join(F.broadcast(wanted), ["search", "node"], "left_semi").collect():
             reached.setdefault(r.search, dist)
-        front = front.where(~F.col("search").isin(list(reached))) if reached else front
+        done = [i for i, (root, _) in enumerate(roots) if i in reached or (most is not None and len(root) - 1 + dist >= most)]
+        if len(done) == len(roots):
+            break
+        front = front.where(~F.col("search").isin(done)) if done else front
         grown = front.select("search", F.col("node").alias("b")).join(step, "b").join(banned, ["search", "a", "b"], "left_anti").select("search", F.col("a").alias("node")).distinct()
         dist += 1
         front = written(grown.join(gone, ["search", "node"], "left_anti").join(seen.select("search", "node"), ["search", "node"], "left_anti").withColumn("dist", F.lit(dist)))
@@ -52,12 +55,13 @@ def _search(step: DataFrame, target: str, roots: list[tuple[list[str], list[str]
     return [roots[i][0][:-1] + walks[i] if i in walks else None for i in range(len(roots))]
 
 
-def k_shortest(edges: DataFrame, source: str, target: str, k: int = 3, directed: bool = True) -> DataFrame:
-    """hops, path (`>`-joined ids) of the k shortest paths without repeated nodes, ties by the path's text. Parallel edges are one."""
+def k_shortest(edges: DataFrame, source: str, target: str, k: int = 3, directed: bool = True, most: int | None = None) -> DataFrame:
+    """hops, path (`>`-joined ids) of the k shortest paths without repeated nodes and of at most `most` hops (None: any), ties by
+    the path's text. Parallel edges are one."""
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")) if directed else undirected(edges).select("a", "b")
     step = written(both.where("a <> b").distinct())
     found: list[list[str]] = []
-    waiting: list[list[str]] = [p for p in _search(step, target, [([source], [])]) if p] if source != target else [[source]]
+    waiting: list[list[str]] = [p for p in _search(step, target, [([source], [])], most) if p] if source != target else [[source]]
     while waiting and len(found) < k:
         waiting.sort(key=lambda p: (len(p), _text(p)))
         last = waiting.pop(0)
@@ -68,5 +72,5 @@ def k_shortest(edges: DataFrame, source: str, target: str, k: int = 3, directed:
         for i in range(len(last) - 1):
             taken = sorted({p[i + 1] for p in found if p[: i + 1] == last[: i + 1] and len(p) > i + 1})
             roots.append((last[: i + 1], taken))
-        waiting += [p for p in _search(step, target, roots) if p and p not in waiting and p not in found]
+        waiting += [p for p in _search(step, target, roots, most) if p and p not in waiting and p not in found]
     return edges.sparkSession.createDataFrame([(len(p) - 1, _text(p)) for p in found], "hops long, path string")
