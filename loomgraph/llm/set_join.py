@@ -182,21 +182,43 @@ def _compare(pairs: DataFrame, sets: DataFrame, words: int, percent: int) -> Dat
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each component of edges (a, b), by labels that pass along edges and jump.
+    """(node, label): the smallest node of each component of edges (a, b), by contraction.
 
-    The number of rounds grows with the logarithm of a component's diameter; every round is written.
+    In a round every node points to its smallest neighbour, pointers jump to their ends, and the ends become the nodes of the
+    edges that are left. So an edge within what has come together is not moved again, however many rounds others take.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
-        passed = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        labels = cut(passed.join(up, "label", "left").select("node", F.least("label", F.coalesce("above", "label")).alias("label"), "old"))
-        changed = labels.where(F.col("label") != F.col("old")).limit(1).count()
-        labels = labels.select("node", "label")
-        if not changed:
-            return labels
+    edges = cut(edges.select("a", "b").distinct())
+    labels = None
+    while labels is None or not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+        moved = True
+        while moved:
+            up = to.select(F.col("node").alias("label"), F.col("label").alias("above"))
+            jumped = cut(to.select("node", "label").join(up, "label").select("node", F.col("above").alias("label"), (F.col("above") < F.col("label")).alias("moved")))
+            moved, to = not jumped.where("moved").isEmpty(), jumped.select("node", "label")
+        labels = to if labels is None else cut(_relabelled(labels, to))
+        edges = cut(_between(edges, to))
+    return labels
+
+
+def _relabelled(labels: DataFrame, to: DataFrame) -> DataFrame:
+    """labels (node, label) with the labels of those labels in `to`, where they have one."""
+    return labels.join(to.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+
+
+def _between(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Distinct edges (a, b) between the labels of the given edges' ends; an end without a label stands for itself."""
+    of_a, of_b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b"))
+    ends = edges.join(of_a, "a", "left").select(F.coalesce("la", "a").alias("a"), "b").join(of_b, "b", "left").select("a", F.coalesce("lb", "b").alias("b"))
+    return ends.where("a <> b").distinct()
+
+
+def joined_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels, as of `connected`, when edges (a, b) are added: only those between components are looked at again."""
+    more = connected(_between(edges, labels))
+    new = more.select("node").join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    return cut(_relabelled(labels.unionByName(new), more))
 
 
 def _pivots(lists: DataFrame, seeds: range) -> DataFrame:
@@ -218,16 +240,18 @@ def links(prepared: DataFrame, words: int = WORDS, percent: int = PERCENT, pivot
         pairs = lists.join(chosen, ["token", "band"]).select("node", F.explode(able).alias("p")).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
         if done is None:
             done = _compare(pairs, sets, words, percent)
+            labels = connected(done.where("linked"))
         else:
-            done = cut(done.unionByName(_compare(_apart(pairs, labels).join(done, ["a", "b"], "left_anti"), sets, words, percent)))
-        labels = connected(done.where("linked"))
+            more = _compare(_apart(pairs, labels).join(done, ["a", "b"], "left_anti"), sets, words, percent)
+            done = done.unionByName(more)
+            labels = joined_labels(labels, more.where("linked"))
         labelled = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = labelled.groupBy("token", "band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token", "band")
         lists = cut(lists.join(mixed, ["token", "band"], "left_semi"))
     last = _compare(_undecided(lists, sets, labels, done, percent), sets, words, percent)
     done = done.unionByName(last)
-    if last.where("linked").limit(1).count():
-        labels = connected(done.where("linked"))
+    if not last.where("linked").isEmpty():
+        labels = joined_labels(labels, last.where("linked"))
     return done, labels
 
 

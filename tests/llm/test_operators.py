@@ -89,6 +89,28 @@ def test_set_join_of_families(spark, monkeypatch, words, percent, low, high):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root)) and len(set(root)) > 4
 
 
+def test_components_by_contraction(spark, monkeypatch):
+    """Long paths, stars, cliques and random links, all at once and added to labels; edges within a component move once."""
+    rng = np.random.default_rng(5)
+    pairs = [(i, i + 1) for i in range(40)] + [(99, i) for i in range(50, 70)] + [(i, j) for i in range(200, 230) for j in range(200, i)] + [tuple(p) for p in rng.integers(300, 400, (60, 2)).tolist() if p[0] != p[1]]
+    name = {i: f"{x:05}" for i, x in enumerate(rng.permutation(400).tolist())}
+    root = {x: x for p in pairs for i in p for x in (name[i],)}
+    for a, b in pairs * 2:
+        low, high = sorted((root[name[a]], root[name[b]]))
+        root = {k: low if v == high else v for k, v in root.items()}
+    edges = [(name[a], name[b]) for a, b in pairs]
+    moved, between = [], set_join._between
+    monkeypatch.setattr(set_join, "_between", lambda e, labels: moved.append(e.count()) or between(e, labels))
+    table = lambda rows: spark.createDataFrame(rows, "a string, b string")
+    assert dict(map(tuple, set_join.connected(table(edges)).collect())) == root
+    assert len(moved) > 1 and sum(moved[1:]) < moved[0] / 2  # before, every round joined all edges
+    order = rng.permutation(len(edges)).tolist()
+    some, rest = (table([edges[i] for i in part]) for part in (order[:250], order[250:]))
+    labels = set_join.joined_labels(set_join.connected(some), rest)
+    assert dict(map(tuple, labels.collect())) == root and labels.count() == len(root)
+    assert set_join.connected(table(edges).where("false")).collect() == []
+
+
 def test_rows_of_one_id_are_told_apart(spark):
     """Near copies and contaminated rows go for their own texts, not for those of rows with the same id or none."""
     rows = [(1, BASE), (1, text(20, 60)), (2, EDITED), (2, text(21, 60)), (2, text(21, 60)), (None, BASE), (None, text(22, 60)), (3, " "), (3, "")]
