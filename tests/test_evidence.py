@@ -240,3 +240,13 @@ def test_budget_usage_gaps(spark):
     assert tuple(RC.token_usage(frame(spark, [(1, None), (None, 5)], "prompt_tokens long, completion_tokens long")).first()) == (1, 5, 6)
     gaps = frame(spark, [([("Low",), (None,)],), ([("High",)],), ([],), (None,)], "gaps array<struct<risk_level:string>>")
     assert [r[0] for r in gaps.select(RC.has_serious_gap(F.col("gaps"))).collect()] == [False, True, False, False]
+
+
+def test_around_a_hub_takes_the_first_of_each_query(spark):
+    """A hub has more neighbours than a query can hold; those seen already don't count among its first."""
+    pairs = [("hub", f"n{i:02}") for i in range(40)] + [("n00", "n01"), ("n30", "z")]
+    edges = spark.createDataFrame([(a, b, "R", f"{a}>{b}") for a, b in pairs], "src string, dst string, rel_type string, edge_id string")
+    starts = spark.createDataFrame([(1, "n00"), (1, "n02"), (2, "z")], "query_id long, node_id string")
+    got = sorted(tuple(r) for r in E.around(starts, edges, 3, 6).collect())
+    first = [(1, "hub", 1), (1, "n00", 0), (1, "n01", 1), (1, "n02", 0), (1, "n03", 2), (1, "n04", 2)]
+    assert got == first + [(2, "hub", 2), (2, "n00", 3), (2, "n01", 3), (2, "n02", 3), (2, "n30", 1), (2, "z", 0)]
