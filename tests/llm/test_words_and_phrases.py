@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from loomgraph.llm import collocations, packing, spelling, token_counts
+from loomgraph.llm import collocations, lz, packing, spelling, token_counts
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, word string, n long, path string, lengths int"
@@ -214,3 +214,11 @@ def test_language_stage_without_labels(spark):
     got = corpus_pipeline.language_id(spark, docs, "").collect()
     assert sorted(map(tuple, got), key=repr) == sorted((r[:5] for r in rows), key=repr)
     assert corpus_pipeline.language_id(spark, docs.where("false"), "").collect() == []
+
+
+def test_long_documents_are_parsed_few_at_a_time():
+    rows = [(0, i, "x" * (lz.BATCH_CHARS // 4)) for i in range(100)] + [(0, 100 + i, "y") for i in range(1000)] + [(0, 1100 + i, "z" * lz.BATCH_CHARS) for i in range(3)]
+    lists = list(lz.batched(rows))
+    assert all(len(x) <= lz.BATCH_ROWS + 1 and (len(x) == 2 or sum(len(t) for *_, t in x[:-1]) < lz.BATCH_CHARS) for x in lists)
+    assert [r for x in lists for r in x[:-1]] + [lists[-1][-1]] == rows
+    assert all(a[-1] == b[0] for a, b in zip(lists, lists[1:]))
