@@ -574,3 +574,13 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
     assert 0 < rows.select("doc_id").distinct().count() < n
+
+
+def test_hosts_decide_beside_articles(spark):
+    """On pages with an article too, unmarked text goes where the host repeats it and stays where it doesn't."""
+    again = "every page of this host says these same ten words"
+    html = [f"<body><div>{again}</div><div>{i} begins alone here</div><article><p>Story {i}.</p><p>{again}</p></article><nav>home</nav><div>its end {i} {again}</div></body>" for i in range(3)]
+    rows = spark.createDataFrame([(i, "http://a.org/x", h) for i, h in enumerate(html)] + [(9, "http://b.org/", html[0])], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in host_text.extract(rows).collect()}
+    assert all(got[i] == f"{i} begins alone here\nStory {i}.\n{again}\nits end {i}" for i in range(3))
+    assert got[9] == f"{again}\n0 begins alone here\nStory 0.\n{again}\nits end 0 {again}"
